@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, sharding, simhash
+from . import embed_dedup, fingerprints, langid, mixing, packing, sharding, simhash, toxicity
 from .common import read_table
 
 
@@ -44,12 +44,31 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").where(~toxicity.held_out())
+    return toxicity.predict(docs, toxicity.fit(docs, labels))
+
+
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    trees = langid.fit(docs.where(~langid.held_out()))
+    return langid.predict(docs, trees).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_fingerprints": op4_fingerprints,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
+    "op8_toxicity": op8_toxicity,
+    "op9_embeddings": op9_embeddings,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.mixing_sql()}
