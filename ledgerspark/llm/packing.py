@@ -12,8 +12,9 @@ Null and empty texts are documents of one end token. Rows with equal ids are pac
 from __future__ import annotations
 
 import itertools
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,30 +92,110 @@ class WordCachedTokenizer:
     """Ids of whole texts; words between white space are encoded once each, which this vocabulary's rules allow.
 
     Its normaliser and splitter act inside runs of non-space only, so the ids of a text are those of its words in a row.
-    Texts with control characters that Python and the tokenizer class differently are encoded as a whole.
+    It also lower-cases and cuts a point or comma off a letter, so words that differ in these share their encoding.
+    Texts with control characters that Python and the tokenizer class differently are encoded as a whole. The cache holds
+    ``most`` words; beyond, it goes back to those met first.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
-        self.tok, self.cache, self.most = Tokenizer.from_file(path), {}, most
+        self.tok, self.most = Tokenizer.from_file(path), most
         self.tok.encode_special_tokens = True
-        self.odd = set("\x1c\x1d\x1e\x1f\x85")
-
-    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            if not self.odd.isdisjoint(text):
-                yield np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
-                continue
-            words = text.split()
-            new = list({w for w in words if w not in self.cache})
-            if new:
-                if len(self.cache) + len(new) > self.most:
-                    self.cache.clear()
-                    new = list(set(words))
-                for w, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True):
-                    self.cache[w] = tuple(e.ids)
-            yield np.fromiter(itertools.chain.from_iterable(map(self.cache.__getitem__, words)), dtype="<u4")
+        self.odd = re.compile("[\x1c-\x1f\x85]")
+        # Ids that end a run of letters, so that many such runs can be encoded in one call and told apart again.
+        self.ends = np.zeros(self.tok.get_vocab_size(), dtype=bool)
+        self.ends[[k for t, k in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
+        self.tails = {t: e.ids[0] for t in ".," if len(e := self.tok.encode(t, add_special_tokens=False)) == 1}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.words, self.stems = Numbered(), Numbered()
+        self.ids = np.zeros(0, dtype="<u4")
+        self.start, self.length, self.stem_start, self.stem_length = (np.zeros(0, dtype=np.int64) for _ in range(4))
+
+    def _halve(self) -> None:
+        """Forgets the words that were met last; frequent ones are met first."""
+        kept = list(itertools.islice(self.words, self.most // 2))
+        self._clear()
+        self.words.update((w, self.words[w]) for w in kept)
+        self._learn()
+
+    def _add(self, ids: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Stores runs of ids; returns where each begins."""
+        at = len(self.ids) + np.cumsum(length) - length
+        self.ids = np.concatenate([self.ids, ids])
+        return at
+
+    def _learn(self) -> None:
+        """Ids of the words seen since the last call."""
+        parts = [stem_of(w, self.tails) for w in self.words.new]
+        known = np.fromiter((self.stems[s] for s, _ in parts), dtype=np.int64, count=len(parts))
+        new, self.stems.new, self.words.new = self.stems.new, [], []
+        plain = np.fromiter(map(str.isalpha, new), dtype=bool, count=len(new))
+        letters, rest = list(itertools.compress(new, plain)), list(itertools.compress(new, ~plain))
+        start, length = np.zeros(len(new), dtype=np.int64), np.zeros(len(new), dtype=np.int64)
+        if letters:
+            ids = np.array(self.tok.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids])
+            assert len(ends) == len(letters)
+            length[plain] = np.diff(ends, prepend=-1)
+            start[plain] = self._add(ids, length[plain])
+        if rest:
+            ids = [e.ids for e in self.tok.encode_batch_fast(rest, add_special_tokens=False)]
+            length[~plain] = list(map(len, ids))
+            start[~plain] = self._add(np.fromiter(itertools.chain.from_iterable(ids), dtype="<u4"), length[~plain])
+        self.stem_start, self.stem_length = np.concatenate([self.stem_start, start]), np.concatenate([self.stem_length, length])
+        start, length = self.stem_start[known], self.stem_length[known]
+        marks = np.fromiter((self.tails.get(t, -1) for _, t in parts), dtype=np.int64, count=len(parts))
+        cut = np.flatnonzero(marks >= 0)
+        n = length[cut] + 1
+        ids = self.ids[runs(start[cut], n) % max(1, len(self.ids))]
+        ids[np.cumsum(n) - 1] = marks[cut]
+        start[cut], length[cut] = self._add(ids, n), n
+        self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
+
+    def __call__(self, texts: list[str], at_once: int = 256) -> Iterator[np.ndarray]:
+        for at in range(0, len(texts), at_once):
+            if len(self.words) > self.most:
+                self._halve()
+            part = texts[at : at + at_once]
+            whole = [bool(self.odd.search(t)) for t in part]
+            places = [None if o else np.fromiter(map(self.words.__getitem__, w := t.split()), dtype=np.int64, count=len(w)) for t, o in zip(part, whole, strict=True)]
+            if self.words.new:
+                self._learn()
+            for t, p in zip(part, places, strict=True):
+                if p is None:
+                    yield np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype="<u4")
+                    continue
+                yield self.ids[runs(self.start[p], self.length[p])]
+
+
+class Numbered(dict):
+    """Numbers keys in order of first use; ``new`` lists those that weren't processed yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        k = self[key] = len(self)
+        self.new.append(key)
+        return k
+
+
+def runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for length[0] numbers, then the same for the next run."""
+    end = np.cumsum(length)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(start - (end - length), length)
+
+
+def stem_of(word: str, tails: Container[str]) -> tuple[str, str]:
+    """(word in lower case without a last mark of ``tails``, that mark). Only where both are sure not to change ids."""
+    if not word.isascii() and max(word) > "\xff":
+        return word, ""
+    word = word.lower()
+    return (word[:-1], word[-1]) if len(word) > 1 and word[-1] in tails and word[-2].isalpha() else (word, "")
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
