@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, fingerprints, langid, mixing, packing, sharding, simhash, toxicity
+from . import embed_dedup, fingerprints, langid, mixing, packing, sharding, simhash, suffix_dedup, toxicity
 from .common import read_table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards, counts at most one apart. Only ids, sizes and checksums are shuffled."""
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
@@ -61,6 +65,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_sharding": op3_sharding,
     "op4_fingerprints": op4_fingerprints,
     "op5_simhash": op5_simhash,
