@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, stored
@@ -131,3 +131,12 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, radius: int = 2
     linked = connected_components(link_fingerprints(fps, radius))
     named = fps.join(linked, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words_per_shingle: int = 3, radius: int = 2) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest id; rows of that id differ by their text's order."""
+    found = near_duplicates(docs, words_per_shingle, radius)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    own = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_id"]), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*(c for c in docs.columns if c != "doc_id")))
+    return own.withColumn("_row", first).where("_row = 1").drop("_row")

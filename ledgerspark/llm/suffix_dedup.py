@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import induced
 from .common import stored
@@ -61,8 +62,9 @@ class Runs:
     ``first`` and ``last`` window, ``anchor`` hash and ``key`` (a hash of the run's anchor, bytes and their number).
     """
 
-    def __init__(self, raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+    def __init__(self, raw: np.ndarray, ends: np.ndarray, length: int = LENGTH):
         self.raw, self.length = raw, length
+        gram = min(GRAM, length // 2)
         n, grams = len(raw), length - gram + 1
         z = np.zeros(0, dtype=np.int64)
         self.first, self.last, self.anchor, self.key = z, z, z.astype(np.uint64), z.astype(np.uint64)
@@ -131,6 +133,12 @@ def _wide(b: bytes) -> np.ndarray:
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
+def _cuts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and after-last places of the runs of equal values."""
+    edge = np.flatnonzero(x[1:] != x[:-1]) + 1
+    return (np.concatenate(([0], edge)), np.append(edge, len(x))) if len(x) else (edge, edge)
+
+
 def _batch(names: list[str], types: list[pa.DataType], cols: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types, strict=True)], names=names)
 
@@ -161,13 +169,12 @@ def _ask_anchors(docs: DataFrame, buckets: int, length: int) -> DataFrame:
             order = np.lexsort((g, a))
             a, g = a[order], g[order]
             start = np.flatnonzero(np.concatenate((np.ones(min(1, len(a)), dtype=bool), (a[1:] != a[:-1]) | (g[1:] != g[:-1]))))
-            many = np.diff(np.append(start, len(a))) > 1
+            many = np.diff(np.append(start, len(a))) > 1  # in two documents of the group
             a, g = a[start], g[start]
             b = (a % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(b, kind="stable")
             a, g, many, b = a[order], g[order], many[order], b[order]
-            cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(b)), dtype=bool), b[1:] != b[:-1])))
-            stop = np.append(cut[1:], len(b))
+            cut, stop = _cuts(b)
             cols = [[], [], [], []]
             for x, y in zip(cut.tolist(), stop.tolist(), strict=True):
                 for c, v in zip(cols, (int(b[x]), _six(a[x:y]), g[x:y].astype("<u2").tobytes(), np.packbits(many[x:y]).tobytes()), strict=True):
@@ -189,38 +196,36 @@ def _shared_anchors(asked: DataFrame) -> DataFrame:
         a, g, many = np.concatenate(a), np.concatenate(g), np.concatenate(many).astype(bool)
         order = np.argsort(a, kind="stable")
         a, g, many = a[order], g[order], many[order]
-        start = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-        count = np.diff(np.append(start, len(a)))
+        start, stop = _cuts(a)
+        count = stop - start
         shared = np.repeat((count > 1) | np.logical_or.reduceat(many, start), count)
         a, g = a[shared], g[shared]
         order = np.argsort(g, kind="stable")
         a, g = a[order], g[order]
-        cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(g)), dtype=bool), g[1:] != g[:-1])))
-        stop = np.append(cut[1:], len(g))
+        cut, stop = _cuts(g)
         return pa.table({"grp": pa.array(g[cut].astype(np.int32)), "body": pa.array([_six(np.unique(a[x:y])) for x, y in zip(cut.tolist(), stop.tolist(), strict=True)], pa.binary())})
 
     return asked.groupBy("bucket").applyInArrow(run, "grp int, body binary")
 
 
-def _beside(docs: DataFrame, replies: DataFrame) -> DataFrame:
+def _beside(docs: DataFrame, replies: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per group, first the reply rows (kind 0, ``body``), then its documents: sorted, so that a task can stream both."""
-    d = docs.select("grp", F.lit(1).alias("kind"), "doc_id", F.encode("text", "UTF-8").alias("body"))
-    r = replies.select("grp", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), "body")
+    d = docs.select("grp", F.lit(1).alias("kind"), "doc_id", F.encode("text", "UTF-8").alias("body"), *carry)
+    r = replies.select("grp", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), "body", *(F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in carry))
     return r.unionAll(d).repartition("grp").sortWithinPartitions("grp", "kind")
 
 
-def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], np.ndarray | None, list[bytes]]]:
-    """(group, new reply bodies, ids of documents or None, texts) in order of arrival."""
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], np.ndarray | None, list[bytes], list[pa.Array]]]:
+    """(group, new reply bodies, ids of documents or None, texts, further columns) in order of arrival."""
     for batch in batches:
         grp, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         ids, body = batch.column(2), batch.column(3)
-        cut = np.flatnonzero(np.concatenate(([True], (grp[1:] != grp[:-1]) | (kind[1:] != kind[:-1])))) if len(grp) else []
-        for x, y in zip(cut, np.append(cut[1:], len(grp)), strict=True):
+        for x, y in zip(*(c.tolist() for c in _cuts(2 * grp + kind)), strict=True):
             part = [b or b"" for b in body.slice(x, y - x).to_pylist()]
             if kind[x]:
-                yield int(grp[x]), [], ids.slice(x, y - x).to_numpy(), part
+                yield int(grp[x]), [], ids.slice(x, y - x).to_numpy(), part, [c.slice(x, y - x) for c in batch.columns[4:]]
             else:
-                yield int(grp[x]), part, None, []
+                yield int(grp[x]), part, None, [], []
 
 
 def _ask_runs(docs: DataFrame, replies: DataFrame, shards: int, length: int, most: int = 64 << 20) -> DataFrame:
@@ -248,7 +253,7 @@ def _ask_runs(docs: DataFrame, replies: DataFrame, shards: int, length: int, mos
             held, size = {}, 0
             return _batch(names, types, cols)
 
-        for g, new, ids, texts in _by_group(batches):
+        for g, new, ids, texts, _ in _by_group(batches):
             if g != group:
                 if held:
                     yield flush()
@@ -302,8 +307,8 @@ def _first_documents(asked: DataFrame, length: int) -> DataFrame:
         least = np.minimum.reduceat(low[order], np.flatnonzero(new))
         # Runs that are the only one of their anchor equal no others; the rest are sorted as suffixes.
         kinds = anchor[pick]
-        start = np.flatnonzero(np.concatenate(([True], kinds[1:] != kinds[:-1])))
-        alone = np.repeat(np.diff(np.append(start, len(kinds))) == 1, np.diff(np.append(start, len(kinds))))
+        start, stop = _cuts(kinds)
+        alone = np.repeat(stop - start == 1, stop - start)
         windows = size[pick] - length + 1
         offset = np.cumsum(windows) - windows
         first = np.repeat(least, windows)
@@ -333,18 +338,17 @@ def _first_documents(asked: DataFrame, length: int) -> DataFrame:
         which, to = which[use], to[use]
         order = np.argsort(to, kind="stable")
         which, to = which[order], to[order]
-        cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(to)), dtype=bool), to[1:] != to[:-1])))
-        stop = np.append(cut[1:], len(to))
+        cut, stop = _cuts(to)
         return pa.table({"grp": pa.array(to[cut].astype(np.int32)), "body": pa.array([rec[which[x:y]].tobytes() for x, y in zip(cut.tolist(), stop.tolist(), strict=True)], pa.binary())})
 
     return asked.groupBy("shard").applyInArrow(run, "grp int, body binary")
 
 
-def _removed(docs: DataFrame, replies: DataFrame, length: int, with_kept: bool) -> DataFrame:
+def _removed(docs: DataFrame, replies: DataFrame, length: int, with_kept: bool, carry: tuple[str, ...]) -> DataFrame:
     record = np.dtype([("key", "<u8"), ("a", "<u2"), ("b", "<u2"), ("low", "<i8")])
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
-    names = [f.split()[0] for f in schema.split(", ")]
-    types = [*[pa.int64()] * 4, pa.string(), *[pa.binary()] * with_kept]
+    schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_kept)
+    names, types = schema.names, [*[pa.int64()] * 4, *[pa.string()] * (1 + with_kept)]
+    schema = StructType([*schema.fields, *(docs.schema[c] for c in carry)])
 
     def marks(texts: list[bytes], ids: np.ndarray, known: np.ndarray) -> list[np.ndarray | None]:
         """Per text, how many runs of removed windows begin less end at each byte."""
@@ -370,7 +374,7 @@ def _removed(docs: DataFrame, replies: DataFrame, length: int, with_kept: bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, bodies, known = None, [], np.zeros(0, dtype=record)
-        for g, new, ids, texts in _by_group(batches):
+        for g, new, ids, texts, more in _by_group(batches):
             if g != group:
                 group, bodies, known = g, [], np.zeros(0, dtype=record)
             bodies += new
@@ -389,16 +393,21 @@ def _removed(docs: DataFrame, replies: DataFrame, length: int, with_kept: bool)
                         removed = int(gone.sum())
                         spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                         kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
-                    for c, v in zip(cols, (None if doc == LAST else doc, len(text), removed, spans, hashlib.sha256(kept).hexdigest(), *[kept] * with_kept), strict=True):
+                    for c, v in zip(cols, (None if doc == LAST else doc, len(text), removed, spans, hashlib.sha256(kept).hexdigest(), *[kept.decode(errors="ignore")] * with_kept), strict=True):
                         c.append(v)
-                yield _batch(names, types, cols)
+                made = _batch(names, types, cols)
+                yield pa.RecordBatch.from_arrays([*made.columns, *(c.slice(at, 64) for c in more)], names=schema.names)
+
+    return _beside(docs, replies, carry).mapInArrow(run, schema)
 
-    return _beside(docs, replies).mapInArrow(run, schema)
 
+def remove_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD, group_bytes: int = 16 << 20, with_kept: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs`` (doc_id, text).
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD, group_bytes: int = 16 << 20, with_kept: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every row of ``docs`` (doc_id, text)."""
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ``with_kept`` adds ``kept_text``, without the bytes of characters that were cut in two; ``carry`` names further
+    columns to keep.
+    """
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carry)
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Groups are ranges of ids, 65,535 at most, which ids of two bytes can name; more text makes groups larger, and
     # they are streamed. Buckets hold about 0.6 bytes for each byte of text.
@@ -411,7 +420,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
     shared = stored(_shared_anchors(asked), "suffix-anchors")
     runs = _ask_runs(grouped, shared, max(1, -(-total // shard_bytes)), length)
     firsts = stored(_first_documents(runs, length), "suffix-firsts")
-    return _removed(grouped, firsts, length, with_kept)
+    return _removed(grouped, firsts, length, with_kept, carry)
 
 
 def _group_of(cuts: list[int]) -> F.Column:
