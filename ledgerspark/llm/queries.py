@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, fingerprints, langid, mixing, packing, sharding, simhash, suffix_dedup, toxicity
+from . import chat_format, embed_dedup, fingerprints, langid, mixing, packing, sharding, simhash, suffix_dedup, toxicity
 from .common import read_table
 
 
@@ -15,6 +15,13 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as transcripts without roles; roles are learned from four of five conversations."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("part"), "text", "role")
+    out = chat_format.format_transcripts(turns, chat_format.fit(turns.where(~langid.held_out("conv_id"))))
+    return out.withColumn("held_out", langid.held_out("conv_id"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards, counts at most one apart. Only ids, sizes and checksums are shuffled."""
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
@@ -66,6 +73,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_chat_format": op2_chat_format,
     "op3_sharding": op3_sharding,
     "op4_fingerprints": op4_fingerprints,
     "op5_simhash": op5_simhash,
