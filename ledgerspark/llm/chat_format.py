@@ -35,7 +35,7 @@ BLOCK, SIZES, PRIOR = 64, 8, 50.0
 
 
 def _marker(words: tuple[str, ...]) -> str:
-    return rf"(?i)^\s*(?:#+\s*|\*\*|<\|)?(?:{'|'.join(words)})(?:\|>|\*\*\s*:|\s*:|:\*\*)"
+    return rf"(?i)^\s*(?:#+\s*|\*\*|<\|)?(?:{'|'.join(words)})(?:\|>|:\*\*|\*\*\s*:|\s*:)"
 
 
 ANY_MARKER = _marker(tuple(w for ws in MARKERS for w in ws))
