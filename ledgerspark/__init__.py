@@ -1,0 +1 @@
+"""Multi-chain ledger data on Spark: decoding, validation, reorganisations, ledgers and reports."""
