@@ -63,7 +63,7 @@ def filter_transactions(df: DataFrame, addresses: list[str] = (), contracts: lis
         to = F.col("to_address")
         df = df.where(to.isNull() | (to == "") | to.isin(*contracts)) if len(contracts) <= LISTED else df.where("to_address IS NULL OR to_address = ''").unionByName(_among(df, ["to_address"], list(contracts)))
     if min_value is not None:
-        df = df.where(F.col("value_wei") >= F.lit(min_value).cast("decimal(38,0)"))
+        df = df.where(F.col("value_wei") >= F.lit(str(min_value)).cast("decimal(38,0)"))
     if exclude_empty:
         df = df.where("to_address IS NOT NULL AND to_address <> '' AND value_wei <> 0")
     return df

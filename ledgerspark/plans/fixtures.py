@@ -102,8 +102,8 @@ def duckdb_with(sql: str) -> str:
             used.append(n)
             todo += _needs(VIEWS[n])
     ctes = [f"{n} AS ({VIEWS[n]})" for n in VIEWS if n in used]
-    body = re.sub(r"^\s*WITH\s", ", ", sql) if ctes and re.match(r"\s*WITH\s", sql) else sql
-    text = (("WITH " + ",\n".join(ctes)) if ctes else "") + ("\n" if not body.startswith(",") else "") + body
+    body = re.sub(r"^\s*WITH\s", ", " if ctes else "WITH RECURSIVE ", sql)
+    text = (("WITH RECURSIVE " + ",\n".join(ctes)) if ctes else "") + ("\n" if not body.startswith(",") else "") + body
     return hashed(text, "sha256({})")
 
 
