@@ -17,20 +17,18 @@ def hex_word(c: Column) -> Column:
 
     Text order of the result is numeric order. Null for anything that isn't a number of at most 256 bits.
     """
-    digits = F.regexp_replace(F.lower(c), "^0x", "")
-    bare = F.regexp_replace(digits, "^0+(?=.)", "")
-    return F.when(digits.rlike("^[0-9a-f]+$") & (F.length(bare) <= 64), F.lpad(bare, 64, "0"))
+    return F.lpad(F.nullif(F.regexp_extract(F.lower(c), "^(?:0x)?0*([0-9a-f]{1,64})$", 1), F.lit("")), 64, "0")
 
 
-def word_to_decimal(word: Column) -> Column:
-    """decimal(38,0) of a canonical word of at most 30 significant digits, else null (see :func:`word_to_text`)."""
-    part = lambda at: F.conv(F.substring(word, at, 15), 16, 10).cast("decimal(20,0)")
-    value = (part(35) * F.lit(16**15).cast("decimal(19,0)") + part(50)).cast("decimal(38,0)")
-    return F.when(F.substring(word, 1, 34) == "0" * 34, value)
+def hex_to_decimal(c: Column) -> Column:
+    """decimal(38,0) of a hex number of at most 30 significant digits, else null (see :func:`hex_to_text`)."""
+    digits = F.lpad(F.nullif(F.regexp_extract(F.lower(c), "^(?:0x)?0*([0-9a-f]{1,30})$", 1), F.lit("")), 30, "0")
+    part = lambda at: F.conv(F.substring(digits, at, 15), 16, 10).cast("decimal(20,0)")
+    return (part(1) * F.lit(16**15).cast("decimal(19,0)") + part(16)).cast("decimal(38,0)")
 
 
-def hex_to_decimal(c: Column) -> Column:
-    return word_to_decimal(hex_word(c))
+def word_to_decimal(word: Column) -> Column:
+    return hex_to_decimal(word)
 
 
 #: Base-10^9 digits of 2^(16 k), least first: constants of the conversion below.
@@ -38,14 +36,19 @@ _LIMBS, _DIGITS, _BASE = 16, 9, 10**9
 
 
 def _carried(sums: list[Column]) -> Column:
-    """Decimal text of the number with base-10^9 digits ``sums`` (least first), which may exceed the base."""
-    out, carry = [], F.lit(0).cast("decimal(38,0)")
-    for s in sums:
-        t = s.cast("decimal(38,0)") + carry
-        carry = F.floor(t / F.lit(_BASE).cast("decimal(10,0)")).cast("decimal(38,0)")
-        out.append(F.lpad((t - carry * F.lit(_BASE).cast("decimal(10,0)")).cast("decimal(38,0)").cast("string"), 9, "0"))
-    whole = F.concat(carry.cast("string"), *reversed(out))
-    return F.regexp_replace(whole, "^0+(?=.)", "")
+    """Decimal text of the number with base-10^9 digits ``sums`` (least first), which may exceed the base.
+
+    A fold over the digits, so that each carry is computed once.
+    """
+    wide, base = "decimal(38,0)", F.lit(_BASE).cast("decimal(10,0)")
+    start = F.struct(F.lit(0).cast(wide).alias("carry"), F.lit("").alias("text"))
+
+    def step(acc: Column, s: Column) -> Column:
+        t = s + acc["carry"]
+        carry = F.floor(t / base).cast(wide)
+        return F.struct(carry.alias("carry"), F.concat(F.lpad((t % base).cast("bigint").cast("string"), 9, "0"), acc["text"]).alias("text"))
+
+    return F.aggregate(F.array(*(s.cast(wide) for s in sums)), start, step, lambda r: F.regexp_replace(F.concat(r["carry"].cast("string"), r["text"]), "^0+(?=.)", ""))
 
 
 def _from_limbs(limbs: list[Column], digits: int = _DIGITS) -> Column:

@@ -52,9 +52,10 @@ def evm_transactions(df: DataFrame, raw: str = "result", lenient: bool = False)
     """(chain_id, block_number, block_hash, tx_index, raw) -> transactions, pending."""
     t = df.withColumn("_t", F.from_json(raw, schemas.EVM_TX))
     word = X.hex_word(F.col("_t.value"))
+    value = X.hex_to_decimal(F.col("_t.value"))
     out = t.select(
         "chain_id", _or(F.col("_t.hash"), "", lenient).alias("tx_hash"), "block_number", "block_hash", "tx_index", _or(F.col("_t.from"), "", lenient).alias("from_address"), F.col("_t.to").alias("to_address"),
-        _or(word, "0" * 64, lenient).alias("value_hex"), X.word_to_decimal(_or(word, "0" * 64, lenient)).alias("value_wei"), _or(X.hex_to_decimal(F.col("_t.gasPrice")), 0, lenient).cast("decimal(38,0)").alias("gas_price"), F.lit("pending").alias("status"), raw,
+        _or(word, "0" * 64, lenient).alias("value_hex"), (F.when(word.isNull(), F.lit(0).cast("decimal(38,0)")).otherwise(value) if lenient else value).alias("value_wei"), _or(X.hex_to_decimal(F.col("_t.gasPrice")), 0, lenient).cast("decimal(38,0)").alias("gas_price"), F.lit("pending").alias("status"), raw,
     )
     bad = [] if lenient else [(n, F.col(c).isNull()) for n, c in (("hash", "tx_hash"), ("from", "from_address"), ("value", "value_hex"), ("gasPrice", "gas_price"))]
     return split(out.withColumn("reasons", reasons(*bad) if bad else F.array().cast("array<string>")), raw)
