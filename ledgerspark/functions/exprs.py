@@ -81,11 +81,10 @@ def hex_to_text(c: Column) -> Column:
 
 def block_number(c: Column) -> Column:
     """Height from ``0x`` hex or decimal text; null beyond a signed 64-bit number."""
-    digits = F.regexp_replace(F.lower(c), "^0x0*(?=.)|^0+(?=[0-9])", "")
-    is_hex = c.startswith("0x")
-    as_hex = F.when(digits.rlike("^[0-9a-f]{1,15}$") | digits.rlike("^[0-7][0-9a-f]{15}$"), F.conv(digits, 16, 10)).try_cast("bigint")
+    digits = F.nullif(F.regexp_extract(F.lower(c), "^0x0*([0-9a-f]{1,16})$", 1), F.lit(""))
+    as_hex = F.conv(digits, 16, 10).try_cast("bigint")
     as_dec = F.when(c.rlike("^[0-9]+$"), c).try_cast("bigint")
-    return F.when(is_hex, as_hex).otherwise(as_dec)
+    return F.when(c.startswith("0x"), as_hex).otherwise(as_dec)
 
 
 def to_hex(n: Column) -> Column:

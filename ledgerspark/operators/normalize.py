@@ -21,8 +21,18 @@ def reasons(*tests: tuple[str, Column]) -> Column:
     return F.filter(F.array(*(F.when(t, name) for name, t in tests)), lambda x: x.isNotNull())
 
 
+def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` with ``value`` as a column that is computed once for each row.
+
+    A generated row of one, which the optimizer neither copies into later expressions nor moves filters through:
+    otherwise every field of a parsed text, and every test on it, would parse the text again.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def split(df: DataFrame, raw: str) -> tuple[DataFrame, DataFrame]:
     """Rows without and with ``reasons``."""
+    df = df.select(F.explode(F.array(F.struct("*"))).alias("_row")).select("_row.*")
     good = df.where(F.size("reasons") == 0).drop("reasons", raw)
     return good, df.where(F.size("reasons") > 0).select("chain_id", F.col(raw).alias("raw"), "reasons")
 
@@ -33,7 +43,7 @@ def _or(c: Column, default: object, lenient: bool) -> Column:
 
 def evm_blocks(df: DataFrame, raw: str = "result", lenient: bool = False) -> tuple[DataFrame, DataFrame]:
     """(chain_id, raw) -> blocks, with their transactions still raw."""
-    b = df.withColumn("_b", F.from_json(raw, schemas.EVM_BLOCK))
+    b = once(df, F.from_json(raw, schemas.EVM_BLOCK), "_b")
     height, seconds = X.block_number(F.col("_b.number")), X.block_number(F.col("_b.timestamp"))
     out = b.select(
         "chain_id", _or(height, 0, lenient).alias("block_number"), _or(F.col("_b.hash"), "", lenient).alias("block_hash"), _or(F.col("_b.parentHash"), "", lenient).alias("parent_hash"),
@@ -50,7 +60,7 @@ def block_transactions(blocks: DataFrame) -> DataFrame:
 
 def evm_transactions(df: DataFrame, raw: str = "result", lenient: bool = False) -> tuple[DataFrame, DataFrame]:
     """(chain_id, block_number, block_hash, tx_index, raw) -> transactions, pending."""
-    t = df.withColumn("_t", F.from_json(raw, schemas.EVM_TX))
+    t = once(df, F.from_json(raw, schemas.EVM_TX), "_t")
     word = X.hex_word(F.col("_t.value"))
     value = X.hex_to_decimal(F.col("_t.value"))
     out = t.select(
@@ -63,7 +73,7 @@ def evm_transactions(df: DataFrame, raw: str = "result", lenient: bool = False)
 
 def evm_receipts(df: DataFrame, raw: str = "result") -> tuple[DataFrame, DataFrame]:
     """(chain_id, raw) -> receipts, with their logs still raw."""
-    r = df.withColumn("_r", F.from_json(raw, schemas.EVM_RECEIPT))
+    r = once(df, F.from_json(raw, schemas.EVM_RECEIPT), "_r")
     out = r.select(
         "chain_id", F.col("_r.transactionHash").alias("tx_hash"), X.block_number(F.col("_r.blockNumber")).alias("block_number"), F.col("_r.blockHash").alias("block_hash"),
         X.block_number(F.col("_r.transactionIndex")).alias("tx_index"), X.block_number(F.col("_r.gasUsed")).alias("gas_used"), F.when(F.col("_r.status").isNotNull(), X.receipt_status(F.col("_r.status"))).alias("status"), F.col("_r.logs").alias("logs"), raw,
@@ -73,7 +83,7 @@ def evm_receipts(df: DataFrame, raw: str = "result") -> tuple[DataFrame, DataFra
 
 def evm_logs(df: DataFrame, raw: str = "result") -> tuple[DataFrame, DataFrame]:
     """(chain_id, raw) -> logs; topics that are no texts are dropped."""
-    g = df.withColumn("_l", F.from_json(raw, schemas.EVM_LOG))
+    g = once(df, F.from_json(raw, schemas.EVM_LOG), "_l")
     out = g.select(
         "chain_id", F.col("_l.transactionHash").alias("tx_hash"), X.block_number(F.col("_l.blockNumber")).alias("block_number"), X.block_number(F.col("_l.transactionIndex")).alias("tx_index"),
         X.block_number(F.col("_l.logIndex")).alias("log_index"), F.col("_l.address").alias("address"), F.filter("_l.topics", lambda x: x.isNotNull()).alias("topics"), F.coalesce("_l.data", F.lit("")).alias("data"), raw,
@@ -86,14 +96,14 @@ def receipt_logs(receipts: DataFrame) -> DataFrame:
 
 
 def tron_blocks(df: DataFrame, raw: str = "result") -> tuple[DataFrame, DataFrame]:
-    b = df.withColumn("_b", F.from_json(raw, schemas.TRON_BLOCK))
+    b = once(df, F.from_json(raw, schemas.TRON_BLOCK), "_b")
     out = b.select("chain_id", F.col("_b.blockNumber").alias("block_number"), F.col("_b.blockID").alias("block_hash"), F.col("_b.parentHash").alias("parent_hash"), X.from_millis(F.col("_b.timestamp")).alias("block_ts"), F.col("_b.transactions").alias("transactions"), raw)
     return split(out.withColumn("reasons", reasons(("number", F.col("block_number").isNull()), ("hash", F.col("block_hash").isNull()))), raw)
 
 
 def tron_transactions(df: DataFrame, raw: str = "result") -> tuple[DataFrame, DataFrame]:
     """Transactions of Tron blocks (rows of :func:`block_transactions`), with their logs."""
-    t = df.withColumn("_t", F.from_json(raw, schemas.TRON_TX))
+    t = once(df, F.from_json(raw, schemas.TRON_TX), "_t")
     value = F.col("_t.value")
     out = t.select(
         "chain_id", F.col("_t.txID").alias("tx_hash"), F.coalesce("_t.blockNumber", "block_number").alias("block_number"), F.coalesce("_t.blockHash", "block_hash").alias("block_hash"), "tx_index",
@@ -111,14 +121,14 @@ def nested_logs(transactions: DataFrame) -> DataFrame:
 
 def solana_blocks(df: DataFrame, raw: str = "result") -> tuple[DataFrame, DataFrame]:
     """The slot is the height; the parent hash is optional."""
-    b = df.withColumn("_b", F.from_json(raw, schemas.SOLANA_BLOCK))
+    b = once(df, F.from_json(raw, schemas.SOLANA_BLOCK), "_b")
     out = b.select("chain_id", F.coalesce("_b.slot", F.col("_b.parentSlot") + 1).alias("block_number"), F.col("_b.blockhash").alias("block_hash"), F.col("_b.previousBlockhash").alias("parent_hash"), F.timestamp_seconds("_b.blockTime").alias("block_ts"), F.col("_b.transactions").alias("transactions"), raw)
     return split(out.withColumn("reasons", reasons(("number", F.col("block_number").isNull()), ("hash", F.col("block_hash").isNull()))), raw)
 
 
 def solana_transactions(df: DataFrame, raw: str = "result") -> tuple[DataFrame, DataFrame]:
     """The fee counts as gas used; each log message is a log of one topic."""
-    t = df.withColumn("_t", F.from_json(raw, schemas.SOLANA_TX))
+    t = once(df, F.from_json(raw, schemas.SOLANA_TX), "_t")
     log = F.transform(F.coalesce("_t.meta.logMessages", F.array().cast("array<string>")), lambda m: F.struct(F.lit("").alias("address"), F.array(m).alias("topics"), F.lit("").alias("data")))
     zero = F.lit(0).cast("decimal(38,0)")
     out = t.select(

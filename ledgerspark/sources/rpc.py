@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark import schemas
+from ledgerspark.operators.normalize import once
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
@@ -19,7 +20,7 @@ def decode_envelopes(df: DataFrame, column: str = "envelope") -> tuple[DataFrame
     An array is a batch: a failed element fails alone. Unreadable text is bad as a whole.
     """
     items = F.when(F.ltrim(column).startswith("["), F.from_json(column, "array<string>")).otherwise(F.array(F.col(column)))
-    rows = df.withColumn("_raw", F.explode_outer(items)).withColumn("_e", F.from_json("_raw", schemas.ENVELOPE))
+    rows = once(df.withColumn("_raw", F.explode_outer(items)), F.from_json("_raw", schemas.ENVELOPE), "_e")
     reason = F.when(F.col("_raw").isNull() | F.col("_e").isNull() | (F.col("_e.result").isNull() & F.col("_e.error").isNull()), "unreadable").when(
         F.col("_e.error").isNotNull(), F.concat_ws(": ", F.lit("rpc error"), F.col("_e.error.code").cast("string"), F.col("_e.error.message"))
     )
