@@ -16,10 +16,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as a table in the shared folder and read back, which cuts its lineage."""
+    """``df`` written once as a table in the shared folder and read back, which cuts its lineage.
+
+    The shuffle files of the write are removed as soon as it ends, as nothing reads them again.
+    """
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
+    path, option = fresh_path(spark, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(option)
+    spark.conf.set(option, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(option, before)
     return spark.read.parquet(path)
 
 

@@ -35,7 +35,7 @@ from .common import stored
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text that are hashed at once, and in a shard or bucket.
-CHUNK, SHARD = 1 << 20, 8 << 20
+CHUNK, SHARD = 1 << 20, 4 << 20
 LAST = (1 << 63) - 1
 
 _MULT = np.uint64(0xD6E8FEB86659FD93)
