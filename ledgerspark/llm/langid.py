@@ -117,14 +117,21 @@ class Trees:
 
 def fit(docs: DataFrame, per_lang: int = 400, order: int = 3, seed: int = 10, most_chars: int = 4_000_000) -> Trees:
     """Trees from ``docs`` (doc_id, text, lang): the first ``per_lang`` documents of each language by a seeded hash."""
-    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
-    # A rank limit per language: Spark keeps at most per_lang rows of a language in each task before the shuffle.
-    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= per_lang)
+    h = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 31))
+    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text", h.alias("h"))
+    # About twice the wanted number passes a hash limit set by the language's size, and the first of these are ranked.
+    # The model has a column for each language, so there are as few rows here.
+    sizes = rows.groupBy("lang").count().collect()
+    limit = F.lit(None).cast("double")
+    for r in sizes:
+        limit = F.when(F.col("lang") == r["lang"], 2.0 * per_lang / r["count"] * (1 << 31)).otherwise(limit)
+    near = rows.where(F.col("h") < limit)
+    first = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= per_lang)
     samples: dict[str, list[str]] = {}
-    sizes: dict[str, int] = {}
+    chars: dict[str, int] = {}
     for r in first.sort("lang", "r").toLocalIterator():
-        sizes[r["lang"]] = sizes.get(r["lang"], 0) + len(r["text"])
-        if sizes[r["lang"]] <= most_chars:
+        chars[r["lang"]] = chars.get(r["lang"], 0) + len(r["text"])
+        if chars[r["lang"]] <= most_chars:
             samples.setdefault(r["lang"], []).append(r["text"])
     return Trees.fit({k: v for k, v in samples.items() if v}, order)
 
