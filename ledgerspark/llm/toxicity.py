@@ -108,7 +108,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 16_000, n_features:
     """Model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0/1); see the module for the sample's bound."""
     own = labels.where("toxic IS NOT NULL").select("doc_id", (F.col("toxic") == 1).cast("int").alias("y"))
     # The sample is chosen on ids alone, so only its texts are shuffled.
-    chosen = own.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "y").limit(max_train)
+    # About twice the wanted number passes a hash limit, and the first of these are taken.
+    h = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 31))
+    chosen = own.where(h < 2.0 * max_train / max(1, own.count()) * (1 << 31)).orderBy(h, "doc_id", "y").limit(max_train)
     train = stored(chosen.join(docs.select("doc_id", "text"), "doc_id").select("y", "text").repartition("text"), "toxicity-sample")
     n, pos = (x or 0 for x in train.agg(F.count(F.lit(1)), F.sum("y")).first())
     neg = n - pos
