@@ -11,7 +11,7 @@ every exit state, these small tables are chained for each conversation, and each
 states so found.
 
 Null texts and roles: a null text has no lines, a null or unknown role is not learned from. Blank lines only separate.
-Null ids form one conversation; null part numbers come first; equal part numbers are ordered by text. Conversations
+Null ids form one conversation; null part numbers come first; equal part numbers are ordered by a hash of their text, and their lines alternate if the texts are equal. Conversations
 without lines don't appear; an empty table gives no rows. Other columns are left out.
 """
 

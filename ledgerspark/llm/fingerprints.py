@@ -21,16 +21,15 @@ K, SHINGLE = 128, 5
 
 def sketch(text: Column, k: int = K, shingle: int = SHINGLE) -> Column:
     """Sorted array of the ``k`` least distinct shingle hashes of ``text``."""
-    hashed = F.transform(words_of(text), lambda w: F.xxhash64(w))
-    one = lambda i: F.xxhash64(*(F.get(F.col("_w"), i + j) for j in range(shingle)))
-    # A lambda over the words' hashes; transform over [hashes] binds them to a name without another column.
-    many = F.transform(
-        F.array(hashed),
-        lambda w: F.when(F.size(w) == 0, F.array().cast("array<bigint>"))
-        .when(F.size(w) < shingle, F.array(F.aggregate(w, F.lit(42).cast("long"), lambda a, x: F.xxhash64(a, x))))
-        .otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - shingle), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(shingle))))),
-    )
-    return F.slice(F.sort_array(F.array_distinct(F.get(many, F.lit(0)))), 1, k)
+    # Words are hashed once; a lambda over the array of hashes stands for a variable.
+    hashed = F.array(F.transform(words_of(text), lambda w: F.xxhash64(w)))
+
+    def shingles(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(w) - shingle), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(shingle))))
+        whole = F.array(F.aggregate(w, F.lit(42).cast("long"), lambda a, x: F.xxhash64(a, x)))
+        return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(F.size(w) < shingle, whole).otherwise(each)
+
+    return F.slice(F.sort_array(F.array_distinct(F.get(F.transform(hashed, shingles), F.lit(0)))), 1, k)
 
 
 def merge(a: Column, b: Column, k: int = K) -> Column:
