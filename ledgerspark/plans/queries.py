@@ -526,6 +526,32 @@ def log_route(s, d):
     return ledger.route(g).select("chain_id", "tx_hash", "log_index", "route")
 
 
+ZERO = "0x" + "0" * 40
+
+
+@query(f"""SELECT chain_id, CASE WHEN sender = '{ZERO}' THEN 'mint' WHEN receiver = '{ZERO}' THEN 'burn' ELSE 'transfer' END AS kind, count(*) AS n, CAST(sum(amount) AS VARCHAR) AS amount FROM ({TRANSFERS}) t GROUP BY ALL""")
+def transfer_kinds(s, d):
+    t = ledger.transfers(view(s, d, "logs").withColumn("topics", F.array("topic0", "topic1", "topic2"))).withColumn("kind", ledger.transfer_kind())
+    return t.groupBy("chain_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("decimal(38,0)").cast("string").alias("amount"))
+
+
+@query("""SELECT t.tx_hash, CAST(CAST(t.gas_price AS HUGEINT) * r.gas_used AS VARCHAR) AS fee FROM tx t JOIN receipts r ON r.chain_id = t.chain_id AND r.tx_hash = t.tx_hash""")
+def tx_fees(s, d):
+    t = joins.with_receipts(view(s, d, "tx"), view(s, d, "receipts"))
+    return t.select("tx_hash", text(X.fee(F.col("gas_price"), F.col("gas_used")), "fee"))
+
+
+@query("""SELECT tx_hash, format('{:,}', gas_price) AS grouped, concat(substr(tx_hash, 1, 10), '...') AS short FROM tx""")
+def report_texts(s, d):
+    return view(s, d, "tx").select("tx_hash", X.thousands(F.col("gas_price")).alias("grouped"), X.truncate(F.col("tx_hash"), 10).alias("short"))
+
+
+@query("SELECT chain_id, tip, finalized FROM heads")
+def finalized_heights(s, d):
+    depth = F.when(F.col("chain_id") == "1", 12).when(F.col("chain_id") == "56", 20).otherwise(128)
+    return view(s, d, "heads").select("chain_id", "tip", progress.finalized_height(F.col("tip"), depth).alias("finalized"))
+
+
 WALLET = f"""SELECT m.tx_hash, m.block_number, m.log_index, coalesce(k.symbol, 'Unknown') AS symbol, CAST(m.amount AS VARCHAR) AS amount, CAST(CAST(t.gas_price AS HUGEINT) * r.gas_used AS VARCHAR) AS fee,
  CASE WHEN m.sender = m.receiver THEN 'transfer' WHEN m.receiver = '{ADDR}' THEN 'deposit' ELSE 'withdraw' END AS tx_type
  FROM ({TRANSFERS}) m JOIN tx t ON t.chain_id = m.chain_id AND t.tx_hash = m.tx_hash JOIN receipts r ON r.chain_id = m.chain_id AND r.tx_hash = m.tx_hash

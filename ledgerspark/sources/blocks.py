@@ -2,7 +2,8 @@
 
 The transport ``files`` reads ``<path>/<height>.json`` (or what ``<path>/head`` names as the head), ``module:function``
 names a callable ``(options, height or "head") -> str``. Options: ``chain_id``, ``start``, ``end``, ``batch`` (heights
-in a partition, 100), ``finality_blocks``, ``maxBlocksPerTrigger``.
+in a partition, 100), ``finality_blocks``, ``maxBlocksPerTrigger``. In a batch, ``hashes`` (comma-separated) reads what is stored under these names instead of
+heights, such as receipts of transactions; block_number is then null.
 """
 
 from __future__ import annotations
@@ -25,6 +26,11 @@ def fetch(options: dict, what: int | str) -> str | None:
     return getattr(importlib.import_module(module), function)(options, what)
 
 
+class HashList(InputPartition):
+    def __init__(self, hashes: list[str]):
+        self.hashes = hashes
+
+
 class HeightRange(InputPartition):
     def __init__(self, start: int, end: int):
         self.start, self.end = start, end
@@ -34,7 +40,12 @@ def ranges(start: int, end: int, batch: int) -> list[HeightRange]:
     return [HeightRange(a, min(a + batch - 1, end)) for a in range(start, end + 1, batch)]
 
 
-def _rows(options: dict, part: HeightRange) -> Iterator[tuple]:
+def _rows(options: dict, part: HeightRange | HashList) -> Iterator[tuple]:
+    if isinstance(part, HashList):
+        for name in part.hashes:
+            if (body := fetch(options, name)) is not None:
+                yield options.get("chain_id", "1"), None, body
+        return
     for h in range(part.start, part.end + 1):
         if (body := fetch(options, h)) is not None:
             yield options.get("chain_id", "1"), h, body
@@ -44,8 +55,11 @@ class BlockReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = dict(options)
 
-    def partitions(self) -> list[HeightRange]:
+    def partitions(self) -> list[HeightRange] | list[HashList]:
         o = self.options
+        if "hashes" in o:
+            names, n = [h.strip() for h in o["hashes"].split(",") if h.strip()], int(o.get("batch", 100))
+            return [HashList(names[k : k + n]) for k in range(0, len(names), n)]
         end = int(o["end"]) if "end" in o else int(fetch(o, "head"))
         return ranges(int(o.get("start", 0)), end, int(o.get("batch", 100)))
 

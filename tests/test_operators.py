@@ -143,6 +143,9 @@ def test_block_source_batch_and_stream(spark, tmp_path):
     spark.dataSource.register(blocks.BlockRangeSource)
     df = spark.read.format("block_range").option("path", str(src)).option("start", 10).load()
     assert df.count() == 240 and df.rdd.getNumPartitions() == 3
+    (src / "0xabc.json").write_text("{}")
+    named = spark.read.format("block_range").option("path", str(src)).option("hashes", "0xabc, 0xmissing").load()
+    assert [tuple(r) for r in named.collect()] == [("1", None, "{}")]
     out, check = tmp_path / "out", tmp_path / "check"
 
     def write(name, rows, n):
