@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, mb: int = 8) -> None:
+    """Arrow batches of at most ``mb`` MB from here on: texts are long, and both sides of a Python task hold batches."""
+    option = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(option)
+    size = int(re.match(r"-?\d+", now)[0]) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now.lower().rstrip("b")[-1:], 1)
+    if not 0 < size <= mb << 20:
+        spark.conf.set(option, f"{mb << 20}b")
+
+
+def trim() -> None:
+    """Returns freed memory to the system, where the C library can. Python workers live on for other
+    tasks, so a task that used much gives it back at its end."""
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back, which cuts its lineage.
 

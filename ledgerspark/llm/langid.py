@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 PAD = b"\n"
 
 
@@ -138,6 +140,7 @@ def fit(docs: DataFrame, per_lang: int = 400, order: int = 3, seed: int = 10, mo
 
 def predict(docs: DataFrame, trees: Trees) -> DataFrame:
     """(doc_id, lang_pred, score): score is the share of the best language when code lengths are likelihoods."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, stored
+from .common import bounded_batches, connected_components, stored
 
 
 def simhash(text: str | None, words_per_shingle: int = 3, seed: int = 42) -> int:
@@ -49,6 +49,7 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
             fp = np.array([simhash(t, words_per_shingle) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 

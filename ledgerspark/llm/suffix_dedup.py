@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import induced
-from .common import stored
+from .common import bounded_batches, stored, trim
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text that are hashed at once, and in a shard or bucket.
@@ -282,6 +282,7 @@ def _ask_runs(docs: DataFrame, replies: DataFrame, shards: int, length: int, mos
                     yield flush()
         if held:
             yield flush()
+        trim()
 
     return _beside(docs, replies).mapInArrow(run, schema)
 
@@ -314,6 +315,7 @@ def _first_documents(asked: DataFrame, length: int) -> DataFrame:
         first = np.repeat(least, windows)
         sorted_ = np.flatnonzero(~alone)
         if len(sorted_):
+            trim()
             cls, seg, off = induced.classes([body[at[k] : at[k] + size[k]] for k in pick[sorted_].tolist()], length)
             if len(cls):
                 place = offset[sorted_[seg]] + off
@@ -397,6 +399,7 @@ def _removed(docs: DataFrame, replies: DataFrame, length: int, with_kept: bool,
                         c.append(v)
                 made = _batch(names, types, cols)
                 yield pa.RecordBatch.from_arrays([*made.columns, *(c.slice(at, 64) for c in more)], names=schema.names)
+        trim()
 
     return _beside(docs, replies, carry).mapInArrow(run, schema)
 
@@ -407,6 +410,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
     ``with_kept`` adds ``kept_text``, without the bytes of characters that were cut in two; ``carry`` names further
     columns to keep.
     """
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carry)
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Groups are ranges of ids, 65,535 at most, which ids of two bytes can name; more text makes groups larger, and
