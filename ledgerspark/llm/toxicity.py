@@ -22,10 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import stored
+from .common import bounded_batches, stored, trim
 
 #: Bits of the hashed feature space and lengths of n-grams.
-BITS, LENGTHS = 22, (4, 5, 6, 8)
+BITS, LENGTHS = 22, (4, 5, 6, 8, 10)
 #: Characters hashed at once, so that very long texts take bounded memory.
 BLOCK = 1 << 18
 
@@ -104,8 +104,9 @@ def logistic(doc: np.ndarray, col: np.ndarray, y: np.ndarray, scale: np.ndarray,
     return w * scale, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 16_000, n_features: int = 8192, min_docs: int = 4, seed: int = 8) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 16_000, n_features: int = 8192, min_docs: tuple[int, int] = (4, 10), seed: int = 8) -> Model:
     """Model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0/1); see the module for the sample's bound."""
+    bounded_batches(docs.sparkSession)
     own = labels.where("toxic IS NOT NULL").select("doc_id", (F.col("toxic") == 1).cast("int").alias("y"))
     # The sample is chosen on ids alone, so only its texts are shuffled.
     # About twice the wanted number passes a hash limit, and the first of these are taken.
@@ -122,14 +123,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 16_000, n_features:
         for b in batches:
             for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 with_label[y, features(t)] += 1
-        f = np.flatnonzero(with_label.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(with_label[1, f].astype(np.int64)), pa.array(with_label[0, f].astype(np.int64))], names=["f", "p", "q"])
+        seen = np.flatnonzero(with_label[0] | with_label[1])
+        for at in range(0, len(seen), 1 << 16):
+            f = seen[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(f), *(pa.array(with_label[y, f].astype(np.int64)) for y in (1, 0))], names=["f", "p", "q"])
+        del with_label
+        trim()
 
     counts = train.mapInArrow(count, "f long, p long, q long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    # A feature of few documents fits them by chance: 1 in 250 training texts at least, within the two bounds.
+    least = min(min_docs[1], max(min_docs[0], n // 250))
     ratio = F.log((F.col("p") + 1) / (pos + 2)) - F.log((F.col("q") + 1) / (neg + 2))
     # Evidence: the ratio in units of its standard error.
     strength = F.abs(ratio) / F.sqrt(1 / (F.col("p") + 1) + 1 / (F.col("q") + 1))
-    best = counts.where(F.col("p") + F.col("q") >= min_docs).select("f", ratio.alias("r"), strength.alias("s")).orderBy(F.desc("s"), "f").limit(n_features).toPandas().sort_values("f")
+    best = counts.where(F.col("p") + F.col("q") >= least).select("f", ratio.alias("r"), strength.alias("s")).orderBy(F.desc("s"), "f").limit(n_features).toPandas().sort_values("f")
     keep, scale = best["f"].to_numpy(dtype=np.int64), best["r"].to_numpy(dtype=float)
     flags = Model(keep, scale, 0.0).flags()
 
@@ -148,6 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 16_000, n_features:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (any columns, with text) with a column ``score``; a column of that name is replaced."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.drop("score")
 
@@ -157,6 +165,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             s = m.score(b.column(b.schema.get_field_index("text")).to_pylist(), flags)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, "score"])
+        trim()
 
     return base.mapInArrow(run, StructType([*base.schema.fields, StructField("score", DoubleType())]))
 
