@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import bounded_batches, trim
+
 #: (document index, start in it, length)
 Piece = tuple[int, int, int]
 
@@ -110,9 +112,9 @@ class WordCachedTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.words, self.stems = Numbered(), Numbered()
+        self.words, self.untrimmed = Numbered(), 0
         self.ids = np.zeros(0, dtype="<u4")
-        self.start, self.length, self.stem_start, self.stem_length = (np.zeros(0, dtype=np.int64) for _ in range(4))
+        self.start, self.length = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def _halve(self) -> None:
         """Forgets the words that were met last; frequent ones are met first."""
@@ -128,12 +130,18 @@ class WordCachedTokenizer:
         return at
 
     def _learn(self) -> None:
-        """Ids of the words seen since the last call."""
-        parts = [stem_of(w, self.tails) for w in self.words.new]
-        known = np.fromiter((self.stems[s] for s, _ in parts), dtype=np.int64, count=len(parts))
-        new, self.stems.new, self.words.new = self.stems.new, [], []
-        plain = np.fromiter(map(str.isalpha, new), dtype=bool, count=len(new))
-        letters, rest = list(itertools.compress(new, plain)), list(itertools.compress(new, ~plain))
+        """Ids of the words seen since the last call. A stem is a word like any other, with an entry of its own."""
+        first, new = len(self.words) - len(self.words.new), self.words.new
+        stem, mark = [], []
+        for w in new:  # grows by stems that weren't words yet
+            s, t = stem_of(w, self.tails)
+            stem.append(-1 if s == w else self.words[s])
+            mark.append(self.tails.get(t, -1))
+        self.words.new = []
+        stem, mark = np.array(stem, dtype=np.int64), np.array(mark, dtype=np.int64)
+        own = stem < 0
+        plain = np.fromiter(map(str.isalpha, new), dtype=bool, count=len(new)) & own
+        letters, rest = list(itertools.compress(new, plain)), list(itertools.compress(new, own & ~plain))
         start, length = np.zeros(len(new), dtype=np.int64), np.zeros(len(new), dtype=np.int64)
         if letters:
             ids = np.array(self.tok.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -143,17 +151,21 @@ class WordCachedTokenizer:
             start[plain] = self._add(ids, length[plain])
         if rest:
             ids = [e.ids for e in self.tok.encode_batch_fast(rest, add_special_tokens=False)]
-            length[~plain] = list(map(len, ids))
-            start[~plain] = self._add(np.fromiter(itertools.chain.from_iterable(ids), dtype="<u4"), length[~plain])
-        self.stem_start, self.stem_length = np.concatenate([self.stem_start, start]), np.concatenate([self.stem_length, length])
-        start, length = self.stem_start[known], self.stem_length[known]
-        marks = np.fromiter((self.tails.get(t, -1) for _, t in parts), dtype=np.int64, count=len(parts))
-        cut = np.flatnonzero(marks >= 0)
-        n = length[cut] + 1
-        ids = self.ids[runs(start[cut], n) % max(1, len(self.ids))]
-        ids[np.cumsum(n) - 1] = marks[cut]
-        start[cut], length[cut] = self._add(ids, n), n
+            length[own & ~plain] = list(map(len, ids))
+            start[own & ~plain] = self._add(np.fromiter(itertools.chain.from_iterable(ids), dtype="<u4"), length[own & ~plain])
         self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
+        # Words with a stem have its ids, and after them the mark's.
+        at = first + np.flatnonzero(~own)
+        self.start[at], self.length[at] = self.start[stem[~own]], self.length[stem[~own]]
+        cut = np.flatnonzero(mark >= 0)
+        n = self.length[first + cut] + 1
+        ids = self.ids[runs(self.start[first + cut], n) % max(1, len(self.ids))]
+        ids[np.cumsum(n) - 1] = mark[cut]
+        self.start[first + cut], self.length[first + cut] = self._add(ids, n), n
+        self.untrimmed += len(new)
+        if self.untrimmed > 30_000:
+            self.untrimmed = 0
+            trim()
 
     def __call__(self, texts: list[str], at_once: int = 256) -> Iterator[np.ndarray]:
         for at in range(0, len(texts), at_once):
@@ -238,5 +250,9 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
                     yield rows()
         packer.drain()
         yield rows()
+        # The worker lives on for other tasks: give the memory of the words back.
+        del encode
+        trim()
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
