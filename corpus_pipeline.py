@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import mixing, packing, simhash, suffix_dedup, toxicity
+from ledgerspark.llm import mixing, near_copies, packing, suffix_dedup, toxicity
 from ledgerspark.llm.common import read_table, stored
 from ledgerspark.llm.queries import tokenizer_path
 
@@ -25,8 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, the one of smallest id."""
-    return simhash.one_of_each(docs.select(*COLUMNS))
+    """One document of each component of near copies (five-word shingles, Jaccard similarity 0.8), the one of smallest id."""
+    return near_copies.one_of_each(docs.select(*COLUMNS))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
