@@ -96,15 +96,15 @@ def _steps(radius: int) -> list[int]:
 
 
 def link_fingerprints(fps: DataFrame, radius: int = 2, tile: int = 2048) -> DataFrame:
-    """Links (u, v) between nodes of ``fps`` (fp unique, node) that connect all fingerprints within ``radius`` bits."""
+    """Links (u, v) between nodes of ``fps`` (fp unique, node never null) that connect all fingerprints within ``radius`` bits."""
     quarter = [F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))).cast("int") + radius for k in range(4)]
     key = sum((F.shiftleft(q, 6 * k) for k, q in enumerate(quarter)), F.lit(0))
     keyed = fps.select("fp", "node", key.alias("key"))
     # Four counts of 0 to 16: at most 83,521 keys, so this table can be broadcast.
     sizes = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("chunks"))
     tiles = keyed.join(F.broadcast(sizes), "key").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    tiles = tiles.groupBy("key", "chunk").agg(F.collect_list("fp").alias("fp"), F.collect_list("node").alias("node"))
-    tiles = stored(tiles, "simhash-tiles")
+    tiles = tiles.groupBy("key", "chunk").agg(F.collect_list(F.struct("fp", "node")).alias("m"))
+    tiles = stored(tiles.select("key", "chunk", F.col("m.fp").alias("fp"), F.col("m.node").alias("node")), "simhash-tiles")
     left = tiles.select(F.explode(F.array(*map(F.lit, _steps(radius)))).alias("step"), F.col("key").alias("lkey"), F.col("chunk").alias("lchunk"), F.col("fp").alias("lfp"), F.col("node").alias("lnode"))
     left = left.withColumn("key", F.col("lkey") + F.col("step"))
     pairs = left.join(tiles, "key").where("step <> 0 OR lchunk <= chunk").select("lfp", "lnode", "fp", "node", ((F.col("step") == 0) & (F.col("lchunk") == F.col("chunk"))).alias("same"))
@@ -128,7 +128,12 @@ def link_fingerprints(fps: DataFrame, radius: int = 2, tile: int = 2048) -> Data
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fp, fingerprint, component_id): component_id is the smallest doc_id reachable over links."""
     prints = stored(fingerprints(docs, words_per_shingle), "simhash")
-    fps = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    linked = connected_components(link_fingerprints(fps, radius))
-    named = fps.join(linked, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    # Fingerprints are the nodes, as they are never null; ids follow from the least of each component. Fingerprints that
+    # share their least id (rows of equal ids) are linked too.
+    fps = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    same = fps.where("least IS NOT NULL").groupBy("least").agg(F.min("fp").alias("first"))
+    same = fps.join(same, "least").where("fp <> first").select(F.col("fp").alias("u"), F.col("first").alias("v"))
+    linked = connected_components(link_fingerprints(fps.select("fp", F.col("fp").alias("node")), radius).unionAll(same))
+    rooted = fps.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
