@@ -12,8 +12,10 @@ a run. The steps, all over whole texts:
    itself. The smallest ids return to the groups.
 4. Each group marks the windows that a smaller document has too, and writes what is left.
 
-A passage that a third of all documents share costs a shard one entry for each group, not for each document. Every step
-streams; groups and shards are sized by bytes, so none grows with the corpus. The texts are shuffled twice.
+A passage that a third of all documents share costs a shard one entry for each group, not for each document. Runs at its
+edges differ in every document, so an anchor with many runs is hot: its runs are cut into windows, which are dealt to
+shards by a hash of their own bytes. Equal windows still meet, and no anchor fills a shard. Every step streams; groups
+and shards are sized by bytes, so none grows with the corpus. The texts are shuffled twice.
 
 Null texts are empty; texts shorter than ``length`` stay whole; a null id counts as larger than any other; rows of
 equal id don't remove from each other; a document does not remove from itself; an empty table gives no rows.
@@ -59,11 +61,12 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 class Runs:
     """Runs of windows with one anchor each, of documents laid end to end in ``raw``.
 
-    ``first`` and ``last`` window, ``anchor`` hash and ``key`` (a hash of the run's anchor, bytes and their number).
+    ``first`` and ``last`` window, ``anchor`` hash and ``key`` (a hash of the run's anchor, bytes and their number). Runs
+    with an anchor of ``hot`` (sorted) are cut into windows and marked in ``split``.
     """
 
-    def __init__(self, raw: np.ndarray, ends: np.ndarray, length: int = LENGTH):
-        self.raw, self.length = raw, length
+    def __init__(self, raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, hot: np.ndarray | None = None):
+        self.raw, self.length, self.split = raw, length, np.zeros(0, dtype=bool)
         gram = min(GRAM, length // 2)
         n, grams = len(raw), length - gram + 1
         z = np.zeros(0, dtype=np.int64)
@@ -87,6 +90,14 @@ class Runs:
         own = owner[start] >= 0
         self.first, self.last = start[own], last[own]
         self.anchor = h[owner[self.first]]
+        self.split = np.zeros(len(self.first), dtype=bool)
+        if hot is not None and len(hot):
+            self.split = _among(self.anchor & _LOW48, hot)
+            count = np.where(self.split, self.last - self.first + 1, 1)
+            run = np.repeat(np.arange(len(count)), count)
+            self.first = induced.spans(self.first, count)
+            self.split = self.split[run]
+            self.last, self.anchor = np.where(self.split, self.first, self.last[run]), self.anchor[run]
         stop = self.last + length
         body = _mixed((total[stop] - total[self.first]) * _INV[self.first])
         self.key = _mixed(body ^ (self.anchor * _MULT) ^ (stop - self.first).astype(np.uint64))
@@ -133,6 +144,11 @@ def _wide(b: bytes) -> np.ndarray:
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in ``known``, which is sorted and not empty."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def _cuts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and after-last places of the runs of equal values."""
     edge = np.flatnonzero(x[1:] != x[:-1]) + 1
@@ -148,7 +164,8 @@ def _raw(column: pa.Array) -> list[bytes]:
 
 
 def _ask_anchors(docs: DataFrame, buckets: int, length: int) -> DataFrame:
-    """(bucket, anchors, groups, many): which anchors each group has, and whether in two documents at least."""
+    """(bucket, anchors, groups, many, runs): which anchors each group has, whether in two documents at least, and in how
+    many runs (65,535 stands for more)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,45 +182,52 @@ def _ask_anchors(docs: DataFrame, buckets: int, length: int) -> DataFrame:
             order = np.lexsort((row, a))
             a, row = a[order], row[order]
             first = np.concatenate((np.ones(min(1, len(a)), dtype=bool), (a[1:] != a[:-1]) | (row[1:] != row[:-1])))
+            runs = np.diff(np.append(np.flatnonzero(first), len(a)))
             a, g = a[first], group[row[first]]  # one for each document
             order = np.lexsort((g, a))
-            a, g = a[order], g[order]
+            a, g, runs = a[order], g[order], runs[order]
             start = np.flatnonzero(np.concatenate((np.ones(min(1, len(a)), dtype=bool), (a[1:] != a[:-1]) | (g[1:] != g[:-1]))))
             many = np.diff(np.append(start, len(a))) > 1  # in two documents of the group
+            runs = np.minimum(np.add.reduceat(runs, start), 65_535) if len(start) else runs
             a, g = a[start], g[start]
             b = (a % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(b, kind="stable")
-            a, g, many, b = a[order], g[order], many[order], b[order]
+            a, g, many, runs, b = a[order], g[order], many[order], runs[order], b[order]
             cut, stop = _cuts(b)
-            cols = [[], [], [], []]
+            cols = [[], [], [], [], []]
             for x, y in zip(cut.tolist(), stop.tolist(), strict=True):
-                for c, v in zip(cols, (int(b[x]), _six(a[x:y]), g[x:y].astype("<u2").tobytes(), np.packbits(many[x:y]).tobytes()), strict=True):
+                for c, v in zip(cols, (int(b[x]), _six(a[x:y]), g[x:y].astype("<u2").tobytes(), np.packbits(many[x:y]).tobytes(), runs[x:y].astype("<u2").tobytes()), strict=True):
                     c.append(v)
-            yield _batch(["bucket", "anchors", "groups", "many"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()], cols)
+            yield _batch(["bucket", "anchors", "groups", "many", "runs"], [pa.int32(), *[pa.binary()] * 4], cols)
 
-    return docs.select("grp", "doc_id", "text").mapInArrow(run, "bucket int, anchors binary, groups binary, many binary")
+    return docs.select("grp", "doc_id", "text").mapInArrow(run, "bucket int, anchors binary, groups binary, many binary, runs binary")
 
 
-def _shared_anchors(asked: DataFrame) -> DataFrame:
-    """(grp, body): for each group, anchors of its documents that two documents at least have."""
+def _shared_anchors(asked: DataFrame, most: int) -> DataFrame:
+    """(grp, body): for each group, anchors of its documents that two documents at least have. A body begins with 1 if
+    its anchors are hot, which have more than ``most`` runs in all groups, else with 0."""
 
     def run(table: pa.Table) -> pa.Table:
-        a, g, many = [], [], []
-        for x, y, z in zip(*(table.column(c).to_pylist() for c in ("anchors", "groups", "many")), strict=True):
+        a, g, many, runs = [], [], [], []
+        for x, y, z, r in zip(*(table.column(c).to_pylist() for c in ("anchors", "groups", "many", "runs")), strict=True):
+            runs.append(np.frombuffer(r, dtype="<u2"))
             a.append(_wide(x))
             g.append(np.frombuffer(y, dtype="<u2"))
             many.append(np.unpackbits(np.frombuffer(z, dtype=np.uint8))[: len(a[-1])])
-        a, g, many = np.concatenate(a), np.concatenate(g), np.concatenate(many).astype(bool)
+        a, g, many, runs = np.concatenate(a), np.concatenate(g), np.concatenate(many).astype(bool), np.concatenate(runs).astype(np.int64)
         order = np.argsort(a, kind="stable")
-        a, g, many = a[order], g[order], many[order]
+        a, g, many, runs = a[order], g[order], many[order], runs[order]
         start, stop = _cuts(a)
         count = stop - start
+        if not len(a):
+            return pa.table({"grp": pa.array([], pa.int32()), "body": pa.array([], pa.binary())})
         shared = np.repeat((count > 1) | np.logical_or.reduceat(many, start), count)
-        a, g = a[shared], g[shared]
+        hot = np.repeat(np.add.reduceat(runs, start) > most, count)[shared]
+        a, g = a[shared], 2 * g[shared].astype(np.int64) + hot
         order = np.argsort(g, kind="stable")
         a, g = a[order], g[order]
         cut, stop = _cuts(g)
-        return pa.table({"grp": pa.array(g[cut].astype(np.int32)), "body": pa.array([_six(np.unique(a[x:y])) for x, y in zip(cut.tolist(), stop.tolist(), strict=True)], pa.binary())})
+        return pa.table({"grp": pa.array((g[cut] >> 1).astype(np.int32)), "body": pa.array([bytes([g[x] & 1]) + _six(np.unique(a[x:y])) for x, y in zip(cut.tolist(), stop.tolist(), strict=True)], pa.binary())})
 
     return asked.groupBy("bucket").applyInArrow(run, "grp int, body binary")
 
@@ -235,7 +259,7 @@ def _ask_runs(docs: DataFrame, replies: DataFrame, shards: int, length: int, mos
     types = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, bodies, shared = None, [], np.zeros(0, dtype=np.uint64)
+        group, bodies, shared, hot = None, [], np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
         held: dict[int, list] = {}  # key: anchor, least id, largest id, bytes
         size = 0
 
@@ -243,7 +267,7 @@ def _ask_runs(docs: DataFrame, replies: DataFrame, shards: int, length: int, mos
             nonlocal held, size
             by: dict[int, list] = {}
             for key, v in held.items():
-                by.setdefault(v[0] % shards, []).append((key, *v))
+                by.setdefault(v[0] % shards, []).append((key, *v))  # windows of hot anchors have their own key for it
             cols: list[list] = [[] for _ in names]
             for shard, rows in by.items():
                 key, anchor, low, high, body = zip(*rows, strict=True)
@@ -257,17 +281,18 @@ def _ask_runs(docs: DataFrame, replies: DataFrame, shards: int, length: int, mos
             if g != group:
                 if held:
                     yield flush()
-                group, bodies, shared = g, [], np.zeros(0, dtype=np.uint64)
+                group, bodies, shared, hot = g, [], np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
             bodies += new
             if bodies and ids is not None:
-                shared, bodies = np.unique(np.concatenate([shared, *map(_wide, bodies)])), []
+                hot = np.unique(np.concatenate([hot, *(_wide(b[1:]) for b in bodies if b[0])]))
+                shared, bodies = np.unique(np.concatenate([shared, *(_wide(b[1:]) for b in bodies)])), []
             if ids is None or not len(shared):
                 continue
             for raw, ends, rows, _ in pieces(texts, length):
-                r = Runs(raw, ends, length)
+                r = Runs(raw, ends, length, hot)
                 low48 = r.anchor & _LOW48
-                at = np.minimum(np.searchsorted(shared, low48), len(shared) - 1)
-                hit = np.flatnonzero(shared[at] == low48)
+                hit = np.flatnonzero(_among(low48, shared))
+                low48 = np.where(r.split, r.key & _LOW48, low48)
                 doc = ids[rows[np.searchsorted(ends, r.first[hit], side="right")]]
                 for k, key, anchor, d in zip(hit.tolist(), r.key[hit].tolist(), low48[hit].tolist(), doc.tolist(), strict=True):
                     own = held.get(key)
@@ -341,7 +366,7 @@ def _first_documents(asked: DataFrame, length: int) -> DataFrame:
         order = np.argsort(to, kind="stable")
         which, to = which[order], to[order]
         cut, stop = _cuts(to)
-        return pa.table({"grp": pa.array(to[cut].astype(np.int32)), "body": pa.array([rec[which[x:y]].tobytes() for x, y in zip(cut.tolist(), stop.tolist(), strict=True)], pa.binary())})
+        return pa.table({"grp": pa.array(to[cut].astype(np.int32)), "body": pa.array([b"\0" + rec[which[x:y]].tobytes() for x, y in zip(cut.tolist(), stop.tolist(), strict=True)], pa.binary())})
 
     return asked.groupBy("shard").applyInArrow(run, "grp int, body binary")
 
@@ -352,11 +377,11 @@ def _removed(docs: DataFrame, replies: DataFrame, length: int, with_kept: bool,
     names, types = schema.names, [*[pa.int64()] * 4, *[pa.string()] * (1 + with_kept)]
     schema = StructType([*schema.fields, *(docs.schema[c] for c in carry)])
 
-    def marks(texts: list[bytes], ids: np.ndarray, known: np.ndarray) -> list[np.ndarray | None]:
+    def marks(texts: list[bytes], ids: np.ndarray, known: np.ndarray, hot: np.ndarray) -> list[np.ndarray | None]:
         """Per text, how many runs of removed windows begin less end at each byte."""
         out: list[np.ndarray | None] = [None] * len(texts)
         for raw, ends, rows, offsets in pieces(texts, length) if len(known) else ():
-            r = Runs(raw, ends, length)
+            r = Runs(raw, ends, length, hot)
             lo, hi = np.searchsorted(known["key"], r.key), np.searchsorted(known["key"], r.key, side="right")
             hit = np.flatnonzero(hi > lo)
             n = (hi - lo)[hit]
@@ -375,20 +400,21 @@ def _removed(docs: DataFrame, replies: DataFrame, length: int, with_kept: bool,
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, bodies, known = None, [], np.zeros(0, dtype=record)
+        group, bodies, known, hot = None, [], np.zeros(0, dtype=record), np.zeros(0, dtype=np.uint64)
         for g, new, ids, texts, more in _by_group(batches):
             if g != group:
-                group, bodies, known = g, [], np.zeros(0, dtype=record)
+                group, bodies, known, hot = g, [], np.zeros(0, dtype=record), np.zeros(0, dtype=np.uint64)
             bodies += new
             if ids is None:
                 continue
             if bodies:
-                known = np.concatenate([known, *(np.frombuffer(b, dtype=record) for b in bodies)])
+                hot = np.unique(np.concatenate([hot, *(_wide(b[1:]) for b in bodies if b[0])]))
+                known = np.concatenate([known, *(np.frombuffer(b, dtype=record, offset=1) for b in bodies if not b[0] and len(b) > 1)])
                 known, bodies = known[np.argsort(known["key"], kind="stable")], []
             for at in range(0, len(texts), 64):
                 part, own = texts[at : at + 64], ids[at : at + 64]
                 cols: list[list] = [[] for _ in names]
-                for text, doc, m in zip(part, own.tolist(), marks(part, own, known), strict=True):
+                for text, doc, m in zip(part, own.tolist(), marks(part, own, known, hot), strict=True):
                     kept, removed, spans = text, 0, 0
                     if m is not None:
                         gone = np.cumsum(m[:-1]) > 0
@@ -421,10 +447,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
     cuts = sorted(set(cuts[: groups - 1]))
     grouped = base.withColumn("grp", _group_of(cuts))
     asked = _ask_anchors(grouped, buckets, length)
-    shared = stored(_shared_anchors(asked), "suffix-anchors")
+    shared = stored(_shared_anchors(asked, shard_bytes // 256), "suffix-anchors")
     runs = _ask_runs(grouped, shared, max(1, -(-total // shard_bytes)), length)
     firsts = stored(_first_documents(runs, length), "suffix-firsts")
-    return _removed(grouped, firsts, length, with_kept, carry)
+    hot = shared.where(F.hex(F.substring("body", 1, 1)) == "01")
+    return _removed(grouped, firsts.unionAll(hot), length, with_kept, carry)
 
 
 def _group_of(cuts: list[int]) -> F.Column:

@@ -114,3 +114,17 @@ def test_odd_rows(spark):
     assert zero.n_removed.tolist() == [0, 0] and p[p.doc_id == 1].n_removed.tolist() == [34]
     assert p[p.doc_id.isna()].n_removed.tolist() == [102] and p[p.doc_id.isna()].lang.tolist() == ["en"]
     assert suffix_dedup.remove_repeats(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("shared", ["one passage that very many documents share", "one passage of more than fifty bytes that very many documents do share"])
+def test_hot_anchor_is_dealt_over_shards(spark, shared):
+    """A shared string in a different context in every document: right rows, and no shard holds most of its windows."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop "), 60))
+    rows = [(k, word() + shared + word()) for k in range(600)] + [(600 + k, word()) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted_rows(suffix_dedup.remove_repeats(docs, 50, 8000, 20_000)) == brute_removed(rows)
+    grouped = docs.selectExpr("doc_id", "text", "cast(doc_id % 4 as int) AS grp")
+    anchors = suffix_dedup._shared_anchors(suffix_dedup._ask_anchors(grouped, 3, 50), 31)
+    asked = suffix_dedup._ask_runs(grouped, anchors, 16, 50).selectExpr("shard", "length(key) / 8 AS n").groupBy("shard").sum("n").toPandas()
+    assert len(asked) == 16 and asked["sum(n)"].max() < 2 * asked["sum(n)"].mean()
