@@ -8,7 +8,8 @@ into one table per order, a row for each context and byte with a column of exact
 scored with numpy, whole batches at once.
 
 The trees are fitted on a bounded sample: the ``per_lang`` documents of each language that come first by a seeded hash
-(parameter; default 400), so the tables' size does not grow with the corpus. All documents are scored, whole.
+(parameter; default 400), so the tables' size does not grow with the corpus. Sampled texts are counted whole, however
+long. All documents are scored, whole.
 
 Null texts and texts without a letter get ``und`` and score 0; rows without language are not learned from; if nothing
 can be learned from, every text is ``und``; an empty table gives no rows; repeated rows are scored each by itself.
@@ -55,7 +56,7 @@ class Trees:
     @staticmethod
     def fit(samples: dict[str, list[str]], order: int = 3) -> Trees:
         langs = sorted(samples)
-        counts = []  # per depth: keys of (context, byte), counts per language
+        counts = []
         for d in range(order + 1):
             seen = []
             for lang in langs:
@@ -66,6 +67,14 @@ class Trees:
                 for s in at[1:-1]:
                     own[s - order : s] = False
                 seen.append(np.unique(g[own], return_counts=True))
+            counts.append(seen)
+        return Trees.of_counts(langs, order, counts)
+
+    @staticmethod
+    def of_counts(langs: list[str], order: int, per_depth: list[list[tuple[np.ndarray, np.ndarray]]]) -> Trees:
+        """Trees from, for each depth and language, the sorted grams of depth + 1 bytes and how often each occurs."""
+        counts = []  # per depth: keys of (context, byte), counts per language
+        for seen in per_depth:
             keys = np.unique(np.concatenate([k for k, _ in seen])) if seen else np.zeros(0, dtype=np.uint32)
             c = np.zeros((len(keys), len(langs)))
             for j, (k, n) in enumerate(seen):
@@ -117,7 +126,7 @@ class Trees:
         return out
 
 
-def fit(docs: DataFrame, per_lang: int = 400, order: int = 3, seed: int = 10, most_chars: int = 4_000_000) -> Trees:
+def fit(docs: DataFrame, per_lang: int = 400, order: int = 3, seed: int = 10) -> Trees:
     """Trees from ``docs`` (doc_id, text, lang): the first ``per_lang`` documents of each language by a seeded hash."""
     h = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 31))
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text", h.alias("h"))
@@ -129,13 +138,31 @@ def fit(docs: DataFrame, per_lang: int = 400, order: int = 3, seed: int = 10, mo
         limit = F.when(F.col("lang") == r["lang"], 2.0 * per_lang / r["count"] * (1 << 31)).otherwise(limit)
     near = rows.where(F.col("h") < limit)
     first = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= per_lang)
-    samples: dict[str, list[str]] = {}
-    chars: dict[str, int] = {}
-    for r in first.sort("lang", "r").toLocalIterator():
-        chars[r["lang"]] = chars.get(r["lang"], 0) + len(r["text"])
-        if chars[r["lang"]] <= most_chars:
-            samples.setdefault(r["lang"], []).append(r["text"])
-    return Trees.fit({k: v for k, v in samples.items() if v}, order)
+    schema = "lang string, depth int, gram long, n long"
+
+    def run(batches: Iterator[pa.RecordBatch], block: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+        def made(lang: str, depth: int, g: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array([depth] * len(g), pa.int32()), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "depth", "gram", "n"])
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield made(lang, -1, np.zeros(1), np.ones(1))  # a language of empty texts is one too
+                raw, _ = flat([text], order)
+                for d in range(order + 1):
+                    for at in range(0, len(raw) - order, block):
+                        part = raw[order - d + at : min(len(raw), order + at + block)]
+                        yield made(lang, d, *np.unique(grams(part, d + 1), return_counts=True))
+
+    # Whole texts are counted on the executors; the driver gets one row for each gram that the trees hold.
+    bounded_batches(docs.sparkSession)
+    table = first.select("lang", "text").mapInArrow(run, schema).groupBy("lang", "depth", "gram").agg(F.sum("n").alias("n")).toArrow()
+    lang, depth, gram, n = (table.column(c).to_numpy() for c in ("lang", "depth", "gram", "n"))
+    langs = sorted(set(lang.tolist()))
+    place = np.array([langs.index(x) for x in lang.tolist()], dtype=np.int64)
+    by = np.lexsort((gram, depth, place))
+    group, gram, n = (place * (order + 2) + depth + 1)[by], gram[by].astype(np.uint32), n[by]
+    span = lambda k, d: slice(*np.searchsorted(group, [k * (order + 2) + d + 1, k * (order + 2) + d + 2]))
+    return Trees.of_counts(langs, order, [[(gram[span(k, d)], n[span(k, d)]) for k in range(len(langs))] for d in range(order + 1)])
 
 
 def predict(docs: DataFrame, trees: Trees) -> DataFrame:
