@@ -12,12 +12,13 @@ Null and empty texts are documents of one end token. Rows with equal ids are pac
 from __future__ import annotations
 
 import itertools
-import re
+import json
 import zlib
-from collections.abc import Container, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -90,110 +91,134 @@ class SumOfSquares:
                 last.append(spare[k])
 
 
+#: What a file must state for its words to be encoded apart from each other, and for the split of words below. Fixed values.
+WORD_RULES = (
+    [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)],
+    [("Split", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), ("ByteLevel", None)],
+)
+#: Letters that the normaliser maps to one letter each, and ASCII marks other than the apostrophe, which begins contractions.
+LETTERS, MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~"
+
+
+def word_wise(path: str) -> bool:
+    """Whether the tokenizer in ``path`` follows ``WORD_RULES`` and ends words with a mark of their own."""
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    rule = lambda x: (x.get("type"), (x.get("pattern") or {}).get("Regex"))
+    found = tuple([rule(x) for x in (d.get(part) or {}).get(items, [])] for part, items in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+    split = ((d.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    model, specials = d["model"], d.get("added_tokens") or []
+    plain = all("|" in x["content"][1:] and x["content"].startswith("<|") and not (x["lstrip"] or x["rstrip"] or x["normalized"] or x["single_word"]) for x in specials)
+    return found == WORD_RULES and split.get("behavior") == "Removed" and split.get("invert") and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not model.get("unk_token") and plain
+
+
 class WordCachedTokenizer:
-    """Ids of whole texts; words between white space are encoded once each, which this vocabulary's rules allow.
+    """Ids of whole texts, as the tokenizer gives them. Words between ASCII white space are encoded once each.
 
     Its normaliser and splitter act inside runs of non-space only, so the ids of a text are those of its words in a row.
-    It also lower-cases and cuts a point or comma off a letter, so words that differ in these share their encoding.
-    Texts with control characters that Python and the tokenizer class differently are encoded as a whole. The cache holds
-    ``most`` words; beyond, it goes back to those met first.
+    It also lower-cases, and a word of letters followed by marks splits between the two, so such words share the
+    encoding of their parts. Letters are those of Latin-1, whose lower case is one letter; all other words are encoded
+    plainly, as they are, and so are texts of a file with other rules. The cache holds ``most`` parts; beyond, it goes
+    back to those met first.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
-        self.tok, self.most = Tokenizer.from_file(path), most
-        self.tok.encode_special_tokens = True
-        self.odd = re.compile("[\x1c-\x1f\x85]")
+        self.tok, self.most, self.word_wise = Tokenizer.from_file(path), most, word_wise(path)
         # Ids that end a run of letters, so that many such runs can be encoded in one call and told apart again.
-        self.ends = np.zeros(self.tok.get_vocab_size(), dtype=bool)
-        self.ends[[k for t, k in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
-        self.tails = {t: e.ids[0] for t in ".," if len(e := self.tok.encode(t, add_special_tokens=False)) == 1}
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.words, self.untrimmed = Numbered(), 0
-        self.ids = np.zeros(0, dtype="<u4")
-        self.start, self.length = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.parts: dict[str, int] = {"": 0}
+        self.untrimmed = 0
+        self.ids: list[np.ndarray] = []
+        self.size = 0
+        self.start, self.length = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
 
     def _halve(self) -> None:
-        """Forgets the words that were met last; frequent ones are met first."""
-        kept = list(itertools.islice(self.words, self.most // 2))
+        """Forgets the parts that were met last; frequent ones are met first."""
+        kept = list(itertools.islice(self.parts, 1, self.most // 2))
         self._clear()
-        self.words.update((w, self.words[w]) for w in kept)
-        self._learn()
+        self._numbers(pa.array(kept, pa.string()))
 
     def _add(self, ids: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Stores runs of ids; returns where each begins."""
-        at = len(self.ids) + np.cumsum(length) - length
-        self.ids = np.concatenate([self.ids, ids])
+        at = self.size + np.cumsum(length) - length
+        self.ids.append(ids)
+        self.size += len(ids)
         return at
 
-    def _learn(self) -> None:
-        """Ids of the words seen since the last call. A stem is a word like any other, with an entry of its own."""
-        first, new = len(self.words) - len(self.words.new), self.words.new
-        stem, mark = [], []
-        for w in new:  # grows by stems that weren't words yet
-            s, t = stem_of(w, self.tails)
-            stem.append(-1 if s == w else self.words[s])
-            mark.append(self.tails.get(t, -1))
-        self.words.new = []
-        stem, mark = np.array(stem, dtype=np.int64), np.array(mark, dtype=np.int64)
-        own = stem < 0
-        plain = np.fromiter(map(str.isalpha, new), dtype=bool, count=len(new)) & own
-        letters, rest = list(itertools.compress(new, plain)), list(itertools.compress(new, own & ~plain))
-        start, length = np.zeros(len(new), dtype=np.int64), np.zeros(len(new), dtype=np.int64)
-        if letters:
-            ids = np.array(self.tok.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends[ids])
-            assert len(ends) == len(letters)
-            length[plain] = np.diff(ends, prepend=-1)
-            start[plain] = self._add(ids, length[plain])
-        if rest:
-            ids = [e.ids for e in self.tok.encode_batch_fast(rest, add_special_tokens=False)]
-            length[own & ~plain] = list(map(len, ids))
-            start[own & ~plain] = self._add(np.fromiter(itertools.chain.from_iterable(ids), dtype="<u4"), length[own & ~plain])
-        self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
-        # Words with a stem have its ids, and after them the mark's.
-        at = first + np.flatnonzero(~own)
-        self.start[at], self.length[at] = self.start[stem[~own]], self.length[stem[~own]]
-        cut = np.flatnonzero(mark >= 0)
-        n = self.length[first + cut] + 1
-        ids = self.ids[runs(self.start[first + cut], n) % max(1, len(self.ids))]
-        ids[np.cumsum(n) - 1] = mark[cut]
-        self.start[first + cut], self.length[first + cut] = self._add(ids, n), n
-        self.untrimmed += len(new)
-        if self.untrimmed > 30_000:
-            self.untrimmed = 0
-            trim()
-
-    def __call__(self, texts: list[str], at_once: int = 256) -> Iterator[np.ndarray]:
-        for at in range(0, len(texts), at_once):
-            if len(self.words) > self.most:
+    def _numbers(self, parts: pa.Array) -> np.ndarray:
+        """Numbers of different ``parts``; new ones are encoded."""
+        keys = parts.to_pylist()
+        found = list(map(self.parts.get, keys))
+        at = [k for k, x in enumerate(found) if x is None]
+        if at:
+            new = [keys[k] for k in at]
+            first = len(self.parts)
+            self.parts.update(zip(new, range(first, first + len(new)), strict=True))
+            for n, k in enumerate(at, first):
+                found[k] = n
+            plain = pc.match_substring_regex(pa.array(new, pa.string()), f"^[{LETTERS}]+$").to_numpy(zero_copy_only=False)
+            letters, rest = list(itertools.compress(new, plain)), list(itertools.compress(new, ~plain))
+            start, length = np.zeros(len(new), dtype=np.int64), np.zeros(len(new), dtype=np.int64)
+            if letters:
+                ids = np.array(self.tok.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, dtype="<u4")
+                length[plain] = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+                start[plain] = self._add(ids, length[plain])
+            if rest:
+                ids = [e.ids for e in self.tok.encode_batch_fast(rest, add_special_tokens=False)]
+                length[~plain] = list(map(len, ids))
+                start[~plain] = self._add(np.fromiter(itertools.chain.from_iterable(ids), dtype="<u4"), length[~plain])
+            self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
+            self.ids = [np.concatenate(self.ids)]
+            self.untrimmed += len(new)
+            if self.untrimmed > 100_000:
+                self.untrimmed = 0
+                trim()
+        return np.array(found, dtype=np.int64)
+
+    def _halves(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the letters and of the marks after them, for each of ``words``."""
+        cut = pc.extract_regex(words, f"^(?P<a>[{LETTERS}]+)(?P<b>[{MARKS}]*)$")
+        split = cut.is_valid()
+        a = pc.if_else(split, pc.utf8_lower(cut.field("a")), words)
+        b = pc.if_else(split, cut.field("b"), "")
+        out = []
+        for part in (a, b):
+            d = part.dictionary_encode()
+            out.append(self._numbers(d.dictionary)[d.indices.to_numpy()])
+        return out[0], out[1]
+
+    def __call__(self, texts: pa.Array, at_once: int = 4 << 20) -> Iterator[np.ndarray]:
+        """Ids of each of ``texts`` (null: empty)."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not self.word_wise:
+            for t in texts:
+                yield np.array(self.tok.encode(t.as_py(), add_special_tokens=False).ids, dtype="<u4")
+            return
+        total = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + at_once, side="right")))
+            if len(self.parts) > self.most:
                 self._halve()
-            part = texts[at : at + at_once]
-            whole = [bool(self.odd.search(t)) for t in part]
-            places = [None if o else np.fromiter(map(self.words.__getitem__, w := t.split()), dtype=np.int64, count=len(w)) for t, o in zip(part, whole, strict=True)]
-            if self.words.new:
-                self._learn()
-            for t, p in zip(part, places, strict=True):
-                if p is None:
-                    yield np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype="<u4")
-                    continue
-                yield self.ids[runs(self.start[p], self.length[p])]
-
-
-class Numbered(dict):
-    """Numbers keys in order of first use; ``new`` lists those that weren't processed yet."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        k = self[key] = len(self)
-        self.new.append(key)
-        return k
+            lists = pc.ascii_split_whitespace(texts.slice(at, stop - at))
+            words = lists.flatten().dictionary_encode()
+            a, b = self._halves(words.dictionary.cast(pa.string()))
+            # Ids of the different words, then those of the texts.
+            both = np.stack([a, b], axis=1).ravel()
+            table = (self.ids[0] if self.ids else np.zeros(0, dtype="<u4"))[runs(self.start[both], self.length[both])]
+            n = self.length[a] + self.length[b]
+            use = words.indices.to_numpy()
+            flat = table[runs((np.cumsum(n) - n)[use], n[use])]
+            ends = np.concatenate(([0], np.cumsum(n[use])))[np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
+            yield from np.split(flat, ends[:-1])
+            at = stop
 
 
 def runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -202,14 +227,6 @@ def runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(end[-1] if len(end) else 0) + np.repeat(start - (end - length), length)
 
 
-def stem_of(word: str, tails: Container[str]) -> tuple[str, str]:
-    """(word in lower case without a last mark of ``tails``, that mark). Only where both are sure not to change ids."""
-    if not word.isascii() and max(word) > "\xff":
-        return word, ""
-    word = word.lower()
-    return (word[:-1], word[-1]) if len(word) > 1 and word[-1] in tails and word[-2].isalpha() else (word, "")
-
-
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -241,7 +258,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=names)
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 ids = np.append(ids, np.array([end_id], dtype="<u4"))
                 held[docs_in] = [doc_id, ids, len(ids)]
                 packer.add(docs_in, len(ids))

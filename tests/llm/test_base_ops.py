@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -130,7 +131,6 @@ def test_mixing_odd_rows(odd, none):
 
 def check_pieces(p, docs, window=4096):
     tok = Tokenizer.from_file(queries.tokenizer_path())
-    tok.encode_special_tokens = True
     for doc_id, text in docs:
         ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4")
         at = 0
@@ -158,6 +158,25 @@ def test_packing_odd_rows(spark, none):
     assert packing.pack(none, queries.tokenizer_path()).count() == 0
 
 
+def test_every_letter_as_the_plain_tokenizer():
+    """All code points inside words, alone and before marks, random mixtures, and special tokens as text."""
+    rng = np.random.default_rng(0)
+    points = [c for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}b {chr(c)} {chr(c)}, x{chr(c)}." for c in points]
+    texts += ["".join(chr(int(c)) for c in rng.choice(points[:0x3000], 12)) for _ in range(5000)]
+    texts += ["x <|endoftext|> y", "a<|endoftext|>, <|ENDOFTEXT|> <|startoftext|>.", "İstanbul is a city", "it's O'Neil's, I'LL", None, "", "a\x1cb\x85c\xa0d", "ΟΔΟΣ."]
+    got = packing.WordCachedTokenizer(queries.tokenizer_path(), most=10_000)(pa.array(texts))
+    want = Tokenizer.from_file(queries.tokenizer_path()).encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+    assert [t for t, g, w in zip(texts, got, want, strict=True) if g.tolist() != w.ids] == []
+
+
+def test_other_rules_are_encoded_whole():
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    texts = ["Some words, and  more.", None, "<|endoftext|> É"]
+    want = [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [i.tolist() for i in packing.WordCachedTokenizer(path)(pa.array(texts))] == want
+
+
 def test_sum_of_squares_choice():
     """Each placement has the least sum of squares that any level would give."""
     rng, w = np.random.default_rng(0), 64
