@@ -96,6 +96,36 @@ def test_embedding_tiles_and_odd_rows(spark, tile):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_recall_over_tables(spark):
+    """Pairs just above the threshold, by cells of several tables: recall against brute force, and no pair below it."""
+    rng, d, n = np.random.default_rng(8), 64, 3000
+    base = embed_dedup.unit(rng.standard_normal((n, d)))
+    side = embed_dedup.unit((s := rng.standard_normal((n, d))) - (s * base).sum(1, keepdims=True) * base)
+    c = rng.uniform(0.9, 0.93, (n, 1))
+    vecs = np.concatenate([base, c * base + np.sqrt(1 - c * c) * side])
+    u = embed_dedup.unit(vecs)
+    want = np.array([((u[k] @ u.T) >= 0.9).sum() - 1 for k in range(0, 2 * n, 20)])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vecs.tolist())], "vec_id long, embedding array<double>")
+    plan = embed_dedup.planned(100_000, 0.9, 0.98)
+    assert plan.k > 4 and plan.tables > 4
+    got = embed_dedup.near_duplicates(df, plan=plan, tile=100).where("vec_id % 20 = 0").toPandas().sort_values("vec_id").n_links.to_numpy()
+    assert (got <= want).all() and 0.95 <= got.sum() / want.sum()
+
+
+def test_each_pair_counts_once(spark):
+    """A dense group shares cells of many tables; link counts are still those of brute force."""
+    rng = np.random.default_rng(9)
+    vecs = rng.standard_normal((1, 32)) + 0.02 * rng.standard_normal((300, 32))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vecs.tolist())], "vec_id long, embedding array<double>")
+    got = embed_dedup.near_duplicates(df, plan=embed_dedup.Plan(2.0, 6, 20), tile=64).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(299, 0)}
+
+
+def test_planned_work_grows_less_than_pairs():
+    q = lambda n: (p := embed_dedup.planned(n, 0.9, 0.98), p.tables * (n * embed_dedup.ROW + embed_dedup.same_cell(p.width / math.sqrt(2)) ** p.k * n * n / 2))[1]
+    assert math.log(q(10**8) / q(10**6)) / math.log(100) < 1.35
+
+
 def brute_cost(train, order, text):
     """Code length by dictionaries: method C escapes, no exclusions."""
     counts = {}
