@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +15,35 @@ from ledgerspark.shared import fresh_path, shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Paths of the tables that ``stored`` wrote and nobody has discarded.
+_STORED: list[str] = []
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """The column of this very name, whatever characters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def apart(columns: Iterable[str], taken: Iterable[str], prefix: str = "input_") -> list[str]:
+    """Names for ``columns`` beside those ``taken``: their own, or with ``prefix`` as often as it takes. Case doesn't count."""
+    out, used = [], {c.lower() for c in taken}
+    for c in columns:
+        while c.lower() in used:
+            c = prefix + c
+        used.add(c.lower())
+        out.append(c)
+    return out
+
+
 def bounded_batches(spark: SparkSession, mb: int = 8) -> None:
-    """Arrow batches of at most ``mb`` MB from here on: texts are long, and both sides of a Python task hold batches."""
+    """Arrow batches of at most ``mb`` MB from here on: texts are long, and both sides of a Python task hold batches.
+
+    The option is read when a result is evaluated, after the operator has returned, so it stays set.
+    """
     option = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(option)
     size = int(re.match(r"-?\d+", now)[0]) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now.lower().rstrip("b")[-1:], 1)
@@ -47,9 +71,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(option, before)
+    _STORED.append(path)
     return spark.read.parquet(path)
 
 
+def discard(spark: SparkSession, mark: int = 0, keep: int = 0) -> None:
+    """Deletes the tables that :func:`stored` wrote since ``mark`` (see :func:`marked`), but for the last ``keep``.
+
+    Results read from these tables when they are evaluated, so call it once such a result is written elsewhere.
+    """
+    end = len(_STORED) - keep
+    for path in _STORED[mark:end]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    del _STORED[mark:end]
+
+
+def marked() -> int:
+    """How many tables are stored now, for :func:`discard`."""
+    return len(_STORED)
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of ``text``; null and blank texts give an empty array."""
     flat = F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "))

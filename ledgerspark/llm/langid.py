@@ -48,7 +48,7 @@ def flat(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Trees:
-    """Frozen context trees of all languages: for each depth the sorted keys and costs in bits (float32)."""
+    """Frozen context trees of all languages: for each depth the sorted keys and costs in bits. Keys hold ``order`` + 1 bytes, four at most."""
 
     def __init__(self, langs: list[str], order: int, keys: list[np.ndarray], costs: list[np.ndarray], context_keys: list[np.ndarray], escapes: list[np.ndarray]):
         self.langs, self.order, self.keys, self.costs, self.context_keys, self.escapes = langs, order, keys, costs, context_keys, escapes

@@ -6,8 +6,7 @@ none is above it has this fixed point. A source's words are then taken as whole
 a fractional one: documents in a seeded order until the rest of the target is used up, the last of them in part.
 
 A null source is a source of its own (last in order); null and blank texts have size 0 and are taken 0 times; rows with
-equal ids are ordered by size; an empty table gives no rows. Other columns are carried only if named; ``mix`` replaces
-columns of the names it adds.
+equal ids are ordered by size; an empty table gives no rows. ``mix`` leaves other columns out; ``mixed`` keeps them.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, words_of
+from .common import WORD, named, words_of
 
 
 def source_targets(sizes: DataFrame, weights: Column, max_epochs: int = 3) -> DataFrame:
@@ -38,10 +37,9 @@ def source_targets(sizes: DataFrame, weights: Column, max_epochs: int = 3) -> Da
     return s.select("source", "source_size", F.when(open_, F.least(shared, F.col("cap").cast("double"))).otherwise(F.col("cap").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, pattern: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken): how many words of each document the mix takes. ``carry``
-    names further columns to keep, which are then shuffled along."""
-    rows = docs.select("doc_id", "source", *carry, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def _taken(rows: DataFrame, pattern: tuple[int, ...], max_epochs: int, seed: int) -> DataFrame:
+    """``rows`` (doc_id, source, size and others) with ``source_size``, ``target`` and ``taken``."""
+    more = [c for c in rows.columns if c not in ("doc_id", "source", "size")]
     # The seeded order: by md5, whose first digits also cut each source into cells that can be summed apart.
     rows = rows.withColumn("ord", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))).withColumn("cell", F.substring("ord", 1, 3))
     cells = rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
@@ -52,27 +50,40 @@ def mix(docs: DataFrame, pattern: tuple[int, ...] = (5, 2, 1), max_epochs: int =
     starts = cells.withColumn("start", F.sum("cell_size").over(Window.partitionBy("source").orderBy("cell")) - F.col("cell_size"))
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     plan = starts.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.source", "c.cell", "start", "source_size", "target", "whole", "rest")
-    before = Window.partitionBy("source", "cell").orderBy("ord", "size", "doc_id", *carry).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("source", "cell").orderBy("ord", "size", "doc_id", *(["copy"] if "copy" in more else [])).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("own", F.coalesce(F.sum("size").over(before), F.lit(0)))
     out = rows.join(plan, same(rows, plan) & (rows["cell"] == plan["cell"]))
     part = F.greatest(F.least(F.col("rest") - F.col("start") - F.col("own"), F.col("size")), F.lit(0))
-    return out.select("doc_id", rows["source"], *carry, "size", "source_size", "target", (F.col("whole") * F.col("size") + part).cast("long").alias("taken"))
+    return out.select("doc_id", rows["source"], *more, "size", "source_size", "target", (F.col("whole") * F.col("size") + part).cast("long").alias("taken"))
 
 
-def mixed(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+def _size(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+
+
+def mix(docs: DataFrame, pattern: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 7) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken): how many words of each document the mix takes."""
+    return _taken(docs.select("doc_id", "source", _size(F.col("text"))), pattern, max_epochs, seed)
+
+
+def mixed(docs: DataFrame, text: str = "text", pattern: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 7) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as they are taken, a last part of a document as its first words.
 
-    Documents of which nothing is taken, such as blank ones, don't occur. Ids repeat with their documents.
+    Documents of which nothing is taken, such as blank ones, don't occur. Ids repeat with their documents. All columns
+    are kept, whatever their names; rows that agree in id and text are taken in any order.
     """
     cols = docs.columns
-    out = mix(docs, carry=tuple(c for c in cols if c not in ("doc_id", "source")), **options).where("taken > 0")
+    # The input's columns travel in one struct, so that no name can clash with those used here.
+    rows = docs.select("doc_id", "source", F.struct(*map(named, cols)).alias("row"), F.xxhash64(named(text)).alias("copy"), _size(named(text)))
+    out = _taken(rows, pattern, max_epochs, seed).where("taken > 0")
     n = F.col("size")
     copies = F.when(F.col("taken") < n, F.array(F.col("taken"))).otherwise(
         F.filter(F.concat(F.array_repeat(n, F.floor(F.col("taken") / n).cast("int")), F.array(F.col("taken") % n)), lambda x: x > 0)
     )
-    out = out.withColumn("_words", F.explode(copies))
-    part = F.array_join(F.slice(words_of(F.col(text)), F.lit(1), F.col("_words").cast("int")), " ")
-    return out.withColumn(text, F.when(F.col("_words") < n, part).otherwise(F.col(text))).select(*cols)
+    out = out.withColumn("words", F.explode(copies))
+    whole = F.col("row").getField(text)
+    part = F.array_join(F.slice(words_of(whole), F.lit(1), F.col("words").cast("int")), " ")
+    return out.select(*((F.when(F.col("words") < n, part).otherwise(whole) if c == text else F.col("row").getField(c)).alias(c) for c in cols))
 
 
 def mixing_sql(table: str = "documents", pattern: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 7) -> str:

@@ -23,11 +23,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 16 shards, counts at most one apart. Only ids, sizes and checksums are shuffled."""
+    """All documents, with their texts, in 16 shards, counts at most one apart; sizes and checksums follow from what arrives."""
+    out = sharding.shuffle_into_shards(read_table(spark, sf_dir, "documents"), "doc_id", 16, tie=[F.xxhash64("text")])
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    out = sharding.shuffle_into_shards(docs, "doc_id", 16, tie=[F.col("size"), F.col("text_crc32")])
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

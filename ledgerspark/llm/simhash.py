@@ -6,7 +6,7 @@ tiles within the radius are compared, with numpy exclusive-or and bit counts. Ti
 dense group is spread over many tasks. Each tile pair reports a spanning forest of its links, not every pair.
 
 Null and blank texts have fingerprint zero and link like any other; equal fingerprints always share a component; rows
-with equal ids share their component; an empty table gives no rows. Other columns are not carried.
+with equal ids share their component; an empty table gives no rows. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -106,8 +106,11 @@ def link_fingerprints(fps: DataFrame, radius: int = 2, tile: int = 2048) -> Data
     tiles = tiles.groupBy("key", "chunk").agg(F.collect_list(F.struct("fp", "node")).alias("m"))
     tiles = stored(tiles.select("key", "chunk", F.col("m.fp").alias("fp"), F.col("m.node").alias("node")), "simhash-tiles")
     left = tiles.select(F.explode(F.array(*map(F.lit, _steps(radius)))).alias("step"), F.col("key").alias("lkey"), F.col("chunk").alias("lchunk"), F.col("fp").alias("lfp"), F.col("node").alias("lnode"))
-    left = left.withColumn("key", F.col("lkey") + F.col("step"))
-    pairs = left.join(tiles, "key").where("step <> 0 OR lchunk <= chunk").select("lfp", "lnode", "fp", "node", ((F.col("step") == 0) & (F.col("lchunk") == F.col("chunk"))).alias("same"))
+    left = left.withColumn("key", F.col("lkey") + F.col("step")).join(F.broadcast(sizes), "key")
+    # Each pair of chunks has a key of its own in the join, so that a dense tile key is spread.
+    least = F.when(F.col("step") == 0, F.col("lchunk")).otherwise(0)
+    left = left.withColumn("chunk", F.explode(F.sequence(least, F.col("chunks") - 1)))
+    pairs = left.join(tiles, ["key", "chunk"]).select("lfp", "lnode", "fp", "node", ((F.col("step") == 0) & (F.col("lchunk") == F.col("chunk"))).alias("same"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

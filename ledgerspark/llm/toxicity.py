@@ -7,7 +7,7 @@ evidence are kept, at most ``n_features``. The fit uses a bounded, documented sa
 ``max_train`` (default 16,000) by a seeded hash. All documents are scored, whole, with numpy in map-side batches.
 
 Null and blank texts get the score of a text without features; documents without label are scored and not learned from;
-a document with several labels is learned once for each; without labelled rows of both classes every score is the share
+a document with several labels is learned once for each, and every row of a repeated id; without labelled rows of both classes every score is the share
 of toxic labels (0 if there are none); empty tables give no rows.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bounded_batches, stored, trim
+from .common import bounded_batches, named, stored, trim
 
 #: Bits of the hashed feature space and lengths of n-grams.
 BITS, LENGTHS = 22, (4, 5, 6, 8, 10)
@@ -112,7 +112,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 16_000, n_features:
     # About twice the wanted number passes a hash limit, and the first of these are taken.
     h = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 31))
     chosen = own.where(h < 2.0 * max_train / max(1, own.count()) * (1 << 31)).orderBy(h, "doc_id", "y").limit(max_train)
-    train = stored(chosen.join(docs.select("doc_id", "text"), "doc_id").select("y", "text").repartition("text"), "toxicity-sample")
+    # Chosen ids are at most max_train, so they are broadcast and the texts of all other documents stay where they are.
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    train = stored(sample.repartition(F.xxhash64("doc_id", "text")).select("y", "text"), "toxicity-sample")
     n, pos = (x or 0 for x in train.agg(F.count(F.lit(1)), F.sum("y")).first())
     neg = n - pos
     if not pos or not neg:
@@ -157,17 +159,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (any columns, with text) with a column ``score``; a column of that name is replaced."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    base = docs.drop("score")
+    kept = [c for c in docs.columns if c.lower() != "score"]
+    text = [c.lower() for c in kept].index("text")
+    base = docs.select(*(named(c).alias(f"c{k}") for k, c in enumerate(kept)))  # a task takes no names with dots
+    schema = StructType([*(StructField(c, f.dataType, f.nullable) for c, f in zip(kept, base.schema, strict=True)), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         flags = m.flags()
         for b in batches:
-            s = m.score(b.column(b.schema.get_field_index("text")).to_pylist(), flags)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, "score"])
+            s = m.score(b.column(text).to_pylist(), flags)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=schema.names)
         trim()
 
-    return base.mapInArrow(run, StructType([*base.schema.fields, StructField("score", DoubleType())]))
+    return base.mapInArrow(run, schema)
 
 
 def predict(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:

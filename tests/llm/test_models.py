@@ -58,6 +58,43 @@ def test_blocks_cover_all_ngrams(monkeypatch):
     assert toxicity.features(text).tolist() == whole
 
 
+def test_toxicity_against_brute_force(spark):
+    """Counts, ratios, choice of features and the optimum of the regression, from strings and plain loops."""
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60)]
+    texts = [" ".join(rng.choice(words[10 * (k % 3 == 0) :], 12)) + (" Vile Words" if k % 3 == 0 else "") for k in range(90)]
+    y = [int(k % 3 == 0) for k in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
+    m = toxicity.fit(docs, labels, n_features=200)
+
+    def number(gram):
+        h = ord(gram[0])
+        for c in gram[1:]:
+            h = (h * 1_000_003 + ord(c)) % 2**64
+        return ((h ^ len(gram)) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - toxicity.BITS)
+
+    norm = [f" {' '.join(t.lower().split())} " for t in texts]
+    sets = [{number(t[i : i + n]) for n in toxicity.LENGTHS for i in range(len(t) - n + 1)} for t in norm]
+    count = {}
+    for s, label in zip(sets, y, strict=True):
+        for f in s:
+            count.setdefault(f, [0, 0])[label] += 1
+    pos, neg = sum(y), len(y) - sum(y)
+    ratio = {f: math.log((p + 1) / (pos + 2)) - math.log((q + 1) / (neg + 2)) for f, (q, p) in count.items() if p + q >= 4}
+    strength = {f: abs(r) / math.sqrt(1 / (count[f][1] + 1) + 1 / (count[f][0] + 1)) for f, r in ratio.items()}
+    best = sorted(ratio, key=lambda f: (-strength[f], f))[:200]
+    least = strength[best[-1]]
+    assert {f for f in best if strength[f] > least + 1e-9} <= set(m.keep.tolist()) <= {f for f in ratio if strength[f] >= least - 1e-9}
+    x = np.array([[ratio[f] * (f in s) for f in m.keep.tolist()] for s in sets])
+    scale = np.array([ratio[f] for f in m.keep.tolist()])
+    w = m.weight / scale
+    z = x @ w + m.bias
+    off = 1 / (1 + np.exp(-z)) - np.array(y)
+    assert np.abs(x.T @ off + 0.01 * w).max() < 0.05 and abs(off.sum()) < 0.05
+    assert m.score(texts, m.flags()) == pytest.approx(1 / (1 + np.exp(-z)))
+
+
 def test_calibrated_count():
     half, need = embed_dedup.calibrated(48, 0.9, 1.5, 0.9999)
     p = math.erf(1.5 / math.sqrt(2))
