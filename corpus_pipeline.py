@@ -1,70 +1,15 @@
-"""Corpus pipeline: toxic documents out, one of each near-duplicate group, repeated passages out, mix, pack.
-
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
-Each works on all rows its predecessor kept. No SQL form: the toxicity model, SimHash and sum-of-squares packing have
-none, so stages are tested against brute-force versions.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ledgerspark.llm import mixing, near_copies, packing, suffix_dedup, toxicity
-from ledgerspark.llm.common import read_table, stored
-from ledgerspark.llm.queries import tokenizer_path
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores below 0.7; it learns from the same labels as its query."""
-    labels = read_table(spark, sf_dir, "labels").where(~toxicity.held_out())
-    model = toxicity.fit(docs.select("doc_id", "text"), labels)
-    return toxicity.score(docs.select(*COLUMNS), model).where("score < 0.7").select(*COLUMNS)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five-word shingles, Jaccard similarity 0.8), the one of smallest id."""
-    return near_copies.one_of_each(docs.select(*COLUMNS))
-
-
-def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 50-byte strings of earlier documents. Bytes of a character cut in two go with the cut.
-
-    No document goes, even if nothing is left of its text.
-    """
-    out = suffix_dedup.remove_repeats(docs, with_kept=True, carry=("lang", "source"))
-    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; a document taken in part is cut to its first words."""
-    out = mixing.mixed(docs.select(*COLUMNS))
-    return out.withColumn("n_chars", F.length("text").cast("long"))
-
-
-def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows of 4,096 tokens."""
-    return packing.pack(docs, tokenizer_path())
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("simhash_near_dedup", drop_near_duplicates),
-    ("suffix_array_dedup", drop_repeated_passages),
-    ("mixing", mix_sources),
-    ("packing", pack_windows),
-]
-
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read back in the shared folder."""
-    docs = read_table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, f"pipeline-{name}")
-    return docs
+"""The corpus pipeline, registered as query ``pipeline``: its stages are part of ``ledgerspark.llm``."""
+
+from ledgerspark.llm.pipeline import (
+    COLUMNS,
+    ORACLE_SQL,
+    STAGES,
+    drop_near_duplicates,
+    drop_repeated_passages,
+    drop_toxic,
+    mix_sources,
+    pack_windows,
+    run,
+)
+
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "drop_near_duplicates", "drop_repeated_passages", "drop_toxic", "mix_sources", "pack_windows", "run"]
