@@ -1,24 +1,54 @@
 """Suffix and common-prefix arrays of one shard by external induced sorting.
 
 The string is scanned for S* positions; their substrings are sorted and named by induction, the string of names is
-solved by recursion, and the sorted S* suffixes then induce all L suffixes in ascending and all S suffixes in descending
-order (Nong et al.; Bingmann, Fischer and Osipov for the external form with common prefixes). Tuples (position, common
-prefix with the one before) pass through a priority queue whose keys only grow: one FIFO for each symbol, laid out by
-symbol in an array that lies in a scratch file once a shard exceeds ``memory`` entries. Symbols are taken in batches
-between which no suffix induces another one of its own batch, so that each step is a few numpy operations.
-
-Common prefixes are capped, which is all that matching strings of a fixed length needs.
+solved by recursion down to names that all differ, and the sorted S* suffixes then induce all L suffixes in ascending
+and all S suffixes in descending order (Nong et al.; Bingmann, Fischer and Osipov for the external form with common
+prefixes). Tuples (position, common prefix with the one before) pass through a priority queue whose keys only grow: one
+FIFO for each symbol, laid out by symbol. Symbols are taken in batches between which no suffix induces another one of
+its own batch, so that each step is a few numpy operations; strings of names whose batches hold few entries are induced
+entry by entry.
+
+Whatever grows with the shard (string, types, runs, queues, sorted suffixes) lies in scratch files of the task beyond
+``MEMORY`` entries and is gone with it; in memory are one batch and one entry for each symbol. Positions have eight
+bytes where four don't do. Common prefixes are capped, which is all that matching strings of a fixed length needs.
 """
 
 from __future__ import annotations
 
 import tempfile
+from bisect import bisect_right
+
 import numpy as np
 
-#: Entries of a queue that stay in memory; larger queues lie in a file of the task, deleted when it is closed.
-MEMORY = 1 << 25
-#: Strings with fewer entries than this for each batch of symbols are sorted by prefix doubling instead.
-FINE = 4096
+#: Entries of an array that stay in memory; larger ones lie in a file of the task, which has no name and ends with its map.
+MEMORY = 1 << 18
+#: Strings with fewer entries than this for each batch of symbols are induced entry by entry.
+FINE = 192
+
+
+def scratch(n: int, dtype: type | str) -> np.ndarray:
+    """An array of ``n`` entries, in a file of the task beyond ``MEMORY``."""
+    if n <= MEMORY:
+        return np.empty(n, dtype=dtype)
+    file = tempfile.TemporaryFile()
+    file.truncate(n * np.dtype(dtype).itemsize)
+    out = np.memmap(file, dtype=dtype, mode="r+", shape=(n,))
+    file.close()  # the map keeps it
+    return out
+
+
+def laid(x: np.ndarray) -> np.ndarray:
+    """``x``, in a file of the task beyond ``MEMORY``."""
+    if len(x) <= MEMORY:
+        return x
+    out = scratch(len(x), x.dtype)
+    out[:] = x
+    return out
+
+
+def places(n: int) -> type:
+    """Type of positions in a string of ``n``."""
+    return np.int32 if n < 1 << 31 else np.int64
 
 
 class SymbolQueue:
@@ -27,18 +57,11 @@ class SymbolQueue:
     ``sizes`` bounds how many entries each symbol gets. ``pop`` takes whole ranges of symbols.
     """
 
-    def __init__(self, sizes: np.ndarray, memory: int = MEMORY):
+    def __init__(self, sizes: np.ndarray, n: int):
         self.first = np.concatenate(([0], np.cumsum(sizes)))
         self.used = np.zeros(len(sizes), dtype=np.int64)
-        n = int(self.first[-1])
-        self.file = None
-        if n > memory:
-            self.file = tempfile.TemporaryFile()
-            self.file.truncate(n * 5)
-            self.pos = np.memmap(self.file, dtype=np.int32, mode="r+", shape=(n,))
-            self.lcp = np.memmap(self.file, dtype=np.uint8, mode="r+", offset=4 * n, shape=(n,))
-        else:
-            self.pos, self.lcp = np.empty(n, dtype=np.int32), np.empty(n, dtype=np.uint8)
+        total = int(self.first[-1])
+        self.pos, self.lcp = scratch(total, places(n)), scratch(total, np.uint8)
 
     def push(self, symbols: np.ndarray, pos: np.ndarray, lcp: np.ndarray) -> None:
         """Appends entries; ``symbols`` must be in ascending order."""
@@ -58,11 +81,6 @@ class SymbolQueue:
             at = np.arange(used.sum()) + np.repeat(self.first[a:b] - (np.cumsum(used) - used), used)
         return np.repeat(np.arange(a, b), used), np.asarray(self.pos[at]), np.asarray(self.lcp[at])
 
-    def close(self) -> None:
-        if self.file is not None:
-            del self.pos, self.lcp
-            self.file.close()
-
 
 def range_min(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """min(x[lo : hi + 1]) for each pair, by a sparse table."""
@@ -83,14 +101,14 @@ class Text:
 
     def __init__(self, t: np.ndarray):
         n = len(t)
-        self.t, self.n, self.k = t, n, int(t.max()) + 1
+        self.t, self.n, self.k = laid(t), n, int(t.max()) + 1
         change = np.flatnonzero(t[1:] != t[:-1])  # last place of each run but the final one
         ends = np.append(change, n - 1)
         length = np.diff(ends, prepend=-1)
         up = np.append(t[change] < t[change + 1], True)
-        self.s_type = np.repeat(up, length)
-        self.run = np.minimum(np.repeat(ends, length) - np.arange(n) + 1, 255).astype(np.uint8)
-        self.star = np.flatnonzero(self.s_type[1:] & ~self.s_type[:-1]) + 1
+        self.s_type = laid(np.repeat(up, length))
+        self.run = laid(np.minimum(np.repeat(ends, length) - np.arange(n) + 1, 255).astype(np.uint8))
+        self.star = laid(np.flatnonzero(self.s_type[1:] & ~self.s_type[:-1]) + 1)
         self.batches = self._batches(t[change], t[change + 1])
 
     def _batches(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -107,18 +125,21 @@ class Text:
         out.append((start, self.k))
         return out
 
-    def induce(self, seeds: tuple[np.ndarray, np.ndarray], s_pass: bool) -> tuple[np.ndarray, np.ndarray]:
+    def induce(self, seeds: tuple[np.ndarray, np.ndarray], s_pass: bool, shares: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Sorted suffixes of one type from sorted ``seeds`` (positions, common prefixes) of the other.
 
         The L pass goes up from S* suffixes, the S pass goes down from L suffixes; both return their suffixes, and the
-        common prefix of each with the one before it in that direction.
+        common prefix of each with the one before it in that direction (without ``shares``: of no meaning).
         """
         t, target = self.t, self.s_type if s_pass else ~self.s_type
-        queue = SymbolQueue(np.bincount(t[target], minlength=self.k))
+        if self.n < FINE * len(self.batches):
+            return self._one_by_one(seeds, target, s_pass, shares)
+        sizes = np.bincount(t[target], minlength=self.k)
+        queue = SymbolQueue(sizes, self.n)
         seed_pos, seed_lcp = seeds
         seed_sym = t[seed_pos]
         seed_key = -seed_sym if s_pass else seed_sym  # ascending in the order of the pass
-        out_pos, out_lcp = [], []
+        done_pos, done_lcp, done = scratch(int(sizes.sum()), places(self.n)), scratch(int(sizes.sum()), np.uint8), 0
         if s_pass:  # the last suffix is an S suffix with nothing to its right
             queue.push(t[-1:].astype(np.int64), np.array([self.n - 1]), np.zeros(1, dtype=np.uint8))
         for a, b in reversed(self.batches) if s_pass else self.batches:
@@ -132,14 +153,60 @@ class Text:
                 order = np.argsort(-sym, kind="stable")
                 sym, pos, lcp = sym[order], pos[order], lcp[order]
             if len(sym):
-                out_pos.append(pos)
-                out_lcp.append(lcp)
+                done_pos[done : done + len(pos)], done_lcp[done : done + len(pos)] = pos, lcp
+                done += len(pos)
             if not len(sym) and not len(e_sym):
                 continue
             all_sym, all_pos, all_lcp = self._joined(sym, pos, lcp, e_sym, e_pos, e_lcp, s_pass)
-            self._spread(queue, all_sym, all_pos, all_lcp, target)
-        queue.close()
-        return (np.concatenate(out_pos), np.concatenate(out_lcp)) if out_pos else (np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.uint8))
+            self._spread(queue, all_sym, all_pos, all_lcp, target, shares)
+        return done_pos[:done], done_lcp[:done]
+
+    def _one_by_one(self, seeds: tuple[np.ndarray, np.ndarray], target: np.ndarray, s_pass: bool, shares: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The result of ``induce``, entry by entry. ``low`` holds the minima of common prefixes from the entries ``at`` on."""
+        t, run, wanted = self.t.tolist(), self.run.tolist(), target.tolist()
+        seed_pos, seed_lcp, s = seeds[0].tolist(), seeds[1].tolist(), 0
+        queue: list[list[int]] = [[] for _ in range(self.k)]
+        shared: list[list[int]] = [[] for _ in range(self.k)]
+        last = [0] * self.k  # entry that last induced one of this symbol
+        out_pos: list[int] = []
+        out_lcp: list[int] = []
+        at, low, now = [], [], 0
+        if s_pass:
+            queue[t[-1]].append(self.n - 1)
+            shared[t[-1]].append(0)
+        for c in range(self.k - 1, -1, -1) if s_pass else range(self.k):
+            own, own_lcp, i = queue[c], shared[c], 0
+            while True:
+                if i < len(own):  # grows by suffixes that start earlier in the same run
+                    p, v = own[i], own_lcp[i] if i else 0
+                    i += 1
+                elif s < len(seed_pos) and t[seed_pos[s]] == c:
+                    p = seed_pos[s]
+                    if i <= len(own):  # the first seed against the last entry: they share the shorter run
+                        v = min(run[own[-1]], run[p]) if own else 0
+                        i = len(own) + 1
+                    else:
+                        v = seed_lcp[s]
+                    s += 1
+                else:
+                    break
+                if shares:
+                    now += 1
+                    while low and low[-1] >= v:
+                        low.pop()
+                        at.pop()
+                    low.append(v)
+                    at.append(now)
+                if p and wanted[p - 1]:
+                    d = t[p - 1]
+                    shared[d].append(min(low[bisect_right(at, last[d])] + 1, 255) if shares and queue[d] else 0)
+                    queue[d].append(p - 1)
+                    last[d] = now
+            if own:
+                own_lcp[0] = 0
+                out_pos += own
+                out_lcp += own_lcp
+        return np.array(out_pos, dtype=places(self.n)), np.array(out_lcp, dtype=np.uint8)
 
     def _runs(self, sym: np.ndarray, pos: np.ndarray, lcp: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Adds the suffixes that start earlier in the same runs of equal symbols, one round for each place."""
@@ -178,7 +245,7 @@ class Text:
         order = np.argsort(-all_sym if down else all_sym, kind="stable")
         return all_sym[order], all_pos[order], all_lcp[order]
 
-    def _spread(self, queue: SymbolQueue, sym: np.ndarray, pos: np.ndarray, lcp: np.ndarray, target: np.ndarray) -> None:
+    def _spread(self, queue: SymbolQueue, sym: np.ndarray, pos: np.ndarray, lcp: np.ndarray, target: np.ndarray, shares: bool) -> None:
         """Queues the suffixes of the wanted type that precede those of a batch, with other symbols."""
         before = np.maximum(pos - 1, 0)
         to = self.t[before]
@@ -189,24 +256,38 @@ class Text:
         order = np.argsort(to, kind="stable")
         own, to = own[order], to[order]
         low = np.ones(len(own), dtype=np.uint8)
-        near = np.flatnonzero(to[1:] == to[:-1]) + 1
+        near = np.flatnonzero(to[1:] == to[:-1]) + 1 if shares else ()
         if len(near):
             m = range_min(lcp, own[near - 1] + 1, own[near])
             low[near] = np.minimum(m.astype(np.int64) + 1, 255)
         queue.push(to, before[own], low)
 
+    def rough(self, star: np.ndarray) -> np.ndarray:
+        """S* positions in order of their substrings, from S* positions in order of their symbols."""
+        none = np.zeros(len(star), dtype=np.uint8)
+        l_pos, l_lcp = self.induce((star, none), False, False)
+        s_pos, _ = self.induce((l_pos[::-1], l_lcp), True, False)
+        is_star = np.zeros(self.n, dtype=bool)
+        is_star[star] = True
+        s_pos = s_pos[::-1]
+        return s_pos[is_star[s_pos]]
+
     def sort(self, star: np.ndarray, star_lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(suffix array, common prefixes with the one before) from sorted S* suffixes."""
         l_pos, l_lcp = self.induce((star, star_lcp), False)
         s_pos, s_lcp = self.induce((l_pos[::-1], np.append(l_lcp[1:], np.zeros(min(1, len(l_lcp)), dtype=np.uint8))[::-1]), True)
         s_pos, s_lcp = s_pos[::-1], np.append(s_lcp[1:], np.zeros(1, dtype=np.uint8))[::-1]
-        t = self.t
-        pos, lcp = np.concatenate([l_pos, s_pos]), np.concatenate([l_lcp, s_lcp])
-        order = np.argsort(t[pos], kind="stable")
-        pos, lcp = pos[order], lcp[order]
-        edge = np.flatnonzero((t[pos[1:]] == t[pos[:-1]]) & (self.s_type[pos[1:]] != self.s_type[pos[:-1]])) + 1
+        # Both are in order of their symbols: L suffixes of a symbol come before its S suffixes.
+        l_sizes, s_sizes = (np.bincount(self.t[x], minlength=self.k) for x in (l_pos, s_pos))
+        both = np.stack([l_sizes, s_sizes], axis=1).ravel()
+        first = np.cumsum(both) - both
+        pos, lcp = scratch(self.n, places(self.n)), scratch(self.n, np.uint8)
+        for part, part_lcp, start, sizes in ((l_pos, l_lcp, first[::2], l_sizes), (s_pos, s_lcp, first[1::2], s_sizes)):
+            at = spans(start, sizes)
+            pos[at], lcp[at] = part, part_lcp
+        edge = first[1::2][(l_sizes > 0) & (s_sizes > 0)]
         lcp[edge] = np.minimum(self.run[pos[edge]], self.run[pos[edge - 1]])
-        lcp[np.diff(t[pos], prepend=-1) != 0] = 0
+        lcp[first[::2][l_sizes + s_sizes > 0]] = 0
         return pos, lcp
 
 
@@ -227,15 +308,10 @@ def suffix_array(t: np.ndarray, cap: int = 64) -> tuple[np.ndarray, np.ndarray]:
     if len(t) == 1:
         return np.zeros(1, dtype=np.int32), np.zeros(1, dtype=np.uint8)
     text = Text(t)
-    if len(t) < FINE * len(text.batches):
-        return doubled(t, cap)
     star = text.star
     # Induction from S* positions in any order within their symbols sorts the S* substrings.
-    some = star[np.argsort(t[star], kind="stable")].astype(np.int32)
-    rough, _ = text.sort(some, np.zeros(len(some), dtype=np.uint8))
-    is_star = np.zeros(len(t), dtype=bool)
-    is_star[star] = True
-    rough = rough[is_star[rough]]
+    some = star[np.argsort(t[star], kind="stable")].astype(places(len(t)))
+    rough = text.rough(some)
     names, kinds = _names(t, star, rough)
     if kinds == len(star):
         order, shared = np.argsort(names), np.zeros(len(star), dtype=np.int64)
@@ -249,37 +325,10 @@ def suffix_array(t: np.ndarray, cap: int = 64) -> tuple[np.ndarray, np.ndarray]:
     known = np.minimum(star[np.minimum(a + same, len(star) - 1)] - star[a], cap)
     lcp = np.zeros(len(star), dtype=np.uint8)
     lcp[1:] = prefix(t, star_sa[:-1].astype(np.int64), star_sa[1:].astype(np.int64), known, cap)
-    pos, lcp = text.sort(star_sa.astype(np.int32), lcp)
+    pos, lcp = text.sort(star_sa.astype(places(len(t))), lcp)
     return pos, np.minimum(lcp, cap)
 
 
-def doubled(t: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
-    """The result of :func:`suffix_array` by prefix doubling, for strings of many symbols and few entries for each."""
-    n = len(t)
-    rank, width = t.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    while True:
-        new = np.concatenate(([True], rank[order[1:]] != rank[order[:-1]]))
-        # Only suffixes that share their rank are sorted again, by the rank of what follows.
-        first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        tied = ~(new & np.append(new[1:], True))
-        rank[order] = first
-        at = np.flatnonzero(tied)
-        if not len(at):
-            break
-        own = order[at]
-        after = np.where(own + width < n, rank[np.minimum(own + width, n - 1)], -1)
-        own = own[np.lexsort((after, first[at]))]
-        order[at] = own
-        after = np.where(own + width < n, rank[np.minimum(own + width, n - 1)], -1)
-        split = np.concatenate(([True], (rank[own[1:]] != rank[own[:-1]]) | (after[1:] != after[:-1])))
-        rank[own] = at[np.maximum.accumulate(np.where(split, np.arange(len(at)), 0))]
-        width *= 2
-    lcp = np.zeros(n, dtype=np.uint8)
-    lcp[1:] = prefix(t, order[:-1].astype(np.int64), order[1:].astype(np.int64), np.zeros(n - 1, dtype=np.int64), cap)
-    return order, lcp
-
-
 def _names(t: np.ndarray, star: np.ndarray, rough: np.ndarray) -> tuple[np.ndarray, int]:
     """Ranks of the S* substrings in text order, and how many differ. ``rough``: S* positions by substring."""
     end = np.empty(len(star), dtype=np.int64)

@@ -5,7 +5,7 @@ anchor, the least hashed gram inside it, so equal windows have equal anchors; wi
 a run. The steps, all over whole texts:
 
 1. Anchors of all documents are dealt by hash; those that occur in two documents or more are returned to the group of
-   documents (a range of ids) that asked.
+   documents (dealt by a hash of id and text, sized by bytes) that asked.
 2. Each group sends its runs with such anchors, each different run once, to the anchor's shard.
 3. Each shard builds the suffix array of its runs with common prefixes by external induced sorting (``induced``) and
    finds the smallest document of each class of equal windows. A run that equals all others of its anchor is a class by
@@ -15,10 +15,13 @@ a run. The steps, all over whole texts:
 A passage that a third of all documents share costs a shard one entry for each group, not for each document. Runs at its
 edges differ in every document, so an anchor with many runs is hot: its runs are cut into windows, which are dealt to
 shards by a hash of their own bytes. Equal windows still meet, and no anchor fills a shard. Every step streams; groups
-and shards are sized by bytes, so none grows with the corpus. The texts are shuffled twice.
+and shards are sized by bytes, so none grows with the corpus. The texts are shuffled twice. Between groups and shards a
+run goes by 96 bits: a hash of its bytes and one of its anchor, which are made by different functions.
 
-Null texts are empty; texts shorter than ``length`` stay whole; a null id counts as larger than any other; rows of
-equal id don't remove from each other; a document does not remove from itself; an empty table gives no rows.
+Null texts are empty; texts shorter than ``length`` stay whole; a null id counts as larger than any other (as does
+2^63 - 1, which stands for it); rows of equal id don't remove from each other; a document does not remove from itself;
+an empty table gives no rows. Carried columns keep their names, save those that the result has itself: these get
+``input_`` before them.
 """
 
 from __future__ import annotations
@@ -33,12 +36,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import induced
-from .common import bounded_batches, stored, trim
+from .common import apart, bounded_batches, named, stored, trim
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text that are hashed at once, and in a shard or bucket.
-CHUNK, SHARD = 1 << 20, 4 << 20
+CHUNK, SHARD = 1 << 20, 8 << 20
 LAST = (1 << 63) - 1
+#: Windows ``a`` to ``b`` of the run (key, mark) have a least document ``low``.
+RECORD = np.dtype([("key", "<u8"), ("mark", "<u4"), ("a", "<u2"), ("b", "<u2"), ("low", "<i8")])
 
 _MULT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -61,8 +66,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 class Runs:
     """Runs of windows with one anchor each, of documents laid end to end in ``raw``.
 
-    ``first`` and ``last`` window, ``anchor`` hash and ``key`` (a hash of the run's anchor, bytes and their number). Runs
-    with an anchor of ``hot`` (sorted) are cut into windows and marked in ``split``.
+    ``first`` and ``last`` window, ``anchor`` hash, ``mark`` (some of its bits) and ``key`` (a hash of the run's anchor,
+    bytes and their number). Runs with an anchor of ``hot`` (sorted) are cut into windows and marked in ``split``.
     """
 
     def __init__(self, raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, hot: np.ndarray | None = None):
@@ -70,7 +75,7 @@ class Runs:
         gram = min(GRAM, length // 2)
         n, grams = len(raw), length - gram + 1
         z = np.zeros(0, dtype=np.int64)
-        self.first, self.last, self.anchor, self.key = z, z, z.astype(np.uint64), z.astype(np.uint64)
+        self.first, self.last, self.anchor, self.key, self.mark = z, z, z.astype(np.uint64), z.astype(np.uint64), z.astype(np.uint32)
         if n < length:
             return
         total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((raw + np.uint64(1)) * _POW[:n], dtype=np.uint64)))
@@ -101,9 +106,7 @@ class Runs:
         stop = self.last + length
         body = _mixed((total[stop] - total[self.first]) * _INV[self.first])
         self.key = _mixed(body ^ (self.anchor * _MULT) ^ (stop - self.first).astype(np.uint64))
-
-    def bytes_of(self, k: int) -> bytes:
-        return self.raw[self.first[k] : self.last[k] + self.length].tobytes()
+        self.mark = (self.anchor >> np.uint64(32)).astype(np.uint32)
 
 
 def pieces(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -159,11 +162,65 @@ def _batch(names: list[str], types: list[pa.DataType], cols: list[list]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types, strict=True)], names=names)
 
 
+def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray, rows: int = 32_768) -> np.ndarray:
+    """flat[start[k] : start[k] + size[k]] one after the other, some rows at a time."""
+    out, at = np.empty(int(size.sum()), dtype=flat.dtype), 0
+    for k in range(0, len(start), rows):
+        part = flat[induced.spans(start[k : k + rows], size[k : k + rows])]
+        out[at : at + len(part)] = part
+        at += len(part)
+    return out
+
+
+class Held:
+    """Different runs of a group, each with the least and the largest document that has it."""
+
+    NAMES = ("key", "mark", "to", "low", "high", "size")
+
+    def __init__(self):
+        self.columns: list[tuple[np.ndarray, ...]] = []
+        self.bodies: list[np.ndarray] = []
+        self.bytes = 0
+
+    def add(self, columns: tuple[np.ndarray, ...], body: np.ndarray) -> None:
+        self.columns.append(columns)
+        self.bodies.append(body)
+        self.bytes += len(body) + 40 * len(columns[0])
+
+    def merge(self) -> None:
+        """Equal runs become one."""
+        key, mark, to, low, high, size = (np.concatenate(c) for c in zip(*self.columns, strict=True))
+        body = np.concatenate(self.bodies)
+        order = np.lexsort((mark, key))
+        k, m = key[order], mark[order]
+        new = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (m[1:] != m[:-1]))))
+        pick = order[new]
+        at = np.cumsum(size) - size
+        low, high = np.minimum.reduceat(low[order], new), np.maximum.reduceat(high[order], new)
+        self.columns, self.bodies, self.bytes = [], [], 0
+        self.add((key[pick], mark[pick], to[pick], low, high, size[pick]), _gathered(body, at[pick], size[pick]))
+
+    def taken(self, shards: int) -> tuple[np.ndarray, list[list[bytes]]]:
+        """Shards, and for each the packed columns and bytes of its runs; nothing is held afterwards."""
+        self.merge()
+        key, mark, to, low, high, size = self.columns[0]
+        shard = (to % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        at = np.cumsum(size) - size
+        body = _gathered(self.bodies[0], at[order], size[order])
+        ends = np.concatenate(([0], np.cumsum(size[order])))
+        cut, stop = _cuts(shard[order])
+        cols = [[x[order[a:b]].astype(t).tobytes() for a, b in zip(cut.tolist(), stop.tolist(), strict=True)] for x, t in ((key, "<u8"), (mark, "<u4"), (to, "<u8"), (low, "<i8"), (high, "<i8"), (size, "<u2"))]
+        cols.append([body[ends[a] : ends[b]].tobytes() for a, b in zip(cut.tolist(), stop.tolist(), strict=True)])
+        self.columns, self.bodies, self.bytes = [], [], 0
+        return shard[order[cut]], cols
+
+
 def _raw(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
-def _ask_anchors(docs: DataFrame, buckets: int, length: int) -> DataFrame:
+def _ask_anchors(docs: DataFrame, buckets: int, length: int, group_type: str = "<u4") -> DataFrame:
     """(bucket, anchors, groups, many, runs): which anchors each group has, whether in two documents at least, and in how
     many runs (65,535 stands for more)."""
 
@@ -196,14 +253,14 @@ def _ask_anchors(docs: DataFrame, buckets: int, length: int) -> DataFrame:
             cut, stop = _cuts(b)
             cols = [[], [], [], [], []]
             for x, y in zip(cut.tolist(), stop.tolist(), strict=True):
-                for c, v in zip(cols, (int(b[x]), _six(a[x:y]), g[x:y].astype("<u2").tobytes(), np.packbits(many[x:y]).tobytes(), runs[x:y].astype("<u2").tobytes()), strict=True):
+                for c, v in zip(cols, (int(b[x]), _six(a[x:y]), g[x:y].astype(group_type).tobytes(), np.packbits(many[x:y]).tobytes(), runs[x:y].astype("<u2").tobytes()), strict=True):
                     c.append(v)
             yield _batch(["bucket", "anchors", "groups", "many", "runs"], [pa.int32(), *[pa.binary()] * 4], cols)
 
     return docs.select("grp", "doc_id", "text").mapInArrow(run, "bucket int, anchors binary, groups binary, many binary, runs binary")
 
 
-def _shared_anchors(asked: DataFrame, most: int) -> DataFrame:
+def _shared_anchors(asked: DataFrame, most: int, group_type: str = "<u4") -> DataFrame:
     """(grp, body): for each group, anchors of its documents that two documents at least have. A body begins with 1 if
     its anchors are hot, which have more than ``most`` runs in all groups, else with 0."""
 
@@ -212,7 +269,7 @@ def _shared_anchors(asked: DataFrame, most: int) -> DataFrame:
         for x, y, z, r in zip(*(table.column(c).to_pylist() for c in ("anchors", "groups", "many", "runs")), strict=True):
             runs.append(np.frombuffer(r, dtype="<u2"))
             a.append(_wide(x))
-            g.append(np.frombuffer(y, dtype="<u2"))
+            g.append(np.frombuffer(y, dtype=group_type))
             many.append(np.unpackbits(np.frombuffer(z, dtype=np.uint8))[: len(a[-1])])
         a, g, many, runs = np.concatenate(a), np.concatenate(g), np.concatenate(many).astype(bool), np.concatenate(runs).astype(np.int64)
         order = np.argsort(a, kind="stable")
@@ -252,34 +309,23 @@ def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[byt
                 yield int(grp[x]), part, None, [], []
 
 
-def _ask_runs(docs: DataFrame, replies: DataFrame, shards: int, length: int, most: int = 64 << 20) -> DataFrame:
-    """(shard, grp, key, anchor, low, high, size, body): the different runs of each group with shared anchors."""
-    schema = "shard int, grp int, key binary, anchor binary, low binary, high binary, size binary, body binary"
+def _ask_runs(docs: DataFrame, replies: DataFrame, shards: int, length: int, most: int = 32 << 20) -> DataFrame:
+    """(shard, grp, key, mark, anchor, low, high, size, body): the different runs of each group with shared anchors."""
+    schema = "shard int, grp int, key binary, mark binary, anchor binary, low binary, high binary, size binary, body binary"
     names = [f.split()[0] for f in schema.split(", ")]
-    types = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+    types = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, bodies, shared, hot = None, [], np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
-        held: dict[int, list] = {}  # key: anchor, least id, largest id, bytes
-        size = 0
+        held = Held()
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, size
-            by: dict[int, list] = {}
-            for key, v in held.items():
-                by.setdefault(v[0] % shards, []).append((key, *v))  # windows of hot anchors have their own key for it
-            cols: list[list] = [[] for _ in names]
-            for shard, rows in by.items():
-                key, anchor, low, high, body = zip(*rows, strict=True)
-                packed = [np.array(x, dtype=t).tobytes() for x, t in ((key, "<u8"), (anchor, "<u8"), (low, "<i8"), (high, "<i8"), (list(map(len, body)), "<u2"))]
-                for c, v in zip(cols, (shard, group, *packed, b"".join(body)), strict=True):
-                    c.append(v)
-            held, size = {}, 0
-            return _batch(names, types, cols)
+            shard, cols = held.taken(shards)
+            return _batch(names, types, [shard.tolist(), [group] * len(shard), *cols])
 
         for g, new, ids, texts, _ in _by_group(batches):
             if g != group:
-                if held:
+                if held.bytes:
                     yield flush()
                 group, bodies, shared, hot = g, [], np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
             bodies += new
@@ -290,22 +336,19 @@ def _ask_runs(docs: DataFrame, replies: DataFrame, shards: int, length: int, mos
                 continue
             for raw, ends, rows, _ in pieces(texts, length):
                 r = Runs(raw, ends, length, hot)
-                low48 = r.anchor & _LOW48
-                hit = np.flatnonzero(_among(low48, shared))
-                low48 = np.where(r.split, r.key & _LOW48, low48)
+                hit = np.flatnonzero(_among(r.anchor & _LOW48, shared))
+                if not len(hit):
+                    continue
+                # Windows of hot anchors are dealt by their own key.
+                to = np.where(r.split, r.key, r.anchor)[hit] & _LOW48
                 doc = ids[rows[np.searchsorted(ends, r.first[hit], side="right")]]
-                for k, key, anchor, d in zip(hit.tolist(), r.key[hit].tolist(), low48[hit].tolist(), doc.tolist(), strict=True):
-                    own = held.get(key)
-                    if own is None:
-                        held[key] = [anchor, d, d, r.bytes_of(k)]
-                        size += 200
-                    elif d < own[1]:
-                        own[1] = d
-                    elif d > own[2]:
-                        own[2] = d
-                if size > most:
-                    yield flush()
-        if held:
+                size = r.last[hit] - r.first[hit] + length
+                held.add((r.key[hit], r.mark[hit], to, doc, doc, size), _gathered(raw, r.first[hit], size))
+                if held.bytes > most:
+                    held.merge()
+                    if held.bytes > most // 2:
+                        yield flush()
+        if held.bytes:
             yield flush()
         trim()
 
@@ -315,18 +358,18 @@ def _ask_runs(docs: DataFrame, replies: DataFrame, shards: int, length: int, mos
 def _first_documents(asked: DataFrame, length: int) -> DataFrame:
     """(grp, body): for each group, records (key, first window, last window, smallest id) of windows that a smaller
     document than one of its own has."""
-    record = np.dtype([("key", "<u8"), ("a", "<u2"), ("b", "<u2"), ("low", "<i8")])
 
     def run(table: pa.Table) -> pa.Table:
-        cols = {c: table.column(c).to_pylist() for c in ("grp", "key", "anchor", "low", "high", "size", "body")}
+        cols = {c: table.column(c).to_pylist() for c in ("grp", "key", "mark", "anchor", "low", "high", "size", "body")}
         cat = lambda c, t: np.concatenate([np.frombuffer(x, dtype=t) for x in cols[c]])
-        key, anchor, low, high, size = cat("key", "<u8"), cat("anchor", "<u8"), cat("low", "<i8"), cat("high", "<i8"), cat("size", "<u2").astype(np.int64)
+        key, mark, anchor, low, high, size = cat("key", "<u8"), cat("mark", "<u4"), cat("anchor", "<u8"), cat("low", "<i8"), cat("high", "<i8"), cat("size", "<u2").astype(np.int64)
         grp = np.repeat(np.array(cols["grp"]), [len(x) // 8 for x in cols["key"]])
         body = b"".join(cols["body"])
         at = np.cumsum(size) - size
         # The same run from several groups counts once, with the least id of all.
-        order = np.lexsort((key, anchor))
-        new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+        order = np.lexsort((mark, key, anchor))
+        k, m, n = key[order], mark[order], anchor[order]
+        new = np.concatenate(([True], (k[1:] != k[:-1]) | (m[1:] != m[:-1]) | (n[1:] != n[:-1])))
         run_of = np.empty(len(key), dtype=np.int64)
         run_of[order] = np.cumsum(new) - 1
         pick = order[new]
@@ -352,8 +395,8 @@ def _first_documents(asked: DataFrame, length: int) -> DataFrame:
         edge[1:] |= first[1:] != first[:-1]
         begin = np.flatnonzero(edge)
         owner = np.searchsorted(offset, begin, side="right") - 1
-        rec = np.zeros(len(begin), dtype=record)
-        rec["key"], rec["low"] = key[pick[owner]], first[begin]
+        rec = np.zeros(len(begin), dtype=RECORD)
+        rec["key"], rec["mark"], rec["low"] = key[pick[owner]], mark[pick[owner]], first[begin]
         rec["a"], rec["b"] = begin - offset[owner], np.append(begin[1:], len(first)) - 1 - offset[owner]
         count = np.bincount(owner, minlength=len(pick))
         rec_at = np.cumsum(count) - count
@@ -372,7 +415,6 @@ def _first_documents(asked: DataFrame, length: int) -> DataFrame:
 
 
 def _removed(docs: DataFrame, replies: DataFrame, length: int, with_kept: bool, carry: tuple[str, ...]) -> DataFrame:
-    record = np.dtype([("key", "<u8"), ("a", "<u2"), ("b", "<u2"), ("low", "<i8")])
     schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_kept)
     names, types = schema.names, [*[pa.int64()] * 4, *[pa.string()] * (1 + with_kept)]
     schema = StructType([*schema.fields, *(docs.schema[c] for c in carry)])
@@ -388,28 +430,29 @@ def _removed(docs: DataFrame, replies: DataFrame, length: int, with_kept: bool,
             rec = known[induced.spans(lo[hit], n)]
             first, piece = np.repeat(r.first[hit], n), np.repeat(np.searchsorted(ends, r.first[hit], side="right"), n)
             row = rows[piece]
-            use = rec["low"] < ids[row]
+            use = (rec["mark"] == np.repeat(r.mark[hit], n)) & (rec["low"] < ids[row])
+            first, piece, row, rec = first[use], piece[use], row[use], rec[use]
             a = first + rec["a"] - (np.concatenate(([0], ends[:-1])) - offsets)[piece]
             b = a + (rec["b"].astype(np.int64) - rec["a"]) + length
-            for k in np.unique(row[use]).tolist():
-                own = use & (row == k) if len(texts) > 1 else use
+            for x, y in zip(*(c.tolist() for c in _cuts(row)), strict=True):  # runs come in order of rows
+                k = int(row[x])
                 if out[k] is None:
                     out[k] = np.zeros(len(texts[k]) + 1, dtype=np.int32)
-                np.add.at(out[k], a[own], 1)
-                np.add.at(out[k], b[own], -1)
+                np.add.at(out[k], a[x:y], 1)
+                np.add.at(out[k], b[x:y], -1)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, bodies, known, hot = None, [], np.zeros(0, dtype=record), np.zeros(0, dtype=np.uint64)
+        group, bodies, known, hot = None, [], np.zeros(0, dtype=RECORD), np.zeros(0, dtype=np.uint64)
         for g, new, ids, texts, more in _by_group(batches):
             if g != group:
-                group, bodies, known, hot = g, [], np.zeros(0, dtype=record), np.zeros(0, dtype=np.uint64)
+                group, bodies, known, hot = g, [], np.zeros(0, dtype=RECORD), np.zeros(0, dtype=np.uint64)
             bodies += new
             if ids is None:
                 continue
             if bodies:
                 hot = np.unique(np.concatenate([hot, *(_wide(b[1:]) for b in bodies if b[0])]))
-                known = np.concatenate([known, *(np.frombuffer(b, dtype=record, offset=1) for b in bodies if not b[0] and len(b) > 1)])
+                known = np.concatenate([known, *(np.frombuffer(b, dtype=RECORD, offset=1) for b in bodies if not b[0] and len(b) > 1)])
                 known, bodies = known[np.argsort(known["key"], kind="stable")], []
             for at in range(0, len(texts), 64):
                 part, own = texts[at : at + 64], ids[at : at + 64]
@@ -430,37 +473,26 @@ def _removed(docs: DataFrame, replies: DataFrame, length: int, with_kept: bool,
     return _beside(docs, replies, carry).mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD, group_bytes: int = 16 << 20, with_kept: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD, group_bytes: int = 32 << 20, with_kept: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs`` (doc_id, text).
 
     ``with_kept`` adds ``kept_text``, without the bytes of characters that were cut in two; ``carry`` names further
     columns to keep.
     """
     bounded_batches(docs.sparkSession)
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carry)
-    total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # Groups are ranges of ids, 65,535 at most, which ids of two bytes can name; more text makes groups larger, and
-    # they are streamed. Buckets hold about 0.6 bytes for each byte of text.
-    groups = int(min(65_535, max(1, -(-total // group_bytes))))
+    kept = {c: f"carried_{k}" for k, c in enumerate(carry)}
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *(named(c).alias(n) for c, n in kept.items()))
+    total, n = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    # Small inputs are dealt over some groups too. Buckets hold about 0.6 bytes for each byte of text.
+    groups = max(1, -(-total // group_bytes), min(n // 8192, 16))
     buckets = max(1, -(-total * 6 // (10 * shard_bytes)))
-    cuts = base.agg(F.percentile_approx("doc_id", [k / groups for k in range(1, groups)] or [1.0], max(10_000, 10 * groups))).first()[0] or []
-    cuts = sorted(set(cuts[: groups - 1]))
-    grouped = base.withColumn("grp", _group_of(cuts))
-    asked = _ask_anchors(grouped, buckets, length)
-    shared = stored(_shared_anchors(asked, shard_bytes // 256), "suffix-anchors")
+    grouped = base.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
+    kind = "<u2" if groups <= 1 << 16 else "<u4"
+    asked = _ask_anchors(grouped, buckets, length, kind)
+    shared = stored(_shared_anchors(asked, shard_bytes // 256, kind), "suffix-anchors")
     runs = _ask_runs(grouped, shared, max(1, -(-total // shard_bytes)), length)
     firsts = stored(_first_documents(runs, length), "suffix-firsts")
     hot = shared.where(F.hex(F.substring("body", 1, 1)) == "01")
-    return _removed(grouped, firsts.unionAll(hot), length, with_kept, carry)
-
-
-def _group_of(cuts: list[int]) -> F.Column:
-    """Number of ``cuts`` at or below doc_id, by halving."""
-
-    def half(lo: int, hi: int) -> F.Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") < F.lit(cuts[mid]).cast("long"), half(lo, mid)).otherwise(half(mid + 1, hi))
-
-    return half(0, len(cuts)).cast("int")
+    out = _removed(grouped, firsts.unionAll(hot), length, with_kept, tuple(kept.values()))
+    own = [c for c in out.columns if c not in kept.values()]
+    return out.select(*own, *(F.col(n).alias(free) for n, free in zip(kept.values(), apart(carry, own), strict=True)))

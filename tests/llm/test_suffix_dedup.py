@@ -5,6 +5,7 @@ import hashlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerspark.llm import induced, queries, suffix_dedup
 from test_base_ops import DOCS, ODD
@@ -24,9 +25,9 @@ def brute_suffixes(t):
 @pytest.mark.parametrize("fine", [0, 3, 4096])
 @pytest.mark.parametrize("memory", [4, 1 << 25])
 def test_suffix_array(monkeypatch, fine, memory):
-    """All by recursive induction (fine 0) or with prefix doubling below; queues in memory or in a file."""
+    """Induction in batches (fine 0), entry by entry, or both in one recursion; arrays in memory or in files."""
     monkeypatch.setattr(induced, "FINE", fine)
-    monkeypatch.setattr(induced.SymbolQueue.__init__, "__defaults__", (memory,))
+    monkeypatch.setattr(induced, "MEMORY", memory)
     rng = np.random.default_rng(fine)
     for trial in range(250):
         t = rng.integers(1, rng.integers(2, 6), rng.integers(1, 60))
@@ -36,6 +37,34 @@ def test_suffix_array(monkeypatch, fine, memory):
         assert (sa.tolist(), lcp.tolist()) == brute_suffixes(t)
 
 
+def test_recursion_by_induction_in_files(monkeypatch):
+    """A shard of prose recurses by induction until all names differ, and its queues and strings lie in files."""
+    levels, files = [], []
+
+    class Text(induced.Text):
+        def __init__(self, t):
+            super().__init__(t)
+            levels.append(self.n)
+
+    real = induced.scratch
+    monkeypatch.setattr(induced, "Text", Text)
+    monkeypatch.setattr(induced, "MEMORY", 1000)
+    monkeypatch.setattr(induced, "scratch", lambda n, t: files.append(isinstance(out := real(n, t), np.memmap)) or out)
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(300)]
+    segs = [" ".join(rng.choice(words, 40)).encode() for _ in range(200)]
+    segs += [segs[k][20:150] + segs[k + 1][:90] for k in range(60)]
+    got = {}
+    for c, s, o in zip(*induced.classes(segs, 50), strict=True):
+        got.setdefault(int(c), set()).add((int(s), int(o)))
+    want = {}
+    for s, b in enumerate(segs):
+        for o in range(len(b) - 49):
+            want.setdefault(b[o : o + 50], set()).add((s, o))
+    assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+    assert len(levels) >= 4 and levels == sorted(levels, reverse=True) and sum(files) > 10
+
+
 def test_classes():
     segs = [b"abcdefgh", b"xabcdefy", b"", b"zzzz", b"zzzzz", b"abcd"]
     got = {}
@@ -116,6 +145,30 @@ def test_odd_rows(spark):
     assert suffix_dedup.remove_repeats(odd.limit(0)).count() == 0
 
 
+def test_one_phrase_in_many_surroundings(spark):
+    """10^5 different surroundings of one phrase, as many runs of a few anchors: right rows from bounded shards."""
+    rng = np.random.default_rng(12)
+    letters = rng.integers(97, 123, (100_000, 60), dtype=np.uint8)
+    phrase = "one phrase of fifty bytes and a little more than that"
+    rows = [(k, a[:30].tobytes().decode() + phrase + a[30:].tobytes().decode()) for k, a in enumerate(letters)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = suffix_dedup.remove_repeats(docs, 50, 1 << 20, 1 << 20).select("doc_id", "n_removed", "n_spans").toPandas().sort_values("doc_id")
+    assert got.n_removed.tolist()[0] == 0 and (got.n_removed[1:] >= len(phrase)).all() and (got.n_spans[1:] == 1).all()
+    assert got.n_removed[1:].max() <= len(phrase) + 12
+
+
+def test_carried_names(spark):
+    """Extra columns of the names that the operator uses itself."""
+    more = {"grp": 1, "kind": 2, "body": "b", "n_bytes": 3, "kept_text": "k", "DOC_ID": 4, "key": 5, "carried_0": 6, "a.b": 7}
+    df = spark.createDataFrame([(1, "some text " * 9), (2, "some text " * 9)], "id long, text string")
+    df = df.select(F.col("id").alias("own"), "text", *(F.lit(v).alias(c) for c, v in more.items() if c != "DOC_ID")).withColumnRenamed("own", "doc_id")
+    names = tuple(c for c in more if c != "DOC_ID")
+    got = suffix_dedup.remove_repeats(df, with_kept=True, carry=names)
+    assert [c for c in got.columns if c.startswith("input_")] == ["input_n_bytes", "input_kept_text"]
+    row = got.where("doc_id = 2").first()
+    assert (row["grp"], row["input_n_bytes"], row["input_kept_text"], row["a.b"], row["n_removed"]) == (1, 3, "k", 7, 90)
+
+
 @pytest.mark.parametrize("shared", ["one passage that very many documents share", "one passage of more than fifty bytes that very many documents do share"])
 def test_hot_anchor_is_dealt_over_shards(spark, shared):
     """A shared string in a different context in every document: right rows, and no shard holds most of its windows."""
