@@ -35,18 +35,19 @@ def word_to_decimal(word: Column) -> Column:
 _LIMBS, _DIGITS, _BASE = 16, 9, 10**9
 
 
-def _carried(sums: list[Column]) -> Column:
-    """Decimal text of the number with base-10^9 digits ``sums`` (least first), which may exceed the base.
+def _carried(sums: list[Column], digits: int = 9) -> Column:
+    """Decimal text of the number with base-10^``digits`` digits ``sums`` (least first), which may exceed the base.
 
     A fold over the digits, so that each carry is computed once.
     """
-    wide, base = "decimal(38,0)", F.lit(_BASE).cast("decimal(10,0)")
+    wide, base = "decimal(38,0)", F.lit(10**digits).cast(f"decimal({digits + 1},0)")
     start = F.struct(F.lit(0).cast(wide).alias("carry"), F.lit("").alias("text"))
 
     def step(acc: Column, s: Column) -> Column:
         t = s + acc["carry"]
-        carry = F.floor(t / base).cast(wide)
-        return F.struct(carry.alias("carry"), F.concat(F.lpad((t % base).cast("bigint").cast("string"), 9, "0"), acc["text"]).alias("text"))
+        rest = t % base
+        carry = ((t - rest) / base).cast(wide)  # exact, as nothing is left over
+        return F.struct(carry.alias("carry"), F.concat(F.lpad(rest.cast("bigint").cast("string"), digits, "0"), acc["text"]).alias("text"))
 
     return F.aggregate(F.array(*(s.cast(wide) for s in sums)), start, step, lambda r: F.regexp_replace(F.concat(r["carry"].cast("string"), r["text"]), "^0+(?=.)", ""))
 
@@ -66,8 +67,19 @@ def limbs(word: Column) -> list[Column]:
 
 
 def word_to_text(word: Column) -> Column:
-    """Exact decimal text of a canonical word, all 256 bits."""
-    return F.when(word.isNotNull(), _from_limbs(limbs(word)))
+    """Exact decimal text of a canonical word, all 256 bits. Numbers below 2^64 take one conversion."""
+    low = F.conv(F.substring(word, 49, 16), 16, 10)
+    return F.when(word.startswith("0" * 48), low).when(word.isNotNull(), _wide_text(word))
+
+
+def _wide_text(word: Column) -> Column:
+    """Five digits of 60 bits, whose products with base-10^18 digits of their powers fit 38 decimal places."""
+    parts = [F.conv(F.substring(word, max(1, 50 - 15 * k), 15 if k < 4 else 4), 16, 10).cast("decimal(19,0)") for k in range(5)]
+    sums = []
+    for d in range(5):
+        own = [(p, (2 ** (60 * k) // 10 ** (18 * d)) % 10**18) for k, p in enumerate(parts)]
+        sums.append(reduce(lambda a, b: a + b, [(p * F.lit(c).cast("decimal(18,0)")).cast("decimal(38,0)") for p, c in own if c]))
+    return _carried(sums, 18)
 
 
 def sum_words(word: Column) -> Column:
@@ -192,6 +204,13 @@ def byte_text(n: Column) -> Column:
     return out
 
 
+def duration_text(seconds: Column) -> Column:
+    """``12ms``, ``1.50s``, ``2.25m``, ``1.00h``."""
+    s = seconds.cast("double")
+    unit = lambda size, mark: F.concat(F.format_string("%.2f", s / size), F.lit(mark))
+    return F.when(s < 1, F.concat(F.floor(s * 1000).cast("string"), F.lit("ms"))).when(s < 60, unit(1, "s")).when(s < 3600, unit(60, "m")).otherwise(F.when(s.isNotNull(), unit(3600, "h")))
+
+
 def from_seconds(c: Column) -> Column:
     return F.timestamp_seconds(c)
 

@@ -49,11 +49,15 @@ def not_processed(df: DataFrame, processed: DataFrame, now: F.Column, ttl_second
     return df.join(live, "key", "left_anti")
 
 
-def inside_ranges(txs: DataFrame, events: DataFrame) -> DataFrame:
-    """(event_id, tx): transactions inside (fork_height, old_tip] of each event of their chain."""
-    e = events.select(F.col("chain_id").alias("_c"), "event_id", "fork_height", "old_tip")
-    on = (F.col("chain_id") == F.col("_c")) & (F.col("block_number") > F.col("fork_height")) & (F.col("block_number") <= F.col("old_tip"))
-    return txs.join(e, on).drop("_c")
+def inside_ranges(txs: DataFrame, events: DataFrame, width: int = 32) -> DataFrame:
+    """(event_id, tx): transactions inside (fork_height, old_tip] of each event of their chain.
+
+    Ranges are spread over buckets of ``width`` heights, so that a transaction meets only the events near its height.
+    """
+    bucket = lambda h: F.floor(h / width)
+    e = events.where("fork_height < old_tip").select(F.col("chain_id").alias("_c"), "event_id", "fork_height", "old_tip", F.explode(F.sequence(bucket(F.col("fork_height") + 1), bucket(F.col("old_tip")))).alias("_b"))
+    on = (F.col("chain_id") == F.col("_c")) & (bucket(F.col("block_number")) == F.col("_b")) & (F.col("block_number") > F.col("fork_height")) & (F.col("block_number") <= F.col("old_tip"))
+    return txs.join(e, on).drop("_c", "_b")
 
 
 def with_named_block(events: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,12 +116,13 @@ def running_mean(df: DataFrame, value: str, by: list[str], order: list[str]) ->
 def moving_rate(samples: DataFrame, rate: str = "rate", new: float = 0.3) -> DataFrame:
     """Exponential moving rate of the samples (chain_id, at, rate) of each chain, from 0; one row a sample.
 
-    Samples are one for each tick, so their number for a chain is bounded by the time range, not by the data.
+    Each value is folded from the samples before it whose weight can still be seen in a double, a fixed number of them.
     """
-    ordered = samples.groupBy("chain_id").agg(F.sort_array(F.collect_list(F.struct("at", F.col(rate).cast("double").alias("r")))).alias("s"))
-    step = lambda acc, x: F.concat(acc, F.array(F.struct(x["at"].alias("at"), (x["r"] * new + F.coalesce(F.try_element_at(acc, F.lit(-1))["ema"], F.lit(0.0)) * (1 - new)).alias("ema"))))
-    start = F.lit(None).cast("array<struct<at:timestamp,ema:double>>")
-    return ordered.select("chain_id", F.inline(F.aggregate("s", F.coalesce(start, F.array().cast("array<struct<at:timestamp,ema:double>>")), step)))
+    reach = math.ceil(math.log(1e-18) / math.log(1 - new)) if 0 < new < 1 else 0
+    frame = Window.partitionBy("chain_id").orderBy("at").rowsBetween(-reach, Window.currentRow)
+    near = F.collect_list(F.coalesce(F.col(rate).cast("double"), F.lit(0.0))).over(frame)
+    ema = F.aggregate("near", F.lit(0.0), lambda acc, x: x * new + acc * (1 - new))
+    return samples.withColumn("near", near).select("chain_id", "at", ema.alias("ema"))
 
 
 def node_health(probes: DataFrame, fail: int = 3, succeed: int = 2) -> DataFrame:

@@ -17,22 +17,29 @@ def envelopes(df: DataFrame, event_type: str, at: Column, order: list[str]) -> D
     return df.select(F.lit(event_type).alias("event_type"), seconds.alias("timestamp"), body.alias("body"), *order)
 
 
-def batches(df: DataFrame, by: list[str], order: list[str], size: int = 100) -> DataFrame:
+def batches(df: DataFrame, by: list[str], order: list[str], size: int = 100, at: str | None = None, seconds: int = 5) -> DataFrame:
     """Adds ``epoch`` and ``batch``: batches of ``size`` in order; a reorganisation starts a new epoch, so that what came
-    before it is flushed and it goes first. ``by`` are the streams that pack on their own."""
+    before it is flushed and it goes first. ``by`` are the streams that pack on their own.
+
+    With a time column ``at``, what waits is also flushed every ``seconds``: ``tick`` numbers these periods, and batches
+    count within one.
+    """
     w = Window.partitionBy(*by).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = df.withColumn("epoch", F.sum((F.col("event_type") == "reorg").cast("bigint")).over(upto))
-    n = F.row_number().over(Window.partitionBy(*by, "epoch").orderBy(*order))
+    if at:
+        out = out.withColumn("tick", F.floor(F.unix_timestamp(at) / seconds))
+    n = F.row_number().over(Window.partitionBy(*by, "epoch", *(["tick"] if at else [])).orderBy(*order))
     return out.withColumn("batch", F.floor((n - 1) / size).cast("bigint"))
 
 
 def packed(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """One message for each batch: ``batch_size`` and ``events``; the batch size bounds each list."""
     events = F.transform(F.sort_array(F.collect_list(F.struct(*order, "body"))), lambda x: x["body"])
-    g = df.groupBy(*by, "epoch", "batch").agg(F.count(F.lit(1)).alias("batch_size"), events.alias("e"))
+    own = [*by, "epoch", *(["tick"] if "tick" in df.columns else []), "batch"]
+    g = df.groupBy(*own).agg(F.count(F.lit(1)).alias("batch_size"), events.alias("e"))
     text = F.concat(F.lit('{"batch_size":'), F.col("batch_size").cast("string"), F.lit(',"events":['), F.array_join("e", ","), F.lit("]}"))
-    return g.select(*by, "epoch", "batch", "batch_size", text.alias("message"))
+    return g.select(*own, "batch_size", text.alias("message"))
 
 
 def message_rows(df: DataFrame, topic: str, key: Column) -> DataFrame:

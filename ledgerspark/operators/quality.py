@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +48,7 @@ def validated(df: DataFrame, why: Column) -> tuple[DataFrame, DataFrame]:
 def _among(df: DataFrame, columns: list[str], values: list[str]) -> DataFrame:
     """Rows with one of ``columns`` in ``values``."""
     if len(values) <= LISTED:
-        return df.where(" OR ".join(f"{c} IN ({', '.join(repr(v) for v in values)})" for c in columns))
+        return df.where(reduce(or_, (F.col(c).isin(*values) for c in columns)))
     listed = df.sparkSession.createDataFrame([(v,) for v in set(values)], "v string")
     hit = [F.col(c) == F.col("v") for c in columns]
     if len(columns) == 1:

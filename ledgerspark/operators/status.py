@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: (from, to, action) moves, fixed values; the last two statuses are final.
 RULES = (("pending", "confirmed", "confirm"), ("pending", "reverted", "revert"), ("confirmed", "finalized", "finalize"), ("confirmed", "reverted", "revert"))
@@ -47,13 +52,26 @@ def fold(updates: DataFrame, key: str = "tx_key", start: str = "pending", rules:
 def first_within_ttl(df: DataFrame, key: str, ts: str, ttl_seconds: int, tie: str) -> DataFrame:
     """Rows whose key was not seen in the ``ttl_seconds`` before them; a kept row opens a new period.
 
-    A key's times are folded in order, as an array of the times and ties only.
+    A row farther than that from the one before it opens a period for certain; only the others are walked through, in
+    order, with one time held for each run. Null keys are one key; rows without a time are left out.
     """
-    lists = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(tie).alias("e")))).alias("l"))
-    empty = F.array().cast(f"array<struct<t:timestamp,e:{df.schema[tie].dataType.simpleString()}>>")
-    far = lambda a, x: (F.unix_micros(x["t"]) - F.unix_micros(F.try_element_at(a, F.lit(-1))["t"])) > ttl_seconds * 1_000_000
-    kept = F.aggregate("l", empty, lambda a, x: F.when(F.coalesce(far(a, x), F.lit(True)), F.concat(a, F.array(x))).otherwise(a))
-    return lists.select(key, F.inline(kept)).select(key, F.col("t").alias(ts), F.col("e").alias(tie))
+    rows = df.where(F.col(ts).isNotNull()).select(F.col(key).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(tie).alias("e"))
+    rows = rows.withColumn("far", F.coalesce(F.col("t") - F.lag("t").over(Window.partitionBy("k").orderBy("t", "e")) > ttl_seconds * 1_000_000, F.lit(True)))
+    period = ttl_seconds * 1_000_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = 0  # each key begins with a far row
+        for batch in batches:
+            kept = []
+            for t, far in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                kept.append(far or t - last > period)
+                if kept[-1]:
+                    last = t
+            yield batch.filter(pa.array(kept, pa.bool_())).select([0, 1, 2])
+
+    schema = StructType([*rows.schema.fields[:3]])
+    out = rows.repartition("k").sortWithinPartitions("k", "t", "e").mapInArrow(run, schema)
+    return out.select(F.col("k").alias(key), F.timestamp_micros("t").alias(ts), F.col("e").alias(tie))
 
 
 def unexpired(processed: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:

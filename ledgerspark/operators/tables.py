@@ -43,11 +43,22 @@ def write_version(df: DataFrame, path: str, version: int) -> str:
 
 
 def write_touched(new: DataFrame, path: str) -> None:
-    """Replaces only the partitions that ``new`` has, by dynamic overwrite; ``new`` must not read ``path``."""
+    """Replaces only the partitions that ``new`` has, by dynamic overwrite; ``new`` must not read ``path``.
+
+    Whatever else such a partition held is gone, so ``new`` must hold all its rows (see :func:`upsert`).
+    """
     with_bucket(new).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chain_id", "height_bucket").parquet(path)
 
 
+def recorded_reorgs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """One event for each chain and second of detection; of several the last recorded stays, of one batch the greatest
+    height."""
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1))).withColumn("_at", F.unix_timestamp("detected_at"))
+    return newest(both, ["chain_id", "_at"], [F.col("_new"), F.col("old_tip"), F.col("event_id")]).drop("_new", "_at")
+
+
 def append_reorgs(df: DataFrame, path: str) -> None:
+    """Adds to a log of events; :func:`recorded_reorgs` keeps their key."""
     df.write.mode("append").parquet(path)
 
 

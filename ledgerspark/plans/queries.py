@@ -239,6 +239,19 @@ def reorg_validate(s, d):
     return good.select("event_id", F.lit("").alias("reasons")).unionByName(bad.select("event_id", F.array_join("reasons", ",").alias("reasons")))
 
 
+@query("SELECT chain_id, old_tip, fork_height, depth, concat(chain_id, '-', CAST(epoch_us(detected_at) // 1000000 AS VARCHAR)) AS event_key FROM reorg_events")
+def reorg_from_ancestor(s, d):
+    found = view(s, d, "reorg_events").select("chain_id", F.col("old_tip").alias("old_height"), F.col("fork_height").alias("ancestor"), "detected_at")
+    return reorg.from_ancestor(found).select("chain_id", "old_tip", "fork_height", "depth", "event_key")
+
+
+@query("""SELECT chain_id, event_id, depth FROM (SELECT *, row_number() OVER (PARTITION BY chain_id, epoch_us(detected_at) // 1000000 ORDER BY CASE WHEN processed THEN 0 ELSE 1 END DESC, old_tip DESC, event_id DESC) AS k FROM reorg_events) r WHERE k = 1""")
+def reorg_recorded(s, d):
+    """Processed events are on record, the others come in: one for each chain and second."""
+    e = view(s, d, "reorg_events")
+    return tables.recorded_reorgs(e.where("processed"), e.where("NOT processed")).select("chain_id", "event_id", "depth")
+
+
 def state_of(s: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame]:
     """Tables and the detected reorganisations, as R3 takes them."""
     blocks = view(s, d, "blocks_local")
@@ -447,6 +460,24 @@ def watermark_advance(s, d):
     return progress.advance(marks, view(s, d, "scan_results"), heads, mode="max")
 
 
+@query(f"""WITH m AS (SELECT h.chain_id, greatest(h.tip // 8, t.contiguous_height) AS hw_scanned, h.tip, h.finalized FROM heads h JOIN ({CONTIGUOUS}) t ON t.chain_id = h.chain_id)
+SELECT chain_id, hw_scanned, greatest(0, least(hw_scanned, tip)) AS hw_confirmed, greatest(0, least(hw_scanned, finalized)) AS hw_finalized, greatest(hw_scanned - 128, 0) AS hw_boundary FROM m""")
+def watermark_advance_contiguous(s, d):
+    """The default: a watermark stops before the first gap."""
+    heads = view(s, d, "heads")
+    zero = F.lit(0).cast("bigint")
+    marks = heads.select("chain_id", F.floor(F.col("tip") / 8).alias("hw_scanned"), zero.alias("hw_confirmed"), zero.alias("hw_finalized"))
+    return progress.advance(marks, view(s, d, "scan_results"), heads)
+
+
+@query("SELECT chain_id, CASE WHEN chain_id = '1' THEN tip + 7 ELSE tip END AS hw_scanned, finalized AS hw_confirmed FROM heads")
+def watermark_update(s, d):
+    """A null keeps the old value, and a chain that isn't there is not added."""
+    marks = view(s, d, "heads").select("chain_id", F.col("tip").alias("hw_scanned"), F.col("finalized").alias("hw_confirmed"))
+    up = view(s, d, "heads").where("chain_id <> '56'").select(F.when(F.col("chain_id") == "1", "1").otherwise("none").alias("chain_id"), (F.col("tip") + 7).alias("hw_scanned"), F.lit(None).cast("bigint").alias("hw_confirmed"))
+    return tables.update_watermark(marks, up)
+
+
 @query("""SELECT chain_id, CASE chain_id WHEN '1' THEN tip - 5 ELSE tip END AS hw_scanned, CASE chain_id WHEN '56' THEN 'above scanned height' END AS reason FROM heads""")
 def watermark_reset(s, d):
     heads = view(s, d, "heads")
@@ -498,17 +529,17 @@ NATIVE_SQL = "CASE chain_id WHEN '1' THEN 'ETH' WHEN '56' THEN 'BNB' ELSE 'MATIC
 
 
 @query(shown(f"""SELECT b.chain_id, b.address, b.token, b.balance, CASE WHEN b.token = '' THEN {NATIVE_SQL.replace('chain_id', 'b.chain_id')} ELSE coalesce(k.symbol, 'Unknown') END AS symbol, coalesce(k.decimals, 18) AS decimals
- FROM (SELECT chain_id, address, token, sum(amount) AS balance FROM ({LEDGER}) l WHERE block_number <= 400 GROUP BY ALL) b LEFT JOIN tokens k ON k.chain_id = b.chain_id AND k.contract = b.token"""))
+ FROM (SELECT chain_id, address, token, sum(amount) AS balance FROM ({LEDGER}) l GROUP BY ALL) b LEFT JOIN tokens k ON k.chain_id = b.chain_id AND k.contract = b.token"""))
 def balances(s, d):
-    out = ledger.displayed(ledger.balances(ledger_of(s, d), 400), view(s, d, "tokens"))
+    out = ledger.displayed(ledger.balances(ledger_of(s, d)), view(s, d, "tokens"))
     return out.withColumn("balance", F.col("balance").cast("string"))
 
 
-@query(shown(f"""WITH a AS (SELECT DISTINCT chain_id, from_address AS address FROM tx WHERE src_key % 40 = 0),
+@query(shown(f"""WITH a AS (SELECT DISTINCT chain_id, from_address AS address FROM tx),
 w AS (SELECT a.chain_id, a.address, k.contract AS token, k.symbol, k.decimals FROM a JOIN tokens k ON k.chain_id = a.chain_id UNION ALL SELECT chain_id, address, '', {NATIVE_SQL}, 18 FROM a)
 SELECT w.*, coalesce(b.balance, 0) AS balance FROM w LEFT JOIN (SELECT chain_id, address, token, sum(amount) AS balance FROM ({LEDGER}) l GROUP BY ALL) b ON b.chain_id = w.chain_id AND b.address = w.address AND b.token = w.token"""))
 def default_balances(s, d):
-    a = view(s, d, "tx").where("src_key % 40 = 0").select("chain_id", F.col("from_address").alias("address")).distinct()
+    a = view(s, d, "tx").select("chain_id", F.col("from_address").alias("address")).distinct()
     out = ledger.default_balances(a, ledger.balances(ledger_of(s, d)), view(s, d, "tokens"))
     return out.withColumn("balance", F.col("balance").cast("string"))
 
@@ -644,6 +675,18 @@ def run_stream(s: SparkSession, df: DataFrame, mode: str, name: str) -> DataFram
     return s.read.schema(StructType([*df.schema.fields, StructField("batch", IntegerType())])).parquet(f"{out}/rows")
 
 
+TTL = 6 * 3600
+
+
+@query(f"""WITH o AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT user_id, event_id, n, t AS last, true AS kept FROM o WHERE n = 1
+ UNION ALL SELECT o.user_id, o.event_id, o.n, CASE WHEN o.t - f.last > {TTL}000000 THEN o.t ELSE f.last END, o.t - f.last > {TTL}000000 FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1)
+SELECT user_id, event_id FROM f WHERE kept""")
+def dedup_ttl(s, d):
+    """A kept event opens a period of six hours, in which its user's events are repeats."""
+    return status.first_within_ttl(view(s, d, "events"), "user_id", "ts", TTL, "event_id").select("user_id", "event_id")
+
+
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def dedup_ttl_stream(s, d):
     df = streams.deduplicated(event_stream(s, d), ["user_id", "event_type"], "ts", "3650 days")
@@ -689,6 +732,15 @@ def notify_batches(s, d):
     return out.select("chain_id", "epoch", "batch", "batch_size")
 
 
+@query("""WITH b AS (SELECT chain_id, epoch_us(ts) // 5000000 AS tick, (row_number() OVER (PARTITION BY chain_id, epoch_us(ts) // 5000000 ORDER BY ts, event_id) - 1) // 3 AS batch FROM probe_log)
+SELECT chain_id, tick, batch, count(*) AS batch_size FROM b GROUP BY ALL""")
+def notify_ticks(s, d):
+    """What waits is sent every five seconds."""
+    p = view(s, d, "probe_log").select("chain_id", "ts", "event_id", F.lit("probe").alias("event_type"), F.to_json(F.struct("node")).alias("body"))
+    order = ["ts", "event_id"]
+    return notify.packed(notify.batches(p, ["chain_id"], order, 3, at="ts"), ["chain_id"], order).select("chain_id", "tick", "batch", "batch_size")
+
+
 @query("""SELECT concat(chain_id, '-', tx_hash, '-', CAST(tx_index AS VARCHAR)) AS tx_message, concat(chain_id, '-', CAST(block_number AS VARCHAR)) AS block_message, concat('tx:', chain_id, ':', tx_hash) AS idempotency FROM tx""")
 def message_keys(s, d):
     return view(s, d, "tx").select(notify.transaction_key().alias("tx_message"), notify.block_key().alias("block_message"), X.tx_key(F.col("chain_id"), F.col("tx_hash")).alias("idempotency"))
@@ -716,6 +768,30 @@ def hex_roundtrip(s, d):
     return view(s, d, "tx").select("tx_hash", text(X.block_number(h), "again"), X.hex_word(h).alias("word"), X.hex_to_text(h).alias("exact"))
 
 
+def shifted_sql(bits: int) -> str:
+    """Decimal text of gas_price times 2^bits, by digits of base 10^18."""
+    chunks = [2**bits // 10 ** (18 * k) % 10**18 for k in range(4)]
+    base = "CAST(1000000000000000000 AS HUGEINT)"
+    steps = ["v0 AS (SELECT tx_hash, CAST(gas_price AS HUGEINT) AS g, CAST(gas_price AS HUGEINT) * CAST(%d AS HUGEINT) AS v0 FROM tx)" % chunks[0]]
+    steps += [f"v{k} AS (SELECT *, g * CAST({chunks[k]} AS HUGEINT) + v{k - 1} // {base} AS v{k} FROM v{k - 1})" for k in (1, 2, 3)]
+    digits = ", ".join(f"lpad(CAST(v{k} % {base} AS VARCHAR), 18, '0')" for k in (2, 1, 0))
+    return f"WITH {', '.join(steps)} SELECT tx_hash, ltrim(concat(CAST(v3 AS VARCHAR), {digits}), '0') AS exact FROM v3"
+
+
+@query(shifted_sql(192))
+def hex_wide(s, d):
+    """Numbers near 2^228."""
+    h = F.concat(X.to_hex(F.col("gas_price")), F.lit("0" * 48))
+    return view(s, d, "tx").select("tx_hash", X.hex_to_text(h).alias("exact"))
+
+
+@query("""SELECT tx_hash, concat(CAST(w // CAST(1000000000000000000 AS HUGEINT) AS VARCHAR), '.', lpad(CAST(w % CAST(1000000000000000000 AS HUGEINT) AS VARCHAR), 18, '0')) AS ether, CAST(w AS VARCHAR) AS again
+ FROM (SELECT tx_hash, CAST(value_wei AS HUGEINT) AS w FROM tx) v""")
+def wei_ether(s, d):
+    ether = X.wei_to_ether(F.col("value_wei"))
+    return view(s, d, "tx").select("tx_hash", text(ether, "ether"), text(X.ether_to_wei(ether), "again"))
+
+
 @query("SELECT o_orderkey, o_orderpriority AS said FROM orders")
 def abi_string(s, d):
     o = view(s, d, "orders")

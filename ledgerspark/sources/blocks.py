@@ -2,8 +2,13 @@
 
 The transport ``files`` reads ``<path>/<height>.json`` (or what ``<path>/head`` names as the head), ``module:function``
 names a callable ``(options, height or "head") -> str``. Options: ``chain_id``, ``start``, ``end``, ``batch`` (heights
-in a partition, 100), ``finality_blocks``, ``maxBlocksPerTrigger``. In a batch, ``hashes`` (comma-separated) reads what is stored under these names instead of
-heights, such as receipts of transactions; block_number is then null.
+in a partition, 100), ``finality_blocks``, ``maxBlocksPerTrigger``. In a batch, ``hashes`` (comma-separated) reads what
+is stored under these names instead of heights, such as receipts of transactions; block_number is then null.
+
+``missing`` says what becomes of heights and names that aren't there: ``row`` gives a row without an envelope, which
+decoding puts among the bad ones (names get a column ``name``), ``fail`` fails the range, ``skip`` leaves them out. The
+default is ``row`` for heights, which must be without gaps, and ``skip`` for names, of which some may not exist yet. A
+batch without ``end`` fails if no head is there; a stream waits for one.
 """
 
 from __future__ import annotations
@@ -41,14 +46,14 @@ def ranges(start: int, end: int, batch: int) -> list[HeightRange]:
 
 
 def _rows(options: dict, part: HeightRange | HashList) -> Iterator[tuple]:
-    if isinstance(part, HashList):
-        for name in part.hashes:
-            if (body := fetch(options, name)) is not None:
-                yield options.get("chain_id", "1"), None, body
-        return
-    for h in range(part.start, part.end + 1):
-        if (body := fetch(options, h)) is not None:
-            yield options.get("chain_id", "1"), h, body
+    named = isinstance(part, HashList)
+    missing, chain = options.get("missing", "skip" if named else "row"), options.get("chain_id", "1")
+    for what in part.hashes if named else range(part.start, part.end + 1):
+        body = fetch(options, what)
+        if body is None and missing == "fail":
+            raise LookupError(f"chain {chain}: nothing at {what}")
+        if body is not None or missing == "row":
+            yield chain, None if named else what, body, *([what] if named and missing == "row" else [])
 
 
 class BlockReader(DataSourceReader):
@@ -60,7 +65,10 @@ class BlockReader(DataSourceReader):
         if "hashes" in o:
             names, n = [h.strip() for h in o["hashes"].split(",") if h.strip()], int(o.get("batch", 100))
             return [HashList(names[k : k + n]) for k in range(0, len(names), n)]
-        end = int(o["end"]) if "end" in o else int(fetch(o, "head"))
+        end = o.get("end") or fetch(o, "head")
+        if end is None:
+            raise LookupError("no head there and no option end")
+        end = int(end)
         return ranges(int(o.get("start", 0)), end, int(o.get("batch", 100)))
 
     def read(self, partition: HeightRange) -> Iterator[tuple]:
@@ -79,7 +87,8 @@ class BlockStreamReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         o = self.options
-        final = max(int(fetch(o, "head")) - int(o.get("finality_blocks", 0)), -1)
+        head = fetch(o, "head")
+        final = max(int(head) - int(o.get("finality_blocks", 0)), -1) if head else -1
         if self.at is None:
             self.at = self.initialOffset()["height"]
         most = int(o.get("maxBlocksPerTrigger", 0))
@@ -102,7 +111,7 @@ class BlockRangeSource(DataSource):
         return "block_range"
 
     def schema(self) -> str:
-        return SCHEMA
+        return SCHEMA + ", name string" * ("hashes" in self.options and self.options.get("missing") == "row")
 
     def reader(self, schema) -> BlockReader:
         return BlockReader(self.options)

@@ -39,13 +39,13 @@ def ingest(raw: DataFrame, write: Writer, checkpoint: str, every: str | None = N
 
 
 class StatusProcessor(StatefulProcessor):
-    """Status of each key under a rule table; final statuses are kept until the time to live ends."""
+    """Status of each key under a rule table. A key's state goes ``ttl_seconds`` after its last update."""
 
-    def __init__(self, rules: dict[str, list[str]], start: str = "pending"):
-        self.rules, self.begin = rules, start
+    def __init__(self, rules: dict[str, list[str]], start: str = "pending", ttl_seconds: int | None = None):
+        self.rules, self.begin, self.ttl = rules, start, ttl_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("status", "status string, moves long, rejected long")
+        self.state = handle.getValueState("status", "status string, moves long, rejected long", *([self.ttl * 1000] if self.ttl else []))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now, moves, rejected = self.state.get() if self.state.exists() else (self.begin, 0, 0)
@@ -69,12 +69,13 @@ def legal_moves(rules: tuple = status.RULES) -> dict[str, list[str]]:
     return out
 
 
-def status_stream(updates: DataFrame, rules: tuple = status.RULES) -> DataFrame:
+def status_stream(updates: DataFrame, rules: tuple = status.RULES, ttl_seconds: int | None = 7 * 86_400) -> DataFrame:
     """(tx_key, status, moves, rejected) after each batch of updates (tx_key, ts, event_id, new_status), update mode.
 
-    Needs the RocksDB state store.
+    State expires ``ttl_seconds`` of processing time after a key's last update (None: never). Needs the RocksDB state store.
     """
-    return updates.groupBy("tx_key").transformWithStateInPandas(StatusProcessor(legal_moves(rules)), "tx_key long, status string, moves long, rejected long", "Update", "None")
+    work = StatusProcessor(legal_moves(rules), ttl_seconds=ttl_seconds)
+    return updates.groupBy("tx_key").transformWithStateInPandas(work, "tx_key long, status string, moves long, rejected long", "Update", "ProcessingTime" if ttl_seconds else "None")
 
 
 def deduplicated(df: DataFrame, keys: list[str], ts: str, ttl: str) -> DataFrame:

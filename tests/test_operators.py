@@ -291,3 +291,67 @@ def test_expired_keys(spark):
     assert sorted(r.key for r in joins.not_processed(rows, done, F.lit(t), 86400).collect()) == ["b", "c"]
     assert [r.key for r in status.unexpired(done, F.lit(t), 86400).collect()] == ["a"]
     assert [r.key for r in status.cleared(done, rows.where("key = 'a'")).collect()] == ["b"]
+
+
+def test_wide_numbers(spark):
+    """All magnitudes, with digits at the edges of the bases that carries pass."""
+    rng = random.Random(9)
+    nums = [0, 1, 2**64 - 1, 2**64, 2**256 - 1, 10**77, *(10 ** (9 * k) - 1 for k in range(1, 9)), *(10 ** (18 * k) + 10**9 - 1 for k in range(1, 5)), *(rng.getrandbits(rng.randrange(1, 257)) for _ in range(300))]
+    df = spark.createDataFrame([(str(n), hex(n)) for n in nums], "want string, h string")
+    assert df.select("want", X.hex_to_text(F.col("h")).alias("got")).where("NOT want <=> got").count() == 0
+    total = df.agg(X.sum_words(X.hex_word(F.col("h"))).alias("t")).first()["t"]
+    assert total == str(sum(nums))
+
+
+def test_duration_text(spark):
+    df = spark.createDataFrame([(0.0125, "12ms"), (1.5, "1.50s"), (135.0, "2.25m"), (5400.0, "1.50h"), (None, None)], "s double, want string")
+    assert df.where(~F.col("want").eqNullSafe(X.duration_text(F.col("s")))).count() == 0
+
+
+def test_missing_heights(spark, tmp_path):
+    """What is not there becomes a bad row, or fails the range; a batch needs an end."""
+    for h in (10, 12):
+        (tmp_path / f"{h}.json").write_text('{"jsonrpc":"2.0","id":1,"result":{"number":"0x1"}}')
+    spark.dataSource.register(blocks.BlockRangeSource)
+    read = lambda **o: spark.read.format("block_range").options(path=str(tmp_path), start=10, **o).load()
+    good, bad = rpc.decode_envelopes(read(end=12))
+    assert [r.block_number for r in good.orderBy("block_number").collect()] == [10, 12] and [(r.block_number, r.reason) for r in bad.collect()] == [(11, "unreadable")]
+    with pytest.raises(Exception, match="nothing at 11"):
+        read(end=12, missing="fail").collect()
+    with pytest.raises(Exception, match="no head"):
+        read().collect()
+    _, bad = rpc.decode_envelopes(read(hashes="12, 0xmissing", missing="row"))
+    assert [r.name for r in bad.collect()] == ["0xmissing"]
+    assert blocks.BlockStreamReader({"path": str(tmp_path)}).latestOffset() == {"height": -1}
+
+
+def test_state_expires():
+    """A key's state has a time to live, and none if that is not wanted."""
+    class Handle:
+        def getValueState(self, *a):
+            self.asked = a
+
+    h = Handle()
+    streams.StatusProcessor({}, ttl_seconds=60).init(h)
+    assert h.asked[2] == 60_000
+    streams.StatusProcessor({}).init(h)
+    assert len(h.asked) == 2
+
+
+def test_ttl_over_many_repeats(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(4000), k) for k in range(3000)]
+    want, last = [], {}
+    for k, t, e in sorted(rows, key=lambda r: (r[1], r[2])):
+        if k not in last or t - last[k] > 10:
+            last[k] = t
+            want.append(e)
+    df = spark.createDataFrame(rows, "k string, s long, e long").withColumn("ts", F.timestamp_seconds("s"))
+    assert sorted(r.e for r in status.first_within_ttl(df, "k", "ts", 10, "e").collect()) == sorted(want)
+
+
+def test_address_lists_are_values(spark):
+    df = spark.createDataFrame([("it's", "0x1"), ("b", "it's")], "from_address string, to_address string")
+    from ledgerspark.operators import quality
+
+    assert quality._among(df, ["from_address", "to_address"], ["it's"]).count() == 2
