@@ -6,13 +6,16 @@ a turn or later line). Start, transition and emission counts come from labelled
 markers to their roles; Viterbi then finds the likeliest states. Recovered turns lose their markers and are rendered in
 one canonical form.
 
-Long conversations are decoded in blocks of ``BLOCK`` parts, exactly: each block gives the best score from every entry to
-every exit state, these small tables are chained for each conversation, and each block is decoded again between the
-states so found.
+Long conversations are decoded in blocks, exactly: each block gives the best score from every entry to every exit state,
+these small tables are chained for each conversation, and each block is decoded again between the states so found.
+Blocks are runs of ``BLOCK`` parts; runs of more than ``LINES`` lines are cut further, at parts and every ``LINES`` lines.
+Only rows for blocks, never lines, are brought together for a conversation, when fitting and when turns are numbered too;
+the text of one turn is one value.
 
 Null texts and roles: a null text has no lines, a null or unknown role is not learned from. Blank lines only separate.
-Null ids form one conversation; null part numbers come first; equal part numbers are ordered by a hash of their text, and their lines alternate if the texts are equal. Conversations
-without lines don't appear; an empty table gives no rows. Other columns are left out.
+Null ids form one conversation; null part numbers come first; equal part numbers are ordered by a hash of their text, and
+their lines alternate if the texts are equal. Conversations without lines don't appear; an empty table gives no rows. Other
+columns are left out.
 """
 
 from __future__ import annotations
@@ -30,8 +33,12 @@ from .common import stored
 ROLES = ("system", "user", "assistant")
 #: Marker words of each role, fixed values.
 MARKERS = (("system", "instruction manual"), ("user", "human", "prompter", "question", "q", "customer"), ("assistant", "ai", "bot", "answer", "a", "agent", "response"))
-#: Parts in a block, length classes, and how many observations a marker's prior counts for.
-BLOCK, SIZES, PRIOR = 64, 8, 50.0
+#: Parts in a block, lines in one, length classes, and how many observations a marker's prior counts for.
+BLOCK, LINES, SIZES, PRIOR = 64, 4096, 8, 50.0
+
+#: Columns that order the lines of a conversation, and the type of a block's number, which has the same order.
+ORDER = ("part", "copy", "line")
+BLOCK_TYPE = "struct<run:bigint,part:bigint,copy:bigint,piece:bigint>"
 
 
 def _marker(words: tuple[str, ...]) -> str:
@@ -48,10 +55,13 @@ def lines_of(parts: DataFrame) -> DataFrame:
     """
     more = ["role"] if "role" in parts.columns else []
     # A part number alone need not be unique; the text's hash makes lines of equal parts stay together.
-    base = parts.select(F.col("conv_id").cast("long"), F.col("part").cast("long"), F.xxhash64("text").alias("copy"), *more, F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("line", "text"), F.col("text").alias("_all"))
+    cut = F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")
+    whole = parts.select(F.col("conv_id").cast("long"), F.col("part").cast("long"), F.xxhash64("text").alias("copy"), *more, cut.alias("text"), F.concat(F.array(F.lit(None).cast("string")), cut).alias("before"))
+    # Each line travels with the one before it; the last entry has no line of its own.
+    base = whole.select("conv_id", "part", "copy", *more, F.posexplode(F.arrays_zip("text", "before")).alias("line", "l"))
+    base = base.select("conv_id", "part", "copy", *more, "line", "l.text", "l.before").where("text IS NOT NULL")
     blank = F.trim(F.translate("text", "\t\x0b\x0c\r", "    ")) == ""
-    before = F.get(F.split(F.regexp_replace("_all", "\r\n?", "\n"), "\n"), F.col("line") - 1)
-    after_blank = before.isNull() | (F.trim(F.translate(before, "\t\x0b\x0c\r", "    ")) == "")
+    after_blank = F.col("before").isNull() | (F.trim(F.translate("before", "\t\x0b\x0c\r", "    ")) == "")
     marker = F.lit(0)
     for k, words in enumerate(MARKERS):
         marker = F.when(F.col("text").rlike(_marker(words)), k + 1).otherwise(marker)
@@ -60,6 +70,17 @@ def lines_of(parts: DataFrame) -> DataFrame:
     return base.where(~blank).select("conv_id", F.coalesce("part", F.lit(-1)).alias("part"), "copy", "line", "text", code.alias("code"), *more)
 
 
+def blocked(lines: DataFrame) -> DataFrame:
+    """``lines`` with the number of their ``block``, dealt by conversation and block. Null conversations are one."""
+    run = F.floor(F.col("part") / BLOCK).alias("run")
+    sizes = lines.groupBy("conv_id", run).agg(F.count(F.lit(1)).alias("n"))
+    long = sizes.where(F.col("n") > LINES).select(F.col("conv_id").alias("c"), F.col("run").alias("r"))
+    zero = F.lit(0).cast("long")
+    cut = F.when(F.col("r").isNull(), F.struct(run, zero.alias("part"), zero.alias("copy"), zero.alias("piece"))).otherwise(F.struct(run, "part", "copy", F.floor(F.col("line") / LINES).alias("piece")))
+    met = lines.join(long, F.col("conv_id").eqNullSafe(F.col("c")) & (F.floor(F.col("part") / BLOCK) == F.col("r")), "left")
+    return met.withColumn("block", cut.cast(BLOCK_TYPE)).drop("c", "r")
+
+
 @dataclass
 class Model:
     start: np.ndarray  # log probabilities: state
@@ -72,13 +93,25 @@ def _smoothed(counts: np.ndarray, prior: float | np.ndarray = 1.0) -> np.ndarray
     return np.log(c / c.sum(axis=-1, keepdims=True))
 
 
+def moves_of(lines: DataFrame) -> DataFrame:
+    """(before, state, count): how often a state follows another in a conversation; ``before`` is null where one starts.
+
+    ``lines`` (conv_id, block, part, copy, line, state): pairs inside a block by a window over it, those between blocks
+    from their first and last states.
+    """
+    inside = lines.select("state", F.lag("state").over(Window.partitionBy("conv_id", "block").orderBy(*ORDER)).alias("before")).where("before IS NOT NULL")
+    ends = lines.groupBy("conv_id", "block").agg(F.min_by("state", F.struct(*ORDER)).alias("state"), F.max_by("state", F.struct(*ORDER)).alias("last"))
+    between = ends.select("state", F.lag("last").over(Window.partitionBy("conv_id").orderBy("block")).alias("before"))
+    return inside.unionByName(between).groupBy("before", "state").count()
+
+
 def fit(turns: DataFrame) -> Model:
     """Model from labelled ``turns`` (conv_id, part, text, role): counts over all of them, summed by Spark."""
     n = len(ROLES)
     role = sum((F.when(F.col("role") == r, k + 1).otherwise(0) for k, r in enumerate(ROLES)), F.lit(0)) - 1
     lines = lines_of(turns).withColumn("r", role).where("r >= 0")
     first = F.row_number().over(Window.partitionBy("conv_id", "part", "copy").orderBy("line")) == 1
-    lines = stored(lines.select("conv_id", "part", "copy", "line", "code", "r", (2 * F.col("r") + F.when(first, 0).otherwise(1)).alias("state")), "chat-lines")
+    lines = stored(blocked(lines.select("conv_id", *ORDER, "code", (2 * F.col("r") + F.when(first, 0).otherwise(1)).alias("state"))), "chat-lines")
     emit = np.zeros((2 * n, 2, n + 1, SIZES))
     for r in lines.groupBy("state", "code").count().collect():
         a, b = divmod(r["code"], (n + 1) * SIZES)
@@ -90,10 +123,8 @@ def fit(turns: DataFrame) -> Model:
     for k in range(n):
         prior[2 * k, k + 1] = PRIOR
     e = _smoothed(blank)[:, :, None, None] + _smoothed(marker, prior)[:, None, :, None] + _smoothed(size)[:, None, None, :]
-    order = Window.partitionBy("conv_id").orderBy("part", "copy", "line")
-    moves = lines.select("state", F.lag("state").over(order).alias("before")).groupBy("before", "state").count().collect()
     start, step = np.zeros(2 * n), np.zeros((2 * n, 2 * n))
-    for r in moves:
+    for r in moves_of(lines).collect():
         if r["before"] is None:
             start[r["state"]] += r["count"]
         else:
@@ -142,11 +173,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table
 
 
 def decode(lines: DataFrame, model: Model) -> DataFrame:
-    """``lines`` with ``role`` and ``begins`` (first line of a turn)."""
+    """``lines`` with ``role``, ``begins`` (first line of a turn), ``block`` and ``nth`` (turns begun in the block so far)."""
     n = 2 * len(ROLES)
-    rows = lines.select("conv_id", F.floor(F.col("part") / BLOCK).alias("block"), "part", "copy", "line", "code", "text")
-    rows = stored(rows.repartition("conv_id", "block"), "chat-blocks")
-    laid = lambda df: df.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "part", "copy", "line")
+    rows = stored(blocked(lines.select("conv_id", *ORDER, "code", "text")), "chat-blocks")
+    laid = lambda df: df.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", *ORDER)
     opening = rows.groupBy("conv_id").agg(F.min("block").alias("least"), F.max("block").alias("most"))
     long = opening.where("most > least").withColumnRenamed("conv_id", "c")
 
@@ -155,8 +185,8 @@ def decode(lines: DataFrame, model: Model) -> DataFrame:
             s = chained(model, t.column("code").to_numpy(), t.column("block")[0].as_py() == t.column("least")[0].as_py())
             yield pa.RecordBatch.from_arrays([t.column(0).slice(0, 1).combine_chunks(), t.column(1).slice(0, 1).combine_chunks(), pa.array([s.tobytes()])], names=["conv_id", "block", "score"])
 
-    parts = rows.join(long, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "block", "part", "copy", "line", "code", "least")
-    scored = laid(parts).mapInArrow(tables, "conv_id long, block long, score binary")
+    parts = rows.join(long, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "block", *ORDER, "code", "least")
+    scored = laid(parts).mapInArrow(tables, f"conv_id long, block {BLOCK_TYPE}, score binary")
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _blocks(batches, 1):
@@ -172,18 +202,20 @@ def decode(lines: DataFrame, model: Model) -> DataFrame:
             exits = exits[::-1]
             yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks(), t.column(1).combine_chunks(), pa.array([-1, *exits[:-1]]), pa.array(exits)], names=["conv_id", "block", "entry", "exit"])
 
-    met = scored.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(chain, "conv_id long, block long, entry long, exit long")
+    met = scored.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(chain, f"conv_id long, block {BLOCK_TYPE}, entry long, exit long")
     met = stored(met, "chat-chain").withColumnsRenamed({"conv_id": "c", "block": "b"})
-    full = rows.join(met, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")), "left").drop("c", "b")
+    full = rows.select("conv_id", "block", *ORDER, "code", "text").join(met, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")), "left").drop("c", "b")
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _blocks(batches, 2):
             at = [t.column(c)[0].as_py() for c in ("entry", "exit")]
             found = viterbi(model, t.column("code").to_numpy(), *(-1 if x is None else x for x in at))
-            for b in t.select(["conv_id", "part", "copy", "line", "text"]).append_column("role", pa.array([ROLES[s // 2] for s in found])).append_column("begins", pa.array([s % 2 == 0 for s in found])).combine_chunks().to_batches():
-                yield b
+            begins = np.array([s % 2 == 0 for s in found])
+            t = t.select(["conv_id", *ORDER, "text", "block"]).append_column("role", pa.array([ROLES[s // 2] for s in found]))
+            t = t.append_column("begins", pa.array(begins)).append_column("nth", pa.array(begins.cumsum(dtype=np.int64)))
+            yield from t.combine_chunks().to_batches()
 
-    return laid(full).mapInArrow(states, "conv_id long, part long, copy long, line int, text string, role string, begins boolean")
+    return laid(full).mapInArrow(states, f"conv_id long, part long, copy long, line int, text string, block {BLOCK_TYPE}, role string, begins boolean, nth long")
 
 
 def render(role: Column, text: Column) -> Column:
@@ -192,10 +224,13 @@ def render(role: Column, text: Column) -> Column:
 
 def turns_of(decoded: DataFrame) -> DataFrame:
     """(conv_id, turn, role, first_part, n_lines, text, rendered): recovered turns, numbered from 0."""
-    order = Window.partitionBy("conv_id").orderBy("part", "copy", "line")
-    number = F.sum(F.col("begins").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1
+    decoded = stored(decoded, "chat-states")
+    begun = decoded.groupBy("conv_id", "block").agg(F.max("nth").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = begun.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.coalesce(before, F.lit(0)).alias("before"))
+    lines = decoded.join(starts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))
     bare = F.when(F.col("begins"), F.regexp_replace("text", ANY_MARKER + r"\s*", "")).otherwise(F.col("text"))
-    lines = decoded.withColumn("turn", number).withColumn("text", bare)
+    lines = lines.withColumn("turn", F.col("before") + F.col("nth") - 1).withColumn("text", bare)
     turns = lines.groupBy("conv_id", "turn", "role").agg(F.min("part").alias("first_part"), F.count(F.lit(1)).alias("n_lines"), F.sort_array(F.collect_list(F.struct("part", "copy", "line", "text"))).alias("l"))
     text = F.array_join(F.transform("l", lambda x: x["text"]), "\n")
     return turns.select("conv_id", "turn", "role", "first_part", "n_lines", text.alias("text"), render(F.col("role"), text).alias("rendered"))

@@ -67,3 +67,52 @@ def test_odd_rows(spark, model):
     assert p.n_lines.sum() == 5 and set(p.conv_id.dropna()) == {1, 3}
     assert chat_format.format_transcripts(df.limit(0), model).count() == 0
     assert chat_format.format_transcripts(df, chat_format.fit(df.limit(0))).count() > 0
+
+
+@pytest.mark.parametrize(("block", "size"), [(64, 1), (64, 3), (2, 2), (64, 4096)])
+def test_cut_blocks_agree_with_whole(spark, model, monkeypatch, block, size):
+    """Runs of many lines are cut; states, turn numbers and counted moves are those of the whole conversation."""
+    rng = np.random.default_rng(2)
+    text = lambda: " ".join(["word"] * int(rng.integers(1, 60))) + "\nmore\n\nstill" * int(rng.integers(0, 4))
+    rows = [(c, t, text()) for c in (1, 2, None) for t in (None, *range(9), 5, 300)]
+    df = spark.createDataFrame(rows, "conv_id long, part long, text string")
+    monkeypatch.setattr(chat_format, "BLOCK", block)
+    monkeypatch.setattr(chat_format, "LINES", size)
+    lines = chat_format.lines_of(df)
+    whole = lines.toPandas().sort_values(["part", "copy", "line"])
+    decoded = chat_format.decode(lines, model)
+    got = decoded.toPandas().sort_values(["part", "copy", "line"])
+    turns = chat_format.turns_of(decoded).toPandas()
+    pairs = {}
+    for c in (1, 2, None):
+        a, b, t = (x[x.conv_id.isna()] if c is None else x[x.conv_id == c] for x in (got, whole, turns))
+        want = chat_format.viterbi(model, b.code.to_numpy(), -1, -1)
+        assert [2 * chat_format.ROLES.index(r) + (not f) for r, f in zip(a.role, a.begins, strict=True)] == want
+        begins = [s % 2 == 0 for s in want]
+        assert sorted(t.turn) == list(range(sum(begins)))
+        assert t.sort_values("turn").n_lines.tolist() == np.bincount(np.cumsum(begins) - 1).tolist()
+        for pair in zip([None, *b.code], b.code):
+            pairs[pair] = pairs.get(pair, 0) + 1
+    moved = chat_format.moves_of(chat_format.blocked(lines).withColumnRenamed("code", "state")).collect()
+    assert {(r["before"], r["state"]): r["count"] for r in moved} == pairs
+
+
+def test_fit_counts(spark):
+    """Start and step counts against a plain walk over the same lines."""
+    rows = [(c, t, "a b c\nd e" if t % 3 else "x", ("user", "assistant", "system", "odd", None)[(c + t) % 5]) for c in range(8) for t in range(11)]
+    m = chat_format.fit(spark.createDataFrame(rows, "conv_id long, part long, text string, role string"))
+    start, step = np.ones(6), np.ones((6, 6))
+    for c in range(8):
+        before = None
+        for t in range(11):
+            role = rows[c * 11 + t][3]
+            for k in range(rows[c * 11 + t][2].count("\n") + 1) if role in chat_format.ROLES else ():
+                state = 2 * chat_format.ROLES.index(role) + (k > 0)
+                if before is None:
+                    start[state] += 1
+                else:
+                    step[before, state] += 1
+                before = state
+    assert np.allclose(m.start[::2], np.log(start / start.sum())[::2])
+    seen = m.step > -1e8
+    assert np.allclose(m.step[seen], np.log(step / step.sum(axis=1, keepdims=True))[seen])
