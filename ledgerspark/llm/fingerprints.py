@@ -5,7 +5,9 @@ shingles. Sketches of parts merge into the sketch of their union, and estimate r
 of distinct shingles.
 
 Null and blank texts have an empty sketch; a text of fewer words than a shingle has one hash, of the whole sequence.
-Two empty sketches resemble each other fully, an empty and another one not at all.
+Two empty sketches resemble each other fully, an empty and another one not at all. Texts are taken whole, however long.
+Repeated rows are rows of their own, and the next document of one may be its copy; a lone document is its own next one; an
+empty table gives no rows. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -68,48 +70,57 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def _cells(ids: DataFrame, rows_per_cell: int) -> tuple[list[int], int]:
-    """Quantiles of doc_id (256 at most) and the number of equal parts to cut each range between them into."""
-    n = ids.where("doc_id IS NOT NULL").count()
-    cells = max(1, -(-n // rows_per_cell))
+def _cells(ids: DataFrame, rows_per_cell: int) -> tuple[list[int], int, int]:
+    """Quantiles of doc_id (256 at most), the number of equal parts of each range between them, and of cells for null ids."""
+    n, known = ids.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    cells = max(1, -(-known // rows_per_cell))
     coarse = min(256, cells)
     q = ids.agg(F.percentile_approx("doc_id", [i / coarse for i in range(coarse + 1)], 10_000).alias("q")).first()["q"]
-    return sorted(set(q or [0])), -(-cells // coarse)
+    return sorted(set(q or [0])), -(-cells // coarse), -(-(n - known) // rows_per_cell)
 
 
 def with_next(docs: DataFrame, rows_per_cell: int = 2000) -> DataFrame:
-    """Rows (cell, doc_id, text, extra): ``docs`` dealt into cells of neighbouring ids, largest cell number last.
+    """Rows (cell, doc_id, text, tie, extra): ``docs`` dealt into cells of neighbouring ids, largest cell number last.
 
     Each cell also gets the first row of the one below it (``extra``), so that in descending order of doc_id every own
     row has its successor in its own cell: one shuffle of the texts and no global sort. The lowest cell gets the first
-    row of all. Null ids come last; rows of equal id are ordered by text.
+    row of all. Null ids come last, in the order of a hash of their text (``tie``), by which they have cells of their
+    own; rows that tie are ordered by text.
     """
-    ids = docs.select("doc_id")
-    q, fine = _cells(ids, rows_per_cell)
+    q, fine, null_cells = _cells(docs.select("doc_id"), rows_per_cell)
     edges = F.array(*[F.lit(x).cast("long") for x in q])
     at = F.greatest(F.size(F.filter(edges, lambda e: e <= F.col("doc_id"))), F.lit(1))
     lo, hi = F.get(edges, at - 1), F.coalesce(F.get(edges, at), F.lit(q[-1]).cast("long") + 1)
     step = F.least(F.floor((F.col("doc_id") - lo).cast("double") * fine / (hi - lo).cast("double")), F.lit(fine - 1))
-    cell = F.coalesce((at * fine + F.greatest(step, F.lit(0))).cast("long"), F.lit(-1).cast("long"))
-    # One row per cell: sorted on one task, but it has a row for each 2,000 documents only.
-    tops = ids.select(cell.alias("cell"), "doc_id").groupBy("cell").agg(F.max("doc_id").alias("top"))
-    order = Window.orderBy("cell")
-    above = F.coalesce(F.lead("cell").over(order), F.min("cell").over(Window.partitionBy()))
-    tops = tops.select("cell", "top", above.alias("above"))
+    cell = (at * fine + F.greatest(step, F.lit(0))).cast("long")
+    tie = F.lit(0).cast("long")
+    if null_cells:
+        tie = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(tie)
+        share = (F.xxhash64("text").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+        null_cell = -1 - F.least(F.floor(share * null_cells), F.lit(null_cells - 1)).cast("long")
+        cell = F.when(F.col("doc_id").isNull(), null_cell).otherwise(cell)
+    placed = docs.select("doc_id", "text", tie.alias("tie"), cell.alias("cell"))
+    # The first place of each cell in descending order of doc_id; ~x falls as x rises.
+    place = F.struct(F.bitwise_not("doc_id").alias("d"), F.col("tie").alias("t"))
+    tops = placed.groupBy("cell").agg(F.min(place).alias("top")).withColumn("coarse", F.floor(F.col("cell") / max(fine, null_cells)))
+    # Cells are ordered inside coarse ranges, and these among each other: 260 rows at most, whatever the input.
+    lows = tops.groupBy("coarse").agg(F.min("cell").alias("low"))
+    beyond = F.coalesce(F.lead("low").over(Window.orderBy("coarse")), F.min("low").over(Window.partitionBy()))
+    tops = tops.join(F.broadcast(lows.select("coarse", beyond.alias("beyond"))), "coarse")
+    above = F.coalesce(F.lead("cell").over(Window.partitionBy("coarse").orderBy("cell")), F.col("beyond"))
     # The first row of a cell also goes to the next higher cell; that of the highest to the lowest.
-    first = docs.withColumn("cell", cell).join(tops, "cell", "left")
-    return first.select(
-        F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.array(F.struct(F.col("cell"), F.lit(0).alias("extra")), F.struct(F.col("above").alias("cell"), F.lit(1).alias("extra")))).otherwise(F.array(F.struct(F.col("cell"), F.lit(0).alias("extra"))))).alias("p"),
-        "doc_id",
-        "text",
-    ).select("p.cell", "p.extra", "doc_id", "text")
+    first = placed.join(tops.select("cell", "top", above.alias("above")), "cell", "left")
+    own = F.struct(F.col("cell"), F.lit(0).alias("extra"))
+    both = F.array(own, F.struct(F.col("above").alias("cell"), F.lit(1).alias("extra")))
+    spread = F.explode(F.when(place.eqNullSafe(F.col("top")), both).otherwise(F.array(own)))
+    return first.select(spread.alias("p"), "doc_id", "text", "tie").select("p.cell", "p.extra", "doc_id", "text", "tie")
 
 
 def fingerprint_pairs(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, sketch, edited_sketch, next_sketch) of each text, its edit and its successor."""
     text = F.coalesce("text", F.lit("")).alias("text")
     placed = with_next(docs.select(F.col("doc_id").cast("long"), text)).repartition("cell")
-    order = Window.partitionBy("cell").orderBy("extra", F.col("doc_id").desc_nulls_last(), "text")
+    order = Window.partitionBy("cell").orderBy("extra", F.col("doc_id").desc_nulls_last(), "tie", "text")
     own = placed.withColumn("sketch", sketch(F.col("text"), k, shingle))
     near = own.withColumns({"next_text": F.lead("text").over(order), "next_sketch": F.lead("sketch").over(order)}).where("extra = 0")
     n = F.length("text")

@@ -314,3 +314,21 @@ def test_fingerprint_odd_rows(odd, none):
     p = fingerprints.fingerprint_pairs(odd).toPandas()
     assert len(p) == len(ODD) and fingerprints.fingerprint_pairs(none).count() == 0
     assert len(p[p.doc_id == 5].sketch.iloc[0]) == 0 and len(p[p.doc_id == 3].sketch.iloc[0]) == 1
+
+
+@pytest.mark.parametrize("rows_per_cell", [1, 4, 1000])
+def test_next_document_of_null_ids(spark, rows_per_cell):
+    """Null ids come last, by a hash of their text, over cells of their own."""
+    rows = [(i, f"t{i}") for i in range(9)] + [(None, f"n{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    nulls = [r.text for r in df.where("doc_id IS NULL").orderBy(F.xxhash64("text")).collect()]
+    order = [f"t{i}" for i in range(8, -1, -1)] + nulls
+    placed = fingerprints.with_next(df, rows_per_cell).toPandas()
+    got = {}
+    for _, g in placed.groupby("cell"):
+        g = g.sort_values(["extra", "doc_id", "tie"], ascending=[True, False, True], na_position="last")
+        for a, b in itertools.pairwise(g.itertuples()):
+            if not a.extra:
+                got[a.text] = b.text
+    assert got == {t: order[(i + 1) % len(order)] for i, t in enumerate(order)}
+    assert placed[placed.doc_id.isna()].cell.nunique() > 1 or rows_per_cell == 1000
