@@ -664,14 +664,23 @@ def event_stream(s: SparkSession, d: str) -> DataFrame:
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_stream(s: SparkSession, df: DataFrame, mode: str, name: str) -> DataFrame:
-    """Rows that a stream over present data puts out, through files in the shared folder."""
-    out = fresh_path(s, name)
+def run_stream(s: SparkSession, df: DataFrame, mode: str, name: str, empty_batches: bool = True) -> DataFrame:
+    """Rows that a stream over present data puts out, through files in the shared folder.
+
+    Spark plans empty batches without end for state that expires by processing time; such a stream ends only without them.
+    """
+    out, option = fresh_path(s, name), "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = s.conf.get(option)
 
     def batch(rows: DataFrame, n: int) -> None:
         rows.write.mode("overwrite").parquet(f"{out}/rows/batch={n}")
 
-    df.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    w = df.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
+    s.conf.set(option, str(empty_batches).lower())
+    try:
+        w.start().awaitTermination()
+    finally:
+        s.conf.set(option, before)
     return s.read.schema(StructType([*df.schema.fields, StructField("batch", IntegerType())])).parquet(f"{out}/rows")
 
 
@@ -698,7 +707,7 @@ def tx_status_stream(s, d):
     s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     e = event_stream(s, d)
     new = F.when(F.col("event_type") == "click", "confirmed").when(F.col("event_type") == "purchase", "finalized").when(F.col("event_type") == "error", "reverted").otherwise("pending")
-    out = run_stream(s, streams.status_stream(e.select(F.col("user_id").alias("tx_key"), "ts", "event_id", new.alias("new_status"))), "update", "status")
+    out = run_stream(s, streams.status_stream(e.select(F.col("user_id").alias("tx_key"), "ts", "event_id", new.alias("new_status"))), "update", "status", empty_batches=False)
     last = tables.newest(out, ["tx_key"], [F.col("batch")])
     return last.select("tx_key", "status", "moves", "rejected")
 

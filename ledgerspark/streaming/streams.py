@@ -73,6 +73,7 @@ def status_stream(updates: DataFrame, rules: tuple = status.RULES, ttl_seconds:
     """(tx_key, status, moves, rejected) after each batch of updates (tx_key, ts, event_id, new_status), update mode.
 
     State expires ``ttl_seconds`` of processing time after a key's last update (None: never). Needs the RocksDB state store.
+    With expiry, a query with ``availableNow`` ends only if ``spark.sql.streaming.noDataMicroBatches.enabled`` is false.
     """
     work = StatusProcessor(legal_moves(rules), ttl_seconds=ttl_seconds)
     return updates.groupBy("tx_key").transformWithStateInPandas(work, "tx_key long, status string, moves long, rejected long", "Update", "ProcessingTime" if ttl_seconds else "None")
