@@ -64,7 +64,7 @@ def _dealt(counts: DataFrame, n_shards: int, seed: int) -> DataFrame:
     return listed.mapInArrow(run, "part long, ends array<long>")
 
 
-def shuffle_into_shards(df: DataFrame, key: str, n_shards: int = 16, seed: int = 17, rows_per_part: int = 20_000, tie: list[Column] | None = None) -> DataFrame:
+def shuffle_into_shards(df: DataFrame, key: str, n_shards: int = 16, seed: int = 17, rows_per_part: int = 2_000, tie: list[Column] | None = None) -> DataFrame:
     """``df`` with ``shard`` (0 to n_shards-1, sizes at most one apart) and ``slot`` (gapless from 0 in each shard).
 
     ``tie`` orders rows of equal key, so that reruns agree even when keys repeat.
