@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embed_dedup, fingerprints, langid, mixing, packing, sharding, simhash, suffix_dedup, toxicity
+from . import chat_format, collocations, embed_dedup, fingerprints, langid, mixing, packing, sharding, simhash, suffix_dedup, toxicity
 from .common import read_table
 
 
@@ -70,6 +70,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, trees).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_chat_format": op2_chat_format,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_embeddings": op9_embeddings,
     "op10_language": op10_language,
+    "op13_collocations": op13_collocations,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.mixing_sql()}
+ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.mixing_sql(), "op13_collocations": collocations.collocations_sql()}
