@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, collocations, embed_dedup, fingerprints, langid, mixing, packing, repair, sharding, simhash, suffix_dedup, toxicity
+from . import chat_format, collocations, embed_dedup, fingerprints, langid, mixing, packing, repair, sharding, simhash, suffix_dedup, templates, toxicity
 from .common import read_table
 
 
@@ -70,6 +70,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, trees).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damaged(read_table(spark, sf_dir, "conversations")))
 
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_embeddings": op9_embeddings,
     "op10_language": op10_language,
+    "op11_html_text": op11_html_text,
     "op12_repair": op12_repair,
     "op13_collocations": op13_collocations,
 }
