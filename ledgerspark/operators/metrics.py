@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+
 #: Upper bounds of histogram buckets, fixed values.
 DEPTHS = (1, 2, 4, 8, 16, 32, 64, 128, 256)
 SECONDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
@@ -108,33 +110,52 @@ def affected_hashes(hits: DataFrame) -> DataFrame:
     return hits.groupBy("event_id").agg(F.array_sort(F.collect_list("tx_hash")).alias("tx_hashes"))
 
 
-def running_mean(df: DataFrame, value: str, by: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("running_mean", F.avg(value).over(w))
+def running_mean(df: DataFrame, value: str, by: list[str], order: list[str], parts: int | None = None) -> DataFrame:
+    """Mean of ``value`` up to each row; blocks of rows carry their sums on (see :mod:`.scans`)."""
+    out = scans.running(scans.blocked(df, by, order, parts), by, order, _sum=("sum", F.col(value)), _n=("sum", F.col(value).isNotNull().cast("bigint")))
+    return out.withColumn("running_mean", F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n"))).drop("_sum", "_n", scans.BLOCK)
 
 
-def moving_rate(samples: DataFrame, rate: str = "rate", new: float = 0.3) -> DataFrame:
+def moving_rate(samples: DataFrame, rate: str = "rate", new: float = 0.3, parts: int | None = None) -> DataFrame:
     """Exponential moving rate of the samples (chain_id, at, rate) of each chain, from 0; one row a sample.
 
-    Each value is folded from the samples before it whose weight can still be seen in a double, a fixed number of them.
+    Each value is an affine map of the one before it. Runs of samples, so long that a weight falls to 1e-18 within one, are
+    summed in closed form, each window inside one run; a run then takes over the ends of the two runs before it, and what
+    lies farther back is below a double's last digit.
     """
-    reach = math.ceil(math.log(1e-18) / math.log(1 - new)) if 0 < new < 1 else 0
-    frame = Window.partitionBy("chain_id").orderBy("at").rowsBetween(-reach, Window.currentRow)
-    near = F.collect_list(F.coalesce(F.col(rate).cast("double"), F.lit(0.0))).over(frame)
-    ema = F.aggregate("near", F.lit(0.0), lambda acc, x: x * new + acc * (1 - new))
-    return samples.withColumn("near", near).select("chain_id", "at", ema.alias("ema"))
-
-
-def node_health(probes: DataFrame, fail: int = 3, succeed: int = 2) -> DataFrame:
+    keep = 1 - new
+    run = max(1, math.ceil(math.log(1e-18) / math.log(keep))) if 0 < new < 1 else 1
+    numbered = scans.running(scans.blocked(samples.select("chain_id", "at", F.col(rate).alias("_x")), ["chain_id"], ["at"], parts), ["chain_id"], ["at"], _n=("sum", F.lit(1).cast("bigint")))
+    runs = numbered.select("chain_id", "at", F.coalesce(F.col("_x").cast("double"), F.lit(0.0)).alias("_x"), F.floor((F.col("_n") - 1) / run).alias("_run"), ((F.col("_n") - 1) % run).alias("_i"))
+    power = lambda e: F.pow(F.lit(float(keep)), e)
+    # Inside a run the weights new * keep^(i - j), as keep^i times a sum of keep^-j, which stay below 1e18.
+    upto = Window.partitionBy("chain_id", "_run").orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = F.col("_x") if new >= 1 else F.lit(float(new)) * power(F.col("_i")) * F.sum(F.col("_x") * power(-F.col("_i"))).over(upto)
+    runs = runs.withColumn("_local", local)
+    ends = runs.groupBy("chain_id", "_run").agg(F.max_by("_local", "_i").alias("_end"))
+    back = lambda k, name: ends.select(F.col("chain_id").alias(f"_k{k}"), (F.col("_run") + k).alias(f"_r{k}"), F.col("_end").alias(name))
+    for k, name in ((1, "_near"), (2, "_far")):
+        e = back(k, name)
+        runs = runs.join(e, runs["chain_id"].eqNullSafe(e[f"_k{k}"]) & (runs["_run"] == e[f"_r{k}"]), "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    ema = F.col("_local") + power(F.col("_i") + 1) * (zero("_near") + power(F.lit(run)) * zero("_far"))
+    return runs.select("chain_id", "at", ema.alias("ema"))
+
+
+def node_health(probes: DataFrame, fail: int = 3, succeed: int = 2, parts: int | None = None) -> DataFrame:
     """Health after each probe of (chain_id, node): unhealthy from a failure streak of ``fail``, healthy again on a
-    success once ``succeed`` successes were seen in all. A node begins healthy."""
-    order = Window.partitionBy("chain_id", "node").orderBy("ts", "event_id")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    p = probes.withColumn("successes", F.sum(F.col("ok").cast("bigint")).over(upto))
-    streak = F.sum((~F.col("ok")).cast("bigint")).over(Window.partitionBy("chain_id", "node", "successes").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    p = p.withColumn("streak", F.when(F.col("ok"), 0).otherwise(streak))
-    mark = F.when(~F.col("ok") & (F.col("streak") >= fail), F.lit(False)).when(F.col("ok") & (F.col("successes") >= succeed), F.lit(True))
-    return p.withColumn("_mark", mark).withColumn("healthy", F.coalesce(F.last("_mark", ignorenulls=True).over(upto), F.lit(True))).drop("_mark")
+    success once ``succeed`` successes were seen in all. A node begins healthy.
+
+    Blocks of probes carry counts, the place of the last success and the last change of health (see :mod:`.scans`).
+    """
+    by, order = ["chain_id", "node"], ["ts", "event_id"]
+    ok = F.col("ok")
+    p = scans.running(scans.blocked(probes, by, order, parts), by, order, _n=("sum", F.lit(1).cast("bigint")), successes=("sum", ok.cast("bigint")))
+    p = scans.running(p, by, order, _ok=("max", F.when(ok, F.col("_n"))))
+    p = p.withColumn("streak", F.when(ok, F.lit(0).cast("bigint")).otherwise(F.col("_n") - F.coalesce("_ok", F.lit(0))))
+    mark = F.when(~ok & (F.col("streak") >= fail), F.lit(False)).when(ok & (F.col("successes") >= succeed), F.lit(True))
+    p = scans.running(p, by, order, healthy=("last", mark))
+    return p.withColumn("healthy", F.coalesce("healthy", F.lit(True))).drop("_n", "_ok", scans.BLOCK)
 
 
 def retained_hashes(blocks: DataFrame, depth: int) -> DataFrame:

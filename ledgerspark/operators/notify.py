@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import exprs as X
 
+from . import scans
+
 
 def envelopes(df: DataFrame, event_type: str, at: Column, order: list[str]) -> DataFrame:
     """(event_type, timestamp, body, order columns): JSON of ``event_type``, ``timestamp`` (unix seconds) and ``data``."""
@@ -17,20 +21,24 @@ def envelopes(df: DataFrame, event_type: str, at: Column, order: list[str]) -> D
     return df.select(F.lit(event_type).alias("event_type"), seconds.alias("timestamp"), body.alias("body"), *order)
 
 
-def batches(df: DataFrame, by: list[str], order: list[str], size: int = 100, at: str | None = None, seconds: int = 5) -> DataFrame:
+def batches(df: DataFrame, by: list[str], order: list[str], size: int = 100, at: str | None = None, seconds: int = 5, parts: int | None = None) -> DataFrame:
     """Adds ``epoch`` and ``batch``: batches of ``size`` in order; a reorganisation starts a new epoch, so that what came
     before it is flushed and it goes first. ``by`` are the streams that pack on their own.
 
     With a time column ``at``, what waits is also flushed every ``seconds``: ``tick`` numbers these periods, and batches
-    count within one.
+    count within one. Places are counted over blocks of rows (see :mod:`.scans`), so a stream may have any number of rows.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = df.withColumn("epoch", F.sum((F.col("event_type") == "reorg").cast("bigint")).over(upto))
+    reorg = (F.col("event_type") == "reorg").cast("bigint")
+    out = scans.running(scans.blocked(df, by, order, parts), by, order, _n=("sum", F.lit(1).cast("bigint")), epoch=("sum", reorg)).drop(scans.BLOCK)
+    out = out.withColumn("epoch", F.coalesce("epoch", F.lit(0).cast("bigint")))
     if at:
+        # A period bounds its rows, so its order is a window's.
         out = out.withColumn("tick", F.floor(F.unix_timestamp(at) / seconds))
-    n = F.row_number().over(Window.partitionBy(*by, "epoch", *(["tick"] if at else [])).orderBy(*order))
-    return out.withColumn("batch", F.floor((n - 1) / size).cast("bigint"))
+        place = F.row_number().over(Window.partitionBy(*by, "epoch", "tick").orderBy(*order))
+        return out.withColumn("batch", F.floor((place - 1) / size).cast("bigint")).drop("_n")
+    first = out.groupBy(*by, "epoch").agg(F.min("_n").alias("_first")).select(*(F.col(c).alias("_k_" + c) for c in [*by, "epoch"]), "_first")
+    met = out.join(first, reduce(and_, (out[c].eqNullSafe(first["_k_" + c]) for c in [*by, "epoch"])))
+    return met.select(*(out[c] for c in out.columns if c != "_n"), F.floor((F.col("_n") - F.col("_first")) / size).cast("bigint").alias("batch"))
 
 
 def packed(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:

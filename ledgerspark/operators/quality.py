@@ -49,13 +49,13 @@ def _among(df: DataFrame, columns: list[str], values: list[str]) -> DataFrame:
     """Rows with one of ``columns`` in ``values``."""
     if len(values) <= LISTED:
         return df.where(reduce(or_, (F.col(c).isin(*values) for c in columns)))
+    # The list is distinct, so no join multiplies rows, and each row is tested once, by flags.
     listed = df.sparkSession.createDataFrame([(v,) for v in set(values)], "v string")
-    hit = [F.col(c) == F.col("v") for c in columns]
-    if len(columns) == 1:
-        return df.join(listed, hit[0], "left_semi")
-    own = df.withColumn("_row", F.monotonically_increasing_id())
-    parts = [own.join(listed, h, "left_semi") for h in hit]
-    return parts[0].union(parts[1].join(parts[0].select("_row"), "_row", "left_anti").select(*parts[0].columns)).drop("_row")
+    out, flags = df, []
+    for k, c in enumerate(columns):
+        hit = listed.select(F.col("v").alias(f"_v{k}"), F.lit(True).alias(f"_hit{k}"))
+        out, flags = out.join(hit, F.col(c) == F.col(f"_v{k}"), "left"), [*flags, F.coalesce(F.col(f"_hit{k}"), F.lit(False))]
+    return out.where(reduce(or_, flags)).select(*df.columns)
 
 
 def filter_transactions(df: DataFrame, addresses: list[str] = (), contracts: list[str] = (), min_value: int | None = None, exclude_empty: bool = False) -> DataFrame:

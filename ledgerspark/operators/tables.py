@@ -66,10 +66,6 @@ def read_version(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{path}/v{version}").withColumn("chain_id", F.col("chain_id").cast("string"))
 
 
-def _hit(df: DataFrame, ranges: DataFrame, low: str, high: str) -> Column:
-    return (df["chain_id"] == ranges["chain_id"]) & (df["block_number"] > ranges[low]) & (df["block_number"] <= ranges[high])
-
-
 def merged_ranges(ranges: DataFrame) -> DataFrame:
     """(chain_id, low, high]: ranges (chain_id, fork_height, old_tip) with overlaps joined, so that a row meets one."""
     order = Window.partitionBy("chain_id").orderBy("fork_height", "old_tip")
@@ -78,16 +74,25 @@ def merged_ranges(ranges: DataFrame) -> DataFrame:
     return island.groupBy("chain_id", "_island").agg(F.min("fork_height").alias("low"), F.max("old_tip").alias("high")).drop("_island")
 
 
+def _in_buckets(ranges: DataFrame) -> DataFrame:
+    """(_c, _b, _low, _high): merged ``ranges`` once for each bucket of ``BUCKET`` heights that they touch."""
+    bucket = lambda h: F.floor(h / BUCKET)
+    return merged_ranges(ranges).where("low < high").select(F.col("chain_id").alias("_c"), F.explode(F.sequence(bucket(F.col("low") + 1), bucket(F.col("high")))).alias("_b"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+
+
+def _hit(df: DataFrame) -> Column:
+    """Rows meet only the ranges of their chain and bucket: as many join keys as buckets."""
+    return (df["chain_id"] == F.col("_c")) & (F.floor(df["block_number"] / BUCKET) == F.col("_b")) & (df["block_number"] > F.col("_low")) & (df["block_number"] <= F.col("_high"))
+
+
 def delete_ranges(df: DataFrame, ranges: DataFrame) -> DataFrame:
     """Rows outside (fork_height, old_tip] of every range of their chain."""
-    r = merged_ranges(ranges)
-    return df.join(r, _hit(df, r, "low", "high"), "left_anti")
+    return df.join(_in_buckets(ranges), _hit(df), "left_anti")
 
 
 def mark_reverted(txs: DataFrame, ranges: DataFrame) -> DataFrame:
     """Transactions with status ``reverted`` inside the ranges, and ``revert_reason`` = ``reorg`` there."""
-    r = merged_ranges(ranges).withColumn("_hit", F.lit(True))
-    out = txs.join(r, _hit(txs, r, "low", "high"), "left").select(*(txs[c] for c in txs.columns), "_hit")
+    out = txs.join(_in_buckets(ranges), _hit(txs), "left").select(*(txs[c] for c in txs.columns), F.col("_b").isNotNull().alias("_hit"))
     why = F.col("revert_reason") if "revert_reason" in txs.columns else F.when(F.col("status") == "reverted", "execution")
     return out.withColumn("revert_reason", F.when(F.col("_hit"), "reorg").otherwise(why)).withColumn("status", F.when(F.col("_hit"), "reverted").otherwise(F.col("status"))).drop("_hit")
 
