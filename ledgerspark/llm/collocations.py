@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, stored, trim
@@ -77,21 +77,19 @@ def _hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
-def _place(first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
-    mixed = first if second is None else (first << np.uint64(7)) ^ second
-    return (mixed & np.uint64(BITS - 1)).astype(np.int64)
+def _mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return ((first << np.uint64(7)) ^ (first >> np.uint64(57)) ^ second) & np.uint64((1 << 63) - 1)
 
 
-def _has(bitmap: np.ndarray, places: np.ndarray) -> np.ndarray:
+def _has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether ``bitmap``, whose size is a power of two, has the lowest bits of each hash."""
+    places = (hashes & np.uint64(8 * len(bitmap) - 1)).astype(np.int64)
     return (bitmap[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0
 
 
-def bitmap(spark: SparkSession, grams: DataFrame) -> np.ndarray:
-    """Bitmap of the hashes of ``grams`` (lang, w1[, w2]): ``BITS`` bits, built by Spark in pieces of 4 kB."""
-    hashed = F.xxhash64("lang", "w1")
-    if "w2" in grams.columns:
-        hashed = F.shiftleft(hashed, 7).bitwiseXOR(F.xxhash64("lang", "w2"))
-    at = hashed.bitwiseAND(F.lit(BITS - 1)) + 1  # the functions below count from 1
+def bitmap(grams: DataFrame) -> np.ndarray:
+    """Bitmap of the lowest bits of the column ``hash`` of ``grams``: ``BITS`` bits, built by Spark in pieces of 4 kB."""
+    at = F.col("hash").bitwiseAND(F.lit(BITS - 1)) + 1  # the functions below count from 1
     pieces = grams.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     out = np.zeros(BITS // 8, np.uint8)
     for r in pieces.collect():  # BITS / 8 bytes at most
@@ -116,26 +114,30 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def pair_counts(docs: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(lang, w1, w2, f) of neighbours inside a piece whose words may both be ``frequent`` (lang, w1)."""
-    held = docs.sparkSession.sparkContext.broadcast(bitmap(docs.sparkSession, frequent))
+    """(hash, f) of neighbours inside a piece whose words may both be ``frequent`` (lang, w1). Pairs are told apart by 63
+    bits of hash: they only say which windows may end, so pairs that share one cost nothing but length."""
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(frequent.select(F.xxhash64("lang", "w1").alias("hash"))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, ids, words in _numbered(batch):
-                good = _has(held.value, _place(_hashes(lang, words)))
+                hashes = _hashes(lang, words)
+                good = _has(held.value, hashes)
                 good[0] = False
                 a, b = ids[:-1], ids[1:]
                 keys, counts = np.unique((a * len(words) + b)[good[a] & good[b]], return_counts=True)
-                yield _rows(lang, words, [*np.divmod(keys, len(words))], counts)
+                first, second = np.divmod(keys, len(words))
+                mixed = _mixed(hashes[first], hashes[second]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(mixed), pa.array(counts, pa.int64())], ["hash", "count"])
         trim()
 
-    return docs.mapInArrow(count, "lang string, w1 string, w2 string, count bigint").groupBy("lang", "w1", "w2").agg(F.sum("count").alias("f"))
+    return docs.mapInArrow(count, "hash bigint, count bigint").groupBy("hash").agg(F.sum("count").alias("f"))
 
 
 def padded_windows(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(lang, w1, ..., w5, count): windows of two words and more, each ended by null before a pair that isn't in ``pairs``
-    (but for collisions of hashes), summed inside batches only."""
-    held = docs.sparkSession.sparkContext.broadcast(bitmap(docs.sparkSession, pairs))
+    (hash; but for collisions), summed inside batches only."""
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(pairs))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +146,7 @@ def padded_windows(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 a, b = ids[:-1], ids[1:]
                 inside = np.flatnonzero((a > 0) & (b > 0))
                 linked = np.zeros(len(ids) + LONGEST, bool)
-                linked[inside] = _has(held.value, _place(hashes[a[inside]], hashes[b[inside]]))
+                linked[inside] = _has(held.value, _mixed(hashes[a[inside]], hashes[b[inside]]))
                 starts = np.flatnonzero(linked)
                 leads, alive, key = [ids[starts]], np.ones(len(starts), bool), ids[starts]
                 padded = np.append(ids, np.zeros(LONGEST, np.int64))
@@ -184,8 +186,7 @@ def collocations(docs: DataFrame, min_count: int = 100, top: int = 2000) -> Data
 
     ``docs`` (lang, text). A phrase inside a longer one that is as frequent is left out.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     words = stored(word_counts(docs), "phrase-words")
     total = words.groupBy("lang").agg(F.sum("f").alias("n"))
