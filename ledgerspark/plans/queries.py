@@ -13,7 +13,7 @@ from ledgerspark.functions import exprs as X
 from ledgerspark.operators import joins, ledger, metrics, normalize, notify, progress, quality, reorg, status, tables
 from ledgerspark.shared import fresh_path
 from ledgerspark.sources import rpc
-from ledgerspark.streaming import streams
+from ledgerspark.streaming import state, streams
 
 from . import fixtures
 from .fixtures import view
@@ -364,11 +364,14 @@ def node_stats(s, d):
     return metrics.node_stats(whole_ms(s, d)).withColumn("last_check", F.unix_micros("last_check"))
 
 
-@query("""WITH a AS (SELECT *, sum(CAST(ok AS BIGINT)) OVER w AS successes FROM probe_log WINDOW w AS (PARTITION BY chain_id, node ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+HEALTH = """WITH a AS (SELECT *, sum(CAST(ok AS BIGINT)) OVER w AS successes FROM probe_log WINDOW w AS (PARTITION BY chain_id, node ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
 b AS (SELECT *, CASE WHEN ok THEN 0 ELSE count(*) FILTER (NOT ok) OVER (PARTITION BY chain_id, node, successes ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) END AS streak FROM a),
 c AS (SELECT *, CASE WHEN NOT ok AND streak >= 3 THEN false WHEN ok AND successes >= 2 THEN true END AS mark FROM b)
 SELECT chain_id, node, event_id, CAST(successes AS BIGINT) AS successes, CAST(streak AS BIGINT) AS streak,
- coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY chain_id, node ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), true) AS healthy FROM c""")
+ coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY chain_id, node ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), true) AS healthy FROM c"""
+
+
+@query(HEALTH)
 def node_health(s, d):
     return metrics.node_health(view(s, d, "probe_log")).select("chain_id", "node", "event_id", "successes", F.col("streak").cast("bigint").alias("streak"), "healthy")
 
@@ -460,8 +463,11 @@ def watermark_advance(s, d):
     return progress.advance(marks, view(s, d, "scan_results"), heads, mode="max")
 
 
-@query(f"""WITH m AS (SELECT h.chain_id, greatest(h.tip // 8, t.contiguous_height) AS hw_scanned, h.tip, h.finalized FROM heads h JOIN ({CONTIGUOUS}) t ON t.chain_id = h.chain_id)
-SELECT chain_id, hw_scanned, greatest(0, least(hw_scanned, tip)) AS hw_confirmed, greatest(0, least(hw_scanned, finalized)) AS hw_finalized, greatest(hw_scanned - 128, 0) AS hw_boundary FROM m""")
+ADVANCED = f"""WITH m AS (SELECT h.chain_id, greatest(h.tip // 8, t.contiguous_height) AS hw_scanned, h.tip, h.finalized FROM heads h JOIN ({CONTIGUOUS}) t ON t.chain_id = h.chain_id)
+SELECT chain_id, hw_scanned, greatest(0, least(hw_scanned, tip)) AS hw_confirmed, greatest(0, least(hw_scanned, finalized)) AS hw_finalized, greatest(hw_scanned - 128, 0) AS hw_boundary FROM m"""
+
+
+@query(ADVANCED)
 def watermark_advance_contiguous(s, d):
     """The default: a watermark stops before the first gap."""
     heads = view(s, d, "heads")
@@ -632,16 +638,26 @@ def status_force(s, d):
     return tables.update_status(tx, updates_of(tx)).select("chain_id", "tx_hash", "status")
 
 
-def folded(rules: tuple) -> str:
-    legal = " OR ".join(f"(f.status = '{a}' AND o.to_ = '{b}')" for a, b, *_ in rules)
-    action = "CASE " + " ".join(f"WHEN f.status = '{a}' AND o.to_ = '{b}' THEN '{n}'" for a, b, n, *_ in rules) + " ELSE f.last_action END"
-    return f"""WITH o AS (SELECT tx_key, new_status AS to_, row_number() OVER (PARTITION BY tx_key ORDER BY ts, event_id) AS n FROM status_updates),
+def folded(rules: tuple, condition: str = "true") -> str:
+    """``condition`` stands for that of each rule with a fourth part."""
+    holds = lambda c: f" AND {condition}" if c else ""
+    legal = " OR ".join(f"(f.status = '{a}' AND o.to_ = '{b}'{holds(c)})" for a, b, _, *c in rules)
+    action = "CASE " + " ".join(f"WHEN f.status = '{a}' AND o.to_ = '{b}'{holds(c)} THEN '{n}'" for a, b, n, *c in rules) + " ELSE f.last_action END"
+    return f"""WITH o AS (SELECT tx_key, event_id, new_status AS to_, row_number() OVER (PARTITION BY tx_key ORDER BY ts, event_id) AS n FROM status_updates),
 f AS (SELECT DISTINCT tx_key, CAST(0 AS BIGINT) AS n, 'pending' AS status, CAST(0 AS BIGINT) AS moves, CAST(0 AS BIGINT) AS rejected, CAST(NULL AS VARCHAR) AS last_action FROM o
  UNION ALL SELECT f.tx_key, o.n, CASE WHEN {legal} THEN o.to_ ELSE f.status END, f.moves + CASE WHEN {legal} THEN 1 ELSE 0 END, f.rejected + CASE WHEN {legal} THEN 0 ELSE 1 END, {action}
  FROM f JOIN o ON o.tx_key = f.tx_key AND o.n = f.n + 1)
 SELECT tx_key, arg_max(status, n) AS status, max(moves) AS moves, max(rejected) AS rejected, arg_max_null(last_action, n) AS last_action FROM f GROUP BY tx_key"""
 
 
+#: Rules of which one has a condition, marked here and made a column in ``guarded``.
+GUARDED = (("pending", "confirmed", "confirm", "condition"), *status.RULES[1:], ("finalized", "pending", "reopen"), ("reverted", "pending", "retry"))
+
+
+def guarded() -> tuple:
+    return tuple((a, b, n, *(F.col("event_id") % 3 != 0 for _ in c)) for a, b, n, *c in GUARDED)
+
+
 CUSTOM = (*status.RULES, ("reverted", "pending", "retry"), ("finalized", "pending", "reopen"))
 
 
@@ -667,7 +683,7 @@ def event_stream(s: SparkSession, d: str) -> DataFrame:
 def run_stream(s: SparkSession, df: DataFrame, mode: str, name: str, empty_batches: bool = True) -> DataFrame:
     """Rows that a stream over present data puts out, through files in the shared folder.
 
-    Spark plans empty batches without end for state that expires by processing time; such a stream ends only without them.
+    Spark plans empty batches without end for timers of the clock; such a stream ends only without them.
     """
     out, option = fresh_path(s, name), "spark.sql.streaming.noDataMicroBatches.enabled"
     before = s.conf.get(option)
@@ -678,38 +694,115 @@ def run_stream(s: SparkSession, df: DataFrame, mode: str, name: str, empty_batch
     w = df.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
     s.conf.set(option, str(empty_batches).lower())
     try:
-        w.start().awaitTermination()
+        with state.with_rocksdb(s):
+            w.start().awaitTermination()
     finally:
         s.conf.set(option, before)
     return s.read.schema(StructType([*df.schema.fields, StructField("batch", IntegerType())])).parquet(f"{out}/rows")
 
 
+#: How far rows of the shuffled stream are out of order, and how many files, that is batches, they come in.
+LATE, FILES = 6 * 3600, 4
+
+
+def shuffled_stream(s: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``df`` (with ``ts``, ``event_id`` and a key) as a stream of ``FILES`` batches, in an order that is up to ``LATE``
+    seconds off that of ``ts``. A last row, far later and with a negative event id, takes the watermark past all others."""
+    path = fresh_path(s, name)
+    order = F.unix_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(LATE * 1_000_000 - 1))
+    cuts = df.agg(F.percentile_approx(order, [k / FILES for k in range(1, FILES)], 1000)).first()[0]
+    part = sum(((order > c).cast("int") for c in cuts or []), F.lit(0))
+    for k in range(FILES):
+        df.where(part == k).coalesce(1).write.parquet(f"{path}/{k}")
+    end = df.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL").withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {4 * LATE} SECONDS"))
+    end.select(*((F.lit(-1).cast(f.dataType) if f.name == "event_id" else F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType)).alias(f.name) for f in df.schema.fields)).coalesce(1).write.parquet(f"{path}/{FILES}")
+    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
 TTL = 6 * 3600
 
 
-@query(f"""WITH o AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ORACLE_OF_TTL = f"""WITH o AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 f AS (SELECT user_id, event_id, n, t AS last, true AS kept FROM o WHERE n = 1
  UNION ALL SELECT o.user_id, o.event_id, o.n, CASE WHEN o.t - f.last > {TTL}000000 THEN o.t ELSE f.last END, o.t - f.last > {TTL}000000 FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1)
-SELECT user_id, event_id FROM f WHERE kept""")
+SELECT user_id, event_id FROM f WHERE kept"""
+
+
+@query(ORACLE_OF_TTL)
 def dedup_ttl(s, d):
     """A kept event opens a period of six hours, in which its user's events are repeats."""
     return status.first_within_ttl(view(s, d, "events"), "user_id", "ts", TTL, "event_id").select("user_id", "event_id")
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events")
+@query(ORACLE_OF_TTL)
 def dedup_ttl_stream(s, d):
-    df = streams.deduplicated(event_stream(s, d), ["user_id", "event_type"], "ts", "3650 days")
-    return run_stream(s, df.select("user_id", "event_type"), "append", "dedup").drop("batch")
+    """The same over batches that are out of order; a user whose period is over is kept again."""
+    e = shuffled_stream(s, view(s, d, "events").select("user_id", "ts", "event_id"), "events")
+    out = run_stream(s, state.first_stream(e, "user_id", "ts", "event_id", TTL, f"{LATE} seconds"), "append", "dedup")
+    return out.where("event_id >= 0").select(F.col("key").alias("user_id"), "event_id")
 
 
-@query(folded(status.RULES).replace(", arg_max_null(last_action, n) AS last_action", ""))
+def statuses(s: SparkSession, d: str, name: str, rules: tuple) -> DataFrame:
+    """Each key's last row of the status stream."""
+    u = shuffled_stream(s, view(s, d, "status_updates"), name)
+    out = run_stream(s, state.status_stream(u, f"{LATE} seconds", rules), "append", name).where("event_id >= 0")
+    return tables.newest(out, ["tx_key"], [F.col("at"), F.col("event_id")]).select("tx_key", "status", "moves", "rejected", "last_action")
+
+
+@query(folded(status.RULES))
 def tx_status_stream(s, d):
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    e = event_stream(s, d)
-    new = F.when(F.col("event_type") == "click", "confirmed").when(F.col("event_type") == "purchase", "finalized").when(F.col("event_type") == "error", "reverted").otherwise("pending")
-    out = run_stream(s, streams.status_stream(e.select(F.col("user_id").alias("tx_key"), "ts", "event_id", new.alias("new_status"))), "update", "status", empty_batches=False)
-    last = tables.newest(out, ["tx_key"], [F.col("batch")])
-    return last.select("tx_key", "status", "moves", "rejected")
+    return statuses(s, d, "status", status.RULES)
+
+
+@query(folded(GUARDED, "o.event_id % 3 <> 0"))
+def tx_status_guarded(s, d):
+    """Rules with a condition on the update: it may only be confirmed by events of some ids."""
+    return status.fold(view(s, d, "status_updates"), rules=guarded())
+
+
+@query(folded(GUARDED, "o.event_id % 3 <> 0"))
+def tx_status_guarded_stream(s, d):
+    return statuses(s, d, "guarded", guarded())
+
+
+@query(HEALTH)
+def node_health_stream(s, d):
+    """The same as node_health, from probes that come in batches out of order."""
+    p = shuffled_stream(s, view(s, d, "probe_log").select("chain_id", "node", "ts", "event_id", "ok"), "probes")
+    out = run_stream(s, state.health_stream(p, f"{LATE} seconds"), "append", "health").where("event_id >= 0")
+    return out.select("chain_id", "node", "event_id", "successes", "streak", "healthy")
+
+
+@query(ADVANCED)
+def watermark_stream(s, d):
+    """Ranges arrive out of order in several batches; after the last one the watermarks are those of the batch job."""
+    heads = view(s, d, "heads").select("chain_id", "tip", "finalized", F.floor(F.col("tip") / 8).alias("hw_scanned"))
+    r = view(s, d, "scan_results").join(heads, "chain_id").select("chain_id", "start_block", "end_block", "success", "tip", "finalized", "hw_scanned")
+    path = fresh_path(s, "scans")
+    for k in range(FILES):
+        r.where(F.pmod(F.xxhash64("start_block"), F.lit(FILES)) == k).coalesce(1).write.parquet(f"{path}/{k}")
+    stream = s.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    out = run_stream(s, state.watermark_stream(stream), "update", "heights")
+    return tables.newest(out, ["chain_id"], [F.col("batch")]).select("chain_id", "hw_scanned", "hw_confirmed", "hw_finalized", "hw_boundary")
+
+
+@query("""WITH m AS (SELECT chain_id, src_key AS pos, 0 AS late, 'transaction' AS event_type FROM tx UNION ALL SELECT chain_id, event_id, 1, 'reorg' FROM reorg_events),
+e AS (SELECT *, count(*) FILTER (event_type = 'reorg') OVER (PARTITION BY chain_id ORDER BY pos, late ROWS UNBOUNDED PRECEDING) AS epoch FROM m),
+b AS (SELECT chain_id, epoch, event_type, (row_number() OVER (PARTITION BY chain_id, epoch, event_type ORDER BY pos, late) - 1) // 100 AS batch FROM e)
+SELECT chain_id, CAST(row_number() OVER (PARTITION BY chain_id ORDER BY epoch, event_type, batch) - 1 AS BIGINT) AS number, CAST(n AS INTEGER) AS batch_size
+FROM (SELECT chain_id, epoch, event_type, batch, count(*) AS n FROM b GROUP BY ALL) x
+WHERE n = 100 OR event_type = 'reorg' OR epoch < (SELECT count(*) FROM reorg_events r WHERE r.chain_id = x.chain_id)""")
+def notify_stream(s, d):
+    """Messages that are full or stand before a reorganisation; what waits at the end would go out by the clock."""
+    t = view(s, d, "tx").select(F.col("chain_id").alias("stream"), (F.col("src_key") * 2).alias("place"), F.lit("transaction").alias("event_type"), F.to_json(F.struct("tx_hash")).alias("body"))
+    r = view(s, d, "reorg_events").select(F.col("chain_id").alias("stream"), (F.col("event_id") * 2 + 1).alias("place"), F.lit("reorg").alias("event_type"), F.to_json(F.struct("depth")).alias("body"))
+    both, path = t.unionByName(r), fresh_path(s, "events")
+    cuts = both.agg(F.percentile_approx("place", [k / FILES for k in range(1, FILES)], 1000)).first()[0]
+    for k in range(FILES):
+        both.where(sum(((F.col("place") > c).cast("int") for c in cuts or []), F.lit(0)) == k).coalesce(1).write.parquet(f"{path}/{k}")
+    stream = s.readStream.schema(both.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    out = run_stream(s, state.notification_stream(stream, seconds=3600), "append", "notices", empty_batches=False)
+    return out.select(F.col("stream").alias("chain_id"), "number", "batch_size")
 
 
 @query("SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")

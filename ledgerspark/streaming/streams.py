@@ -1,13 +1,13 @@
-"""Structured Streaming jobs: ingest, status machine, de-duplication, windowed counters, reorganisations, dead letters."""
+"""Structured Streaming jobs: ingest, de-duplication, windowed counters, reorganisations, dead letters. Keyed state is in
+:mod:`.state`."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter
 
 from ledgerspark.operators import normalize, quality, status, tables
 from ledgerspark.sources import rpc
@@ -24,6 +24,12 @@ def ingest(raw: DataFrame, write: Writer, checkpoint: str, every: str | None = N
 
     def batch(df: DataFrame, n: int) -> None:
         df.persist()
+        try:
+            tables_of(df, n)
+        finally:
+            df.unpersist()
+
+    def tables_of(df: DataFrame, n: int) -> None:
         good, bad = rpc.decode_envelopes(df)
         blocks, q = normalize.evm_blocks(good)
         txs, r = normalize.evm_transactions(normalize.block_transactions(blocks))
@@ -32,53 +38,21 @@ def ingest(raw: DataFrame, write: Writer, checkpoint: str, every: str | None = N
         write("transactions", txs, n)
         letters = bad.select("chain_id", "raw", F.array("reason").alias("reasons")).unionByName(q).unionByName(r)
         write("quarantine", letters.unionByName(s.select("chain_id", F.col("tx_hash").alias("raw"), "reasons")), n)
-        df.unpersist()
 
     w = raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return w.trigger(processingTime=every) if every else w.trigger(availableNow=True)
 
 
-class StatusProcessor(StatefulProcessor):
-    """Status of each key under a rule table. A key's state goes ``ttl_seconds`` after its last update."""
-
-    def __init__(self, rules: dict[str, list[str]], start: str = "pending", ttl_seconds: int | None = None):
-        self.rules, self.begin, self.ttl = rules, start, ttl_seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("status", "status string, moves long, rejected long", *([self.ttl * 1000] if self.ttl else []))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now, moves, rejected = self.state.get() if self.state.exists() else (self.begin, 0, 0)
-        updates = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        for to in updates["new_status"]:
-            if to in self.rules.get(now, ()):
-                now, moves = to, moves + 1
-            else:
-                rejected += 1
-        self.state.update((now, moves, rejected))
-        yield pd.DataFrame({"tx_key": [key[0]], "status": [now], "moves": [moves], "rejected": [rejected]})
-
-    def close(self) -> None:
-        pass
-
-
 def legal_moves(rules: tuple = status.RULES) -> dict[str, list[str]]:
+    """(from: to) moves of rules without conditions; with one, see :func:`status.actions`, which evaluates it on rows."""
     out: dict[str, list[str]] = {}
-    for a, b, *_ in rules:
+    for a, b, _, *condition in rules:
+        if condition:
+            raise ValueError(f"the move from {a} to {b} has a condition")
         out.setdefault(a, []).append(b)
     return out
 
 
-def status_stream(updates: DataFrame, rules: tuple = status.RULES, ttl_seconds: int | None = 7 * 86_400) -> DataFrame:
-    """(tx_key, status, moves, rejected) after each batch of updates (tx_key, ts, event_id, new_status), update mode.
-
-    State expires ``ttl_seconds`` of processing time after a key's last update (None: never). Needs the RocksDB state store.
-    With expiry, a query with ``availableNow`` ends only if ``spark.sql.streaming.noDataMicroBatches.enabled`` is false.
-    """
-    work = StatusProcessor(legal_moves(rules), ttl_seconds=ttl_seconds)
-    return updates.groupBy("tx_key").transformWithStateInPandas(work, "tx_key long, status string, moves long, rejected long", "Update", "ProcessingTime" if ttl_seconds else "None")
-
-
 def deduplicated(df: DataFrame, keys: list[str], ts: str, ttl: str) -> DataFrame:
     """First row of each key within ``ttl`` of event time."""
     return df.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(keys)
