@@ -81,14 +81,22 @@ def evm_receipts(df: DataFrame, raw: str = "result") -> tuple[DataFrame, DataFra
     return split(out.withColumn("reasons", reasons(*((c, F.col(c).isNull()) for c in ("tx_hash", "block_number", "block_hash", "tx_index", "gas_used", "status")))), raw)
 
 
-def evm_logs(df: DataFrame, raw: str = "result") -> tuple[DataFrame, DataFrame]:
-    """(chain_id, raw) -> logs; topics that are no texts are dropped."""
+def evm_logs(df: DataFrame, raw: str = "result", lenient: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(chain_id, raw) -> logs; topics that are no texts are dropped.
+
+    ``lenient`` keeps every log: what is missing or unreadable is zero, empty or no topics.
+    """
     g = once(df, F.from_json(raw, schemas.EVM_LOG), "_l")
+    height = lambda name: _or(X.block_number(F.col(f"_l.{name}")), 0, lenient)
+    word = lambda name: _or(F.col(f"_l.{name}"), "", lenient)
+    topics = F.filter("_l.topics", lambda x: x.isNotNull())
+    topics = F.coalesce(topics, F.array().cast("array<string>")) if lenient else topics
     out = g.select(
-        "chain_id", F.col("_l.transactionHash").alias("tx_hash"), X.block_number(F.col("_l.blockNumber")).alias("block_number"), X.block_number(F.col("_l.transactionIndex")).alias("tx_index"),
-        X.block_number(F.col("_l.logIndex")).alias("log_index"), F.col("_l.address").alias("address"), F.filter("_l.topics", lambda x: x.isNotNull()).alias("topics"), F.coalesce("_l.data", F.lit("")).alias("data"), raw,
+        "chain_id", word("transactionHash").alias("tx_hash"), height("blockNumber").alias("block_number"), height("transactionIndex").alias("tx_index"),
+        height("logIndex").alias("log_index"), word("address").alias("address"), topics.alias("topics"), F.coalesce("_l.data", F.lit("")).alias("data"), raw,
     )
-    return split(out.withColumn("reasons", reasons(*((c, F.col(c).isNull()) for c in ("tx_hash", "block_number", "tx_index", "log_index", "address", "topics")))), raw)
+    bad = [] if lenient else [(c, F.col(c).isNull()) for c in ("tx_hash", "block_number", "tx_index", "log_index", "address", "topics")]
+    return split(out.withColumn("reasons", reasons(*bad) if bad else F.array().cast("array<string>")), raw)
 
 
 def receipt_logs(receipts: DataFrame) -> DataFrame:

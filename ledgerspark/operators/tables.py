@@ -50,6 +50,25 @@ def write_touched(new: DataFrame, path: str) -> None:
     with_bucket(new).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chain_id", "height_bucket").parquet(path)
 
 
+def write_bulk(df: DataFrame, path: str, keys: list[str], batch: int, shares: int = 16) -> str:
+    """Writes ``df`` grouped by chain, each row with ``record_id``, the hash of its ``keys``; returns the directory.
+
+    Ids are deterministic, so what is written twice is found by them (:func:`read_bulk`), and a batch that is written again
+    replaces itself. A chain is dealt to ``shares`` tasks by id, so that a large one is not one task and one file.
+    """
+    target = f"{path}/batch={batch}"
+    rows = df.withColumn("record_id", F.sha2(F.concat_ws("-", *(F.col(k).cast("string") for k in keys)), 256))
+    cut = rows.repartition("chain_id", F.pmod(F.xxhash64("record_id"), F.lit(shares)))
+    cut.sortWithinPartitions("chain_id", "record_id").write.mode("overwrite").partitionBy("chain_id").parquet(target)
+    return target
+
+
+def read_bulk(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each id, that of the last batch."""
+    rows = spark.read.parquet(path).withColumn("chain_id", F.col("chain_id").cast("string"))
+    return newest(rows, ["record_id"], [F.col("batch")]).drop("batch")
+
+
 def recorded_reorgs(old: DataFrame, new: DataFrame) -> DataFrame:
     """One event for each chain and second of detection; of several the last recorded stays, of one batch the greatest
     height."""

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ledgerspark.functions import exprs as X
-from ledgerspark.operators import joins, ledger, metrics, normalize, notify, progress, quality, reorg, status, tables
+from ledgerspark.operators import joins, ledger, metrics, normalize, notify, progress, quality, reorg, status, tables, versions
 from ledgerspark.shared import fresh_path
-from ledgerspark.sources import rpc
+from ledgerspark.sources import messages, rpc
 from ledgerspark.streaming import state, streams
 
 from . import fixtures
@@ -265,9 +265,12 @@ def state_of(s: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame]:
     return {"transactions": txs, "blocks": blocks, "logs": logs, "ledger": ledger.entries(paid, logs), "watermarks": marks, "reorg_events": none}, events
 
 
-@query(f"""SELECT t.chain_id, t.tx_hash, CASE WHEN f.chain_id IS NOT NULL THEN 'reverted' ELSE t.status END AS status,
+REVERTED = f"""SELECT t.chain_id, t.tx_hash, CASE WHEN f.chain_id IS NOT NULL THEN 'reverted' ELSE t.status END AS status,
  CASE WHEN f.chain_id IS NOT NULL THEN 'reorg' WHEN t.status = 'reverted' THEN 'execution' END AS revert_reason
-FROM tx t LEFT JOIN ({FORKS}) f ON f.chain_id = t.chain_id AND t.block_number > f.fork_height AND t.block_number <= f.old_tip""")
+FROM tx t LEFT JOIN ({FORKS}) f ON f.chain_id = t.chain_id AND t.block_number > f.fork_height AND t.block_number <= f.old_tip"""
+
+
+@query(REVERTED)
 def reorg_apply_tx(s, d):
     return reorg.apply(*state_of(s, d))["transactions"].select("chain_id", "tx_hash", "status", "revert_reason")
 
@@ -277,7 +280,10 @@ def reorg_apply_blocks(s, d):
     return reorg.apply(*state_of(s, d))["blocks"].select("chain_id", "block_number", "block_hash")
 
 
-@query(f"SELECT l.chain_id, l.tx_hash, l.log_index FROM logs l LEFT JOIN ({FORKS}) f ON f.chain_id = l.chain_id WHERE f.chain_id IS NULL OR l.block_number <= f.fork_height")
+LOGS_LEFT = f"SELECT l.chain_id, l.tx_hash, l.log_index FROM logs l LEFT JOIN ({FORKS}) f ON f.chain_id = l.chain_id WHERE f.chain_id IS NULL OR l.block_number <= f.fork_height"
+
+
+@query(LOGS_LEFT)
 def reorg_apply_logs(s, d):
     return reorg.apply(*state_of(s, d))["logs"].select("chain_id", "tx_hash", "log_index")
 
@@ -921,3 +927,148 @@ def chain_union(s, d):
     t = blocks(tx.where("chain_id = '137'"), tron, "tron", F.lit("tron"), F.concat(F.lit('"blockNumber":'), F.col("block_number").cast("string"), F.lit(",")), q("blockID", F.lit("b")))
     _, txs, _ = normalize.normalize_all(e.unionByName(t))
     return txs.select("chain_id", "tx_hash", "block_number", "from_address", text(F.col("value_wei"), "value_wei"), "status")
+
+
+# Tables that change together, bulk writes and topics
+
+
+def store_of(s: SparkSession, d: str, tables_of: dict[str, DataFrame], bucket: int = 100) -> versions.Store:
+    """A fresh store with one manifest, which has ``tables_of``."""
+    store = versions.Store(s, fresh_path(s, "store"), bucket)
+    at = store.snapshot()
+    store.publish([store.fresh(name, df, keyed="block_number" in df.columns) for name, df in tables_of.items()], at)
+    return store
+
+
+@query("SELECT chain_id, tx_hash, CASE WHEN block_number <= 100 AND src_key % 3 = 0 THEN 'merged' ELSE status END AS status FROM tx")
+def store_upsert(s, d):
+    """New versions of some transactions of the first heights are merged into a stored table."""
+    tx = view(s, d, "tx").withColumn("version", F.lit(1))
+    store = store_of(s, d, {"transactions": tx})
+    new = tx.where("block_number <= 100 AND src_key % 3 = 0").withColumns({"status": F.lit("merged"), "version": F.lit(2)})
+    at = store.once("merge", 0, lambda at: [store.merged("transactions", new, tables.KEYS["transactions"], at=at)])
+    return at.read("transactions").select("chain_id", "tx_hash", "status")
+
+
+@query(REVERTED)
+def store_reorg_tx(s, d):
+    return reorg_store(s, d).read("transactions").select("chain_id", "tx_hash", "status", "revert_reason")
+
+
+@query(LOGS_LEFT)
+def store_reorg_logs(s, d):
+    return reorg_store(s, d).read("logs").select("chain_id", "tx_hash", "log_index")
+
+
+def reorg_store(s: SparkSession, d: str) -> versions.Snapshot:
+    """Tables of a store after the detected reorganisations; the second commit of the batch changes nothing."""
+    state_now, events = state_of(s, d)
+    why = F.when(F.col("status") == "reverted", "execution")
+    state_now["transactions"] = state_now["transactions"].withColumn("revert_reason", why)
+    store = store_of(s, d, state_now)
+    reorg.commit(store, events)
+    return reorg.commit(store, events)
+
+
+@query("SELECT chain_id, {H:concat(chain_id, '-', tx_hash, '-', CAST(log_index AS STRING))} AS record_id, amount FROM logs")
+def bulk_write(s, d):
+    """Logs in two batches that overlap, the second one written twice; one row for each id is read back."""
+    logs, path = view(s, d, "logs").select("chain_id", "tx_hash", "log_index", "amount"), fresh_path(s, "bulk")
+    tables.write_bulk(logs.where("amount % 2 = 0"), path, tables.KEYS["logs"], 0)
+    for _ in range(2):
+        tables.write_bulk(logs.where("amount % 2 <> 0 OR amount % 4 = 0"), path, tables.KEYS["logs"], 1)
+    return tables.read_bulk(s, path).select("chain_id", "record_id", "amount")
+
+
+def topic_rows(s: SparkSession, d: str) -> DataFrame:
+    """Messages of normalized transactions as a topic's files; some can't be read, some lack their hash."""
+    tx = view(s, d, "tx").select("chain_id", "tx_hash", "block_number", "tx_index", "from_address", "to_address", text(F.col("value_wei"), "value_wei"), "gas_price", "status", "src_key")
+    rows = notify.message_rows(tx.withColumn("tx_hash", F.when(F.col("src_key") % 40 != 1, F.col("tx_hash"))), "normalized-transactions", notify.transaction_key())
+    value = F.when(F.get_json_object("value", "$.src_key").cast("bigint") % 50 == 7, F.substring("value", 1, 20)).otherwise(F.col("value"))
+    return rows.select(F.encode("key", "UTF-8").alias("key"), F.encode(value, "UTF-8").alias("value"), F.lit(None).cast("timestamp").alias("timestamp"))
+
+
+def consumed(s: SparkSession, d: str) -> messages.OnceSink:
+    """The topic through its subscription; every batch comes twice, as after a failure."""
+    path = fresh_path(s, "topic")
+    topic_rows(s, d).repartition(2).write.parquet(f"{path}/in")
+    sink = messages.OnceSink(f"{path}/out")
+
+    def twice(name: str) -> messages.Handler:
+        return lambda rows, n: [sink.write(name, rows, n) for _ in range(2)]
+
+    stream = s.readStream.schema("key binary, value binary, timestamp timestamp").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    messages.subscribe(stream, "normalized-transactions", twice("transactions"), twice("letters"), f"{path}/checkpoint").start().awaitTermination()
+    return sink
+
+
+@query("SELECT chain_id, tx_hash, block_number, CAST(value_wei AS VARCHAR) AS value_wei, status FROM tx WHERE src_key % 50 <> 7 AND src_key % 40 <> 1")
+def topic_transactions(s, d):
+    return consumed(s, d).read(s, "transactions").select("chain_id", "tx_hash", "block_number", "value_wei", "status")
+
+
+@query("SELECT CASE WHEN src_key % 50 = 7 THEN 'undecodable' ELSE 'missing tx_hash' END AS reason, count(*) AS n FROM tx WHERE src_key % 50 = 7 OR src_key % 40 = 1 GROUP BY ALL")
+def topic_letters(s, d):
+    return consumed(s, d).read(s, "letters").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT chain_id, event_id, depth FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY detected_at) AS k FROM reorg_events) e WHERE k = 1""")
+def reorg_event_stream(s, d):
+    """Reorganisations as a stream of their own; an event that comes twice is handled once."""
+    e = view(s, d, "reorg_events").select("chain_id", "event_id", "depth", "detected_at")
+    path = fresh_path(s, "reorgs")
+    e.unionByName(e).repartition(1).write.parquet(f"{path}/in")
+    sink = messages.OnceSink(f"{path}/out")
+    streams.reorg_job(s.readStream.schema(e.schema).parquet(f"{path}/in"), lambda rows, n: sink.write("events", rows, n), f"{path}/checkpoint").start().awaitTermination()
+    return sink.read(s, "events").select("chain_id", "event_id", "depth")
+
+
+@query("""SELECT chain_id, CASE WHEN src_key % 5 = 0 THEN '' ELSE tx_hash END AS tx_hash, CASE WHEN src_key % 7 = 0 THEN 0 ELSE block_number END AS block_number, log_index,
+ CASE WHEN src_key % 3 = 0 THEN 0 ELSE 3 END AS topics, CASE WHEN src_key % 4 = 0 THEN '' ELSE data END AS data
+FROM (SELECT l.*, t.src_key FROM logs l JOIN tx t ON t.chain_id = l.chain_id AND t.tx_hash = l.tx_hash) x""")
+def log_normalize_lenient(s, d):
+    """Logs with missing and unreadable fields are kept, with zero, empty texts and no topics."""
+    l = view(s, d, "logs").join(view(s, d, "tx").select("chain_id", "tx_hash", "src_key"), joins.TX)
+    has = lambda n, c: F.when(F.col("src_key") % n != 0, c)
+    height = F.when(F.col("src_key") % 7 == 0, "zz").otherwise(X.to_hex(F.col("block_number")))
+    raw = F.struct(
+        has(5, F.col("tx_hash")).alias("transactionHash"), height.alias("blockNumber"), X.to_hex(F.col("tx_index")).alias("transactionIndex"), X.to_hex(F.col("log_index")).alias("logIndex"),
+        F.col("address"), has(3, F.array("topic0", "topic1", "topic2")).alias("topics"), has(4, F.col("data")).alias("data"),
+    )
+    good, _ = normalize.evm_logs(l.select("chain_id", F.to_json(raw).alias("result")), lenient=True)
+    return good.select("chain_id", "tx_hash", "block_number", "log_index", F.size("topics").alias("topics"), "data")
+
+
+def solana_rows(s: SparkSession, d: str) -> DataFrame:
+    """Transactions as those of a chain of slots: two log messages, an error for reverted ones."""
+    t = view(s, d, "tx")
+    err = F.when(F.col("status") == "pending", "failed")
+    one = F.struct(F.col("tx_hash").alias("signature"), F.col("block_number").alias("slot"), F.struct(err.alias("err"), F.col("gas_price").alias("fee"), F.array(F.concat(F.lit("call "), F.col("src_key").cast("string")), F.lit("done")).alias("logMessages")).alias("meta"))
+    return t.select(F.lit("sol").alias("chain_id"), "block_number", F.lit("b").alias("block_hash"), "tx_index", F.to_json(one).alias("result"))
+
+
+@query("""SELECT tx_hash, block_number, tx_index, gas_price AS gas_used, CASE WHEN status = 'pending' THEN 'reverted' ELSE 'confirmed' END AS status FROM tx""")
+def solana_transactions(s, d):
+    good, _ = normalize.solana_transactions(solana_rows(s, d))
+    return good.select("tx_hash", "block_number", "tx_index", "gas_used", "status")
+
+
+@query("""SELECT tx_hash, block_number, log_index, CASE log_index WHEN 0 THEN concat('call ', CAST(src_key AS VARCHAR)) ELSE 'done' END AS topic FROM tx, (SELECT CAST(unnest([0, 1]) AS BIGINT) AS log_index) k""")
+def solana_logs(s, d):
+    good, _ = normalize.solana_transactions(solana_rows(s, d))
+    return normalize.nested_logs(good).select("tx_hash", "block_number", "log_index", F.get("topics", F.lit(0)).alias("topic"))
+
+
+@query("""SELECT tx_hash, greatest(block_number - 100, 0) AS boundary, least(greatest(tx_index, 5), 20) AS held, least(block_number, tx_index) AS low, greatest(block_number, tx_index) AS high FROM tx""")
+def clamps(s, d):
+    n, i = F.col("block_number"), F.col("tx_index")
+    return view(s, d, "tx").select("tx_hash", X.clamp(n - 100, F.lit(0)).alias("boundary"), X.clamp(i, F.lit(5), F.lit(20)).alias("held"), F.least(n, i).alias("low"), F.greatest(n, i).alias("high"))
+
+
+@query("""SELECT event_id, CASE WHEN ms < 1000 THEN concat(CAST(ms AS VARCHAR), 'ms') WHEN ms < 60000 THEN concat(CAST(CAST(ms / 1000.0 AS DECIMAL(18, 2)) AS VARCHAR), 's')
+ WHEN ms < 3600000 THEN concat(CAST(CAST(ms / 60000.0 AS DECIMAL(18, 2)) AS VARCHAR), 'm') ELSE concat(CAST(CAST(ms / 3600000.0 AS DECIMAL(18, 2)) AS VARCHAR), 'h') END AS lasted
+FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id % 1000 WHEN 1 THEN 1000 + event_id % 5900 * 10 WHEN 2 THEN 60000 + event_id % 59 * 60000 ELSE 3600000 * (1 + event_id % 99) END AS ms FROM events) e""")
+def duration_texts(s, d):
+    e = F.col("event_id")
+    ms = F.when(e % 4 == 0, e % 1000).when(e % 4 == 1, 1000 + e % 5900 * 10).when(e % 4 == 2, 60000 + e % 59 * 60000).otherwise(3600000 * (1 + e % 99))
+    return view(s, d, "events").select("event_id", X.duration_text(ms / 1000).alias("lasted"))

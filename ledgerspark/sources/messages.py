@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from ledgerspark import schemas
 
@@ -33,6 +37,84 @@ def decode_dead_letters(df: DataFrame) -> DataFrame:
     return decode_messages(df, schemas.DEAD_LETTER)[0].drop("key", "timestamp")
 
 
+@dataclass(frozen=True)
+class Topic:
+    """A topic's message type: ``schema`` of its JSON, and the fields without which a message is a dead letter."""
+
+    name: str
+    schema: str
+    required: tuple[str, ...]
+
+
+#: The four topics, by the names that configurations use.
+TOPICS = {
+    t.name: t
+    for t in (
+        Topic("raw-blocks", "chain_id string, block_number bigint, block_hash string, parent_hash string, block_ts bigint, raw string", ("chain_id", "block_number", "block_hash")),
+        Topic("normalized-transactions", "chain_id string, tx_hash string, block_number bigint, tx_index bigint, from_address string, to_address string, value_wei string, gas_price bigint, status string", ("chain_id", "tx_hash", "block_number")),
+        Topic("reorg-events", "chain_id string, event_id bigint, depth bigint, old_tip bigint, fork_height bigint, detected_at timestamp", ("chain_id", "event_id", "fork_height", "old_tip")),
+        Topic("dead-letters", schemas.DEAD_LETTER, ("reason",)),
+    )
+}
+#: What is called with the good rows of a batch and the batch id.
+Handler = Callable[[DataFrame, int], None]
+
+
+def typed(messages: DataFrame, topic: Topic) -> tuple[DataFrame, DataFrame]:
+    """(good, dead) of ``messages`` (key, value, timestamp): a message that can't be decoded, or lacks a required field, is a
+    dead letter that names why. Fields of another type count as missing."""
+    good, dead = decode_messages(messages, topic.schema)
+    lacks = F.filter(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in topic.required)), lambda x: x.isNotNull())
+    marked = good.withColumn("_lacks", lacks)
+    short = marked.where(F.size("_lacks") > 0)
+    body = F.to_json(F.struct(*(c for c in good.columns if c not in ("key", "timestamp"))))
+    why = F.concat(F.lit("missing "), F.array_join("_lacks", ", "))
+    return marked.where(F.size("_lacks") == 0).drop("_lacks"), dead.unionByName(dead_letters(short.withColumn("message", body), why))
+
+
+class OnceSink:
+    """Tables of batches under ``root``: a batch that was written before is not written again.
+
+    Each batch has a directory of its own, and Spark's commit marks it as whole; one that a job left unfinished is replaced.
+    """
+
+    def __init__(self, root: str):
+        self.root = root
+
+    def write(self, table: str, rows: DataFrame, batch: int) -> bool:
+        """Whether ``rows`` were written now."""
+        spark, path = rows.sparkSession, f"{self.root}/{table}/batch={batch}"
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            return False
+        rows.write.mode("overwrite").parquet(path)
+        return True
+
+    def read(self, spark: SparkSession, table: str) -> DataFrame:
+        return spark.read.parquet(f"{self.root}/{table}")
+
+
+def subscribe(messages: DataFrame, topic: str, handler: Handler, letters: Handler, checkpoint: str, every: str | None = None) -> DataStreamWriter:
+    """Stream of a topic's ``messages`` (key, value, timestamp) to ``handler``, and what can't be decoded to ``letters``.
+
+    Both get each batch with its id; after a failure Spark gives the same rows with the same id again, so a handler that
+    writes through :class:`OnceSink`, or publishes by batch, has each row once. ``every`` is a processing interval; without it
+    the stream takes what is there and ends.
+    """
+
+    def batch(rows: DataFrame, n: int) -> None:
+        rows.persist()
+        try:
+            good, dead = typed(rows, TOPICS[topic])
+            handler(good, n)
+            letters(dead.withColumn("topic", F.lit(topic)), n)
+        finally:
+            rows.unpersist()
+
+    w = messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return w.trigger(processingTime=every) if every else w.trigger(availableNow=True)
+
+
 def read_table(spark: SparkSession, url: str, table: str, lower: int, upper: int, partitions: int, **options: str) -> DataFrame:
     """Relational table, read in ranges of heights at once."""
     return spark.read.jdbc(url, table, column="block_number", lowerBound=lower, upperBound=upper, numPartitions=partitions, properties=options)
