@@ -224,7 +224,7 @@ def test_contiguous_heights(spark):
         rows += [(str(c), a, b, ok) for a, b, ok in spans]
         done = {h for a, b, ok in spans if ok for h in range(a, b + 1)}
         want[str(c)] = next(h for h in range(1, 999) if h not in done) - 1
-    got = progress.contiguous(spark.createDataFrame(rows, "chain_id string, start_block long, end_block long, success boolean"), 7)
+    got = progress.contiguous(spark.createDataFrame(rows, "chain_id string, start_block long, end_block long, success boolean"))
     assert {r.chain_id: r.contiguous_height for r in got.collect()} == want
 
 

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerspark.operators import metrics, notify, quality, scans, status, tables
+from ledgerspark.operators import metrics, notify, progress, quality, scans, status, tables
 
 T0 = datetime(2024, 1, 1)
 
@@ -168,3 +168,16 @@ def test_ranges_meet_rows_by_bucket(spark, monkeypatch):
     plan = tables.delete_ranges(txs, r)._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "_b#" in plan.split("SortMergeJoin")[1].split("\n")[0]
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_contiguous_heights(spark, parts):
+    """Ranges that overlap, touch, tie or lie below the first height, and one of 10^9 heights."""
+    rng = random.Random(8)
+    rows = [(c, lo, lo + rng.randrange(-1, 12), rng.random() < 0.9) for c in "abcdefgh" for lo in [rng.randrange(-5, 60) for _ in range(30)]]
+    rows += [("long", 1, 10**9, True), ("long", 10**9 + 1, 10**9 + 5, True), ("long", 10**9 + 7, 10**9 + 9, True), ("none", 1, 5, False), ("late", 2, 5, True), (None, 1, 3, True)]
+    got = {r.chain_id: r.contiguous_height for r in progress.contiguous(spark.createDataFrame(rows, "chain_id string, start_block long, end_block long, success boolean"), parts=parts).collect()}
+    for c in "abcdefgh":
+        done = {h for x, lo, hi, ok in rows if x == c and ok for h in range(lo, hi + 1)}
+        assert got[c] == next(h for h in range(1, 200) if h not in done) - 1
+    assert (got["long"], got["none"], got["late"], got[None]) == (10**9 + 5, 0, 0, 3)
