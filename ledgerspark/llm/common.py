@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +17,20 @@ from ledgerspark.shared import fresh_path, shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Paths of the tables that ``stored`` wrote and nobody has discarded.
-_STORED: list[str] = []
+#: Paths of the tables that ``stored`` writes inside :func:`noted`; each thread and task has its own.
+_NOTED: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths of the tables that operators store inside, in the order they are written. Results read from these tables
+    when they are evaluated, so :func:`discard` them once such a result is written elsewhere."""
+    paths: list[str] = []
+    token = _NOTED.set(paths)
+    try:
+        yield paths
+    finally:
+        _NOTED.reset(token)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,25 +85,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(option, before)
-    _STORED.append(path)
+    if (paths := _NOTED.get()) is not None:
+        paths.append(path)
     return spark.read.parquet(path)
 
 
-def discard(spark: SparkSession, mark: int = 0, keep: int = 0) -> None:
-    """Deletes the tables that :func:`stored` wrote since ``mark`` (see :func:`marked`), but for the last ``keep``.
-
-    Results read from these tables when they are evaluated, so call it once such a result is written elsewhere.
-    """
-    end = len(_STORED) - keep
-    for path in _STORED[mark:end]:
+def discard(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes stored tables."""
+    for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    del _STORED[mark:end]
-
-
-def marked() -> int:
-    """How many tables are stored now, for :func:`discard`."""
-    return len(_STORED)
 
 
 def words_of(text: Column) -> Column:

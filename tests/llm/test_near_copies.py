@@ -52,5 +52,38 @@ def test_null_ids_and_equal_rows(spark):
     assert near_copies.one_of_each(spark.createDataFrame(rows, SCHEMA).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tile,chunk", [(8, 20_000), (2048, 40_000)])
+def test_large_group_of_one_page(spark, tile, chunk):
+    """A page with very many headers is one group; pages that share only boilerplate of it stay. A chain of near copies whose
+    ends differ is one group too."""
+    rng = np.random.default_rng(4)
+    page = [f"b{x}" for x in rng.integers(0, 9999, 150)]
+    rows = [(k, " ".join([f"head{k}", f"{k}er", *page])) for k in range(300)]
+    rows += [(1000 + k, " ".join([*(f"own{k}x{i}" for i in range(60)), *page[:60]])) for k in range(100)]
+    words = [f"c{x}" for x in range(200)]
+    for k in range(12):
+        rows.append((2000 + k, " ".join(words)))
+        words[15 * k : 15 * k + 3] = [f"{x}n{k}" for x in range(3)]
+    df = spark.createDataFrame([(*r, "en", "a", 0) for r in rows], SCHEMA).repartition(6)
+    got = near_copies.one_of_each(df, tile=tile, chunk_bytes=chunk)
+    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == brute_kept(rows)
+
+
+def test_tables_of_two_runs(spark):
+    """Each run discards its own tables, in whatever order threads store them."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from ledgerspark.llm.common import discard, noted, stored
+
+    def run(k):
+        with noted() as paths:
+            kept = [stored(spark.range(k + 1), f"run{k}") for _ in range(3)]
+        discard(spark, paths[:-1])
+        return len(paths), kept[-1].count()
+
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(run, range(4))) == [(3, k + 1) for k in range(4)]
+
+
 def test_calibration():
-    assert near_copies.bands() == 18 and 18 <= near_copies.radius() <= 24
+    assert near_copies.bands() == 24 and 18 <= near_copies.radius() <= 24
