@@ -14,7 +14,7 @@ the text of one turn is one value.
 
 Null texts and roles: a null text has no lines, a null or unknown role is not learned from. Blank lines only separate.
 Null ids form one conversation; null part numbers come first; equal part numbers are ordered by a hash of their text, and
-their lines alternate if the texts are equal. Conversations without lines don't appear; an empty table gives no rows. Other
+equal texts of one part follow each other; each is blocks of its own where a run is cut, however many there are. Conversations without lines don't appear; an empty table gives no rows. Other
 columns are left out.
 """
 
@@ -37,8 +37,8 @@ MARKERS = (("system", "instruction manual"), ("user", "human", "prompter", "ques
 BLOCK, LINES, SIZES, PRIOR = 64, 4096, 8, 50.0
 
 #: Columns that order the lines of a conversation, and the type of a block's number, which has the same order.
-ORDER = ("part", "copy", "line")
-BLOCK_TYPE = "struct<run:bigint,part:bigint,copy:bigint,piece:bigint>"
+ORDER = ("part", "copy", "repeat", "line")
+BLOCK_TYPE = "struct<run:bigint,part:bigint,copy:bigint,repeat:bigint,piece:bigint>"
 
 
 def _marker(words: tuple[str, ...]) -> str:
@@ -49,17 +49,18 @@ ANY_MARKER = _marker(tuple(w for ws in MARKERS for w in ws))
 
 
 def lines_of(parts: DataFrame) -> DataFrame:
-    """(conv_id, part, line, text, code[, role]) of the non-blank lines of ``parts`` (conv_id, part, text[, role]).
+    """(conv_id, part, copy, repeat, line, text, code[, role]) of the non-blank lines of ``parts`` (conv_id, part, text[, role]).
 
     Parts of a conversation follow each other, separated like by a blank line; a whole transcript is one part.
     """
     more = ["role"] if "role" in parts.columns else []
     # A part number alone need not be unique; the text's hash makes lines of equal parts stay together.
     cut = F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")
-    whole = parts.select(F.col("conv_id").cast("long"), F.col("part").cast("long"), F.xxhash64("text").alias("copy"), *more, cut.alias("text"), F.concat(F.array(F.lit(None).cast("string")), cut).alias("before"))
+    # Rows that are equal in all of this are told apart by any number: they are alike, so their order doesn't matter.
+    whole = parts.select(F.col("conv_id").cast("long"), F.col("part").cast("long"), F.xxhash64("text").alias("copy"), F.monotonically_increasing_id().alias("repeat"), *more, cut.alias("text"), F.concat(F.array(F.lit(None).cast("string")), cut).alias("before"))
     # Each line travels with the one before it; the last entry has no line of its own.
-    base = whole.select("conv_id", "part", "copy", *more, F.posexplode(F.arrays_zip("text", "before")).alias("line", "l"))
-    base = base.select("conv_id", "part", "copy", *more, "line", "l.text", "l.before").where("text IS NOT NULL")
+    base = whole.select("conv_id", "part", "copy", "repeat", *more, F.posexplode(F.arrays_zip("text", "before")).alias("line", "l"))
+    base = base.select("conv_id", "part", "copy", "repeat", *more, "line", "l.text", "l.before").where("text IS NOT NULL")
     blank = F.trim(F.translate("text", "\t\x0b\x0c\r", "    ")) == ""
     after_blank = F.col("before").isNull() | (F.trim(F.translate("before", "\t\x0b\x0c\r", "    ")) == "")
     marker = F.lit(0)
@@ -67,7 +68,7 @@ def lines_of(parts: DataFrame) -> DataFrame:
         marker = F.when(F.col("text").rlike(_marker(words)), k + 1).otherwise(marker)
     size = F.least(F.floor(F.log2(F.length("text") / 8 + 1)), F.lit(SIZES - 1)).cast("int")
     code = (after_blank.cast("int") * (len(ROLES) + 1) + marker) * SIZES + size
-    return base.where(~blank).select("conv_id", F.coalesce("part", F.lit(-1)).alias("part"), "copy", "line", "text", code.alias("code"), *more)
+    return base.where(~blank).select("conv_id", F.coalesce("part", F.lit(-1)).alias("part"), "copy", "repeat", "line", "text", code.alias("code"), *more)
 
 
 def blocked(lines: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def blocked(lines: DataFrame) -> DataFrame:
     sizes = lines.groupBy("conv_id", run).agg(F.count(F.lit(1)).alias("n"))
     long = sizes.where(F.col("n") > LINES).select(F.col("conv_id").alias("c"), F.col("run").alias("r"))
     zero = F.lit(0).cast("long")
-    cut = F.when(F.col("r").isNull(), F.struct(run, zero.alias("part"), zero.alias("copy"), zero.alias("piece"))).otherwise(F.struct(run, "part", "copy", F.floor(F.col("line") / LINES).alias("piece")))
+    cut = F.when(F.col("r").isNull(), F.struct(run, zero.alias("part"), zero.alias("copy"), zero.alias("repeat"), zero.alias("piece"))).otherwise(F.struct(run, "part", "copy", "repeat", F.floor(F.col("line") / LINES).alias("piece")))
     met = lines.join(long, F.col("conv_id").eqNullSafe(F.col("c")) & (F.floor(F.col("part") / BLOCK) == F.col("r")), "left")
     return met.withColumn("block", cut.cast(BLOCK_TYPE)).drop("c", "r")
 
@@ -96,7 +97,7 @@ def _smoothed(counts: np.ndarray, prior: float | np.ndarray = 1.0) -> np.ndarray
 def moves_of(lines: DataFrame) -> DataFrame:
     """(before, state, count): how often a state follows another in a conversation; ``before`` is null where one starts.
 
-    ``lines`` (conv_id, block, part, copy, line, state): pairs inside a block by a window over it, those between blocks
+    ``lines`` (conv_id, block, part, copy, repeat, line, state): pairs inside a block by a window over it, those between blocks
     from their first and last states.
     """
     inside = lines.select("state", F.lag("state").over(Window.partitionBy("conv_id", "block").orderBy(*ORDER)).alias("before")).where("before IS NOT NULL")
@@ -110,7 +111,7 @@ def fit(turns: DataFrame) -> Model:
     n = len(ROLES)
     role = sum((F.when(F.col("role") == r, k + 1).otherwise(0) for k, r in enumerate(ROLES)), F.lit(0)) - 1
     lines = lines_of(turns).withColumn("r", role).where("r >= 0")
-    first = F.row_number().over(Window.partitionBy("conv_id", "part", "copy").orderBy("line")) == 1
+    first = F.row_number().over(Window.partitionBy("conv_id", "part", "copy", "repeat").orderBy("line")) == 1
     lines = stored(blocked(lines.select("conv_id", *ORDER, "code", (2 * F.col("r") + F.when(first, 0).otherwise(1)).alias("state"))), "chat-lines")
     emit = np.zeros((2 * n, 2, n + 1, SIZES))
     for r in lines.groupBy("state", "code").count().collect():
@@ -215,7 +216,7 @@ def decode(lines: DataFrame, model: Model) -> DataFrame:
             t = t.append_column("begins", pa.array(begins)).append_column("nth", pa.array(begins.cumsum(dtype=np.int64)))
             yield from t.combine_chunks().to_batches()
 
-    return laid(full).mapInArrow(states, f"conv_id long, part long, copy long, line int, text string, block {BLOCK_TYPE}, role string, begins boolean, nth long")
+    return laid(full).mapInArrow(states, f"conv_id long, part long, copy long, repeat long, line int, text string, block {BLOCK_TYPE}, role string, begins boolean, nth long")
 
 
 def render(role: Column, text: Column) -> Column:
@@ -231,7 +232,7 @@ def turns_of(decoded: DataFrame) -> DataFrame:
     lines = decoded.join(starts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))
     bare = F.when(F.col("begins"), F.regexp_replace("text", ANY_MARKER + r"\s*", "")).otherwise(F.col("text"))
     lines = lines.withColumn("turn", F.col("before") + F.col("nth") - 1).withColumn("text", bare)
-    turns = lines.groupBy("conv_id", "turn", "role").agg(F.min("part").alias("first_part"), F.count(F.lit(1)).alias("n_lines"), F.sort_array(F.collect_list(F.struct("part", "copy", "line", "text"))).alias("l"))
+    turns = lines.groupBy("conv_id", "turn", "role").agg(F.min("part").alias("first_part"), F.count(F.lit(1)).alias("n_lines"), F.sort_array(F.collect_list(F.struct("part", "copy", "repeat", "line", "text"))).alias("l"))
     text = F.array_join(F.transform("l", lambda x: x["text"]), "\n")
     return turns.select("conv_id", "turn", "role", "first_part", "n_lines", text.alias("text"), render(F.col("role"), text).alias("rendered"))
 

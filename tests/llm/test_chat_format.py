@@ -79,9 +79,9 @@ def test_cut_blocks_agree_with_whole(spark, model, monkeypatch, block, size):
     monkeypatch.setattr(chat_format, "BLOCK", block)
     monkeypatch.setattr(chat_format, "LINES", size)
     lines = chat_format.lines_of(df)
-    whole = lines.toPandas().sort_values(["part", "copy", "line"])
+    whole = lines.toPandas().sort_values(["part", "copy", "repeat", "line"])
     decoded = chat_format.decode(lines, model)
-    got = decoded.toPandas().sort_values(["part", "copy", "line"])
+    got = decoded.toPandas().sort_values(["part", "copy", "repeat", "line"])
     turns = chat_format.turns_of(decoded).toPandas()
     pairs = {}
     for c in (1, 2, None):
@@ -116,3 +116,14 @@ def test_fit_counts(spark):
     assert np.allclose(m.start[::2], np.log(start / start.sum())[::2])
     seen = m.step > -1e8
     assert np.allclose(m.step[seen], np.log(step / step.sum(axis=1, keepdims=True))[seen])
+
+
+def test_very_many_equal_parts(spark, model):
+    """No block is larger than its bound, however often a part repeats; each repeat is a whole."""
+    rows = [(1, 0, "first line\nsecond line\n\nthird", k) for k in range(6000)] + [(1, 1, "an end", 0)]
+    df = spark.createDataFrame(rows, "conv_id long, part long, text string, n long").repartition(5).drop("n")
+    lines = chat_format.blocked(chat_format.lines_of(df))
+    assert lines.groupBy("conv_id", "block").count().agg({"count": "max"}).first()[0] <= chat_format.LINES
+    turns = chat_format.format_transcripts(df, model).toPandas()
+    assert turns.n_lines.sum() == 18_001 and turns.turn.nunique() == len(turns)
+    assert "".join(turns.sort_values("turn").text.str.replace("\n", "")) == "first linesecond linethird" * 6000 + "an end"
