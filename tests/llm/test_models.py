@@ -149,6 +149,25 @@ def test_embedding_recall_over_tables(spark):
     assert (got <= want).all() and 0.95 <= got.sum() / want.sum()
 
 
+def test_embedding_query_recall(spark, tmp_path):
+    """The query over several tables of cells (more vectors than one cell takes), with planted pairs of cosine 0.9 to 0.95:
+    recall of the rows divisible by 20 against all rows, and no link too many."""
+    rng, d, n, pairs = np.random.default_rng(20), 64, 16_000, 4_000
+    base = embed_dedup.unit(rng.standard_normal((n, d)))
+    side = embed_dedup.unit((s := rng.standard_normal((pairs, d))) - (s * base[:pairs]).sum(1, keepdims=True) * base[:pairs])
+    c = rng.uniform(0.9, 0.95, (pairs, 1))
+    vecs = np.concatenate([base, c * base[:pairs] + np.sqrt(1 - c * c) * side])[rng.permutation(n + pairs)]
+    u = embed_dedup.unit(vecs)
+    want = {k: int(((u[k] @ u.T) >= 0.9).sum() - 1) for k in range(0, n + pairs, 20)}
+    assert embed_dedup.planned(n + pairs, 0.9, 0.98).tables > 1
+    spark.createDataFrame([(i, v) for i, v in enumerate(vecs.tolist())], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.n_links for r in queries.op9_embeddings(spark, str(tmp_path)).where("vec_id % 20 = 0").collect()}
+    assert got.keys() == want.keys() and all(got[k] <= want[k] for k in want)
+    recall = sum(got.values()) / sum(want.values())
+    print(f"recall {recall:.4f} of {sum(want.values())} links")
+    assert recall >= 0.95
+
+
 def test_each_pair_counts_once(spark):
     """A dense group shares cells of many tables; link counts are still those of brute force."""
     rng = np.random.default_rng(9)
