@@ -8,8 +8,10 @@ into one table per order, a row for each context and byte with a column of exact
 scored with numpy, whole batches at once.
 
 The trees are fitted on a bounded sample: the ``per_lang`` documents of each language that come first by a seeded hash
-(parameter; default 400), so the tables' size does not grow with the corpus. Sampled texts are counted whole, however
-long. All documents are scored, whole.
+(parameter; default 400). Sampled texts are counted whole, however long. Of the grams so found, each language keeps the most
+frequent of each depth, ``max_grams`` in all (parameter; default two million, about 50 MB for the driver and each task), so
+the tables' size grows neither with the corpus nor with long texts nor with the number of languages. All documents are
+scored, whole.
 
 Null texts and texts without a letter get ``und`` and score 0; rows without language are not learned from; if nothing
 can be learned from, every text is ``und``; an empty table gives no rows; repeated rows are scored each by itself.
@@ -126,8 +128,9 @@ class Trees:
         return out
 
 
-def fit(docs: DataFrame, per_lang: int = 400, order: int = 3, seed: int = 10) -> Trees:
-    """Trees from ``docs`` (doc_id, text, lang): the first ``per_lang`` documents of each language by a seeded hash."""
+def fit(docs: DataFrame, per_lang: int = 400, order: int = 3, seed: int = 10, max_grams: int = 2_000_000) -> Trees:
+    """Trees from ``docs`` (doc_id, text, lang): the first ``per_lang`` documents of each language by a seeded hash, and of
+    their grams the ``max_grams`` most frequent, an equal share for each language and depth."""
     h = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 31))
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text", h.alias("h"))
     # About twice the wanted number passes a hash limit set by the language's size, and the first of these are ranked.
@@ -153,9 +156,12 @@ def fit(docs: DataFrame, per_lang: int = 400, order: int = 3, seed: int = 10) ->
                         part = raw[order - d + at : min(len(raw), order + at + block)]
                         yield made(lang, d, *np.unique(grams(part, d + 1), return_counts=True))
 
-    # Whole texts are counted on the executors; the driver gets one row for each gram that the trees hold.
+    # Whole texts are counted on the executors; the driver gets one row for each gram that the trees hold, a bounded number.
     bounded_batches(docs.sparkSession)
-    table = first.select("lang", "text").mapInArrow(run, schema).groupBy("lang", "depth", "gram").agg(F.sum("n").alias("n")).toArrow()
+    share = max(1, max_grams // max(1, len(sizes) * (order + 1)))
+    counted = first.select("lang", "text").mapInArrow(run, schema).groupBy("lang", "depth", "gram").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang", "depth").orderBy(F.desc("n"), "gram"))
+    table = counted.withColumn("place", place).where(F.col("place") <= share).drop("place").toArrow()
     lang, depth, gram, n = (table.column(c).to_numpy() for c in ("lang", "depth", "gram", "n"))
     langs = sorted(set(lang.tolist()))
     place = np.array([langs.index(x) for x in lang.tolist()], dtype=np.int64)

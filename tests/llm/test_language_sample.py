@@ -14,3 +14,15 @@ def test_very_long_first_text(spark):
     texts = ["die katze", "the dog", "und"]
     assert got.code_lengths(texts) == pytest.approx(want.code_lengths(texts))
     assert [r.lang_pred for r in langid.predict(docs.where("doc_id < 3").orderBy("doc_id"), got).collect()] == ["de", "en"]
+
+
+def test_grams_are_bounded(spark):
+    """A share of the most frequent grams for each language and depth; the texts are still told apart."""
+    rows = [(k, text * 20, lang) for lang, text in (("de", "die katze und der hund "), ("en", "the cat and the dog "), ("fr", "le chat et le chien ")) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    small = langid.fit(docs, max_grams=120)
+    assert [len(k) for k in small.keys] <= [30, 30, 30, 30] and sum(map(len, small.keys)) <= 120
+    got = {(r.doc_id, r.lang_pred) for r in langid.predict(spark.createDataFrame([(1, "der hund", "x"), (2, "the dog", "x"), (3, "le chien", "x")], "doc_id long, text string, lang string"), small).collect()}
+    assert got == {(1, "de"), (2, "en"), (3, "fr")}
+    whole = langid.fit(docs)
+    assert all((a == b).all() for a, b in zip(whole.keys, langid.fit(docs, max_grams=10**9).keys, strict=True))
