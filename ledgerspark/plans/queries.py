@@ -970,6 +970,25 @@ def reorg_store(s: SparkSession, d: str) -> versions.Snapshot:
     return reorg.commit(store, events)
 
 
+INGESTED = "SELECT chain_id, tx_hash, block_number, CAST(value_wei AS VARCHAR) AS value_wei FROM tx WHERE src_key % 50 <> 7"
+
+
+def ingested(s: SparkSession, d: str) -> versions.Snapshot:
+    """Raw blocks as a stream of files, some of which come again in a later one, through ingest into a store."""
+    raw, path = fixtures.raw_blocks(s, d).select("chain_id", "envelope", "block_number"), fresh_path(s, "raw")
+    for k in range(2):
+        raw.where(f"block_number % 2 = {k} OR block_number % 5 = 0").drop("block_number").coalesce(1).write.parquet(f"{path}/in/{k}")
+    stream = s.readStream.schema("chain_id string, envelope string").option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*")
+    store = versions.Store(s, f"{path}/store", 1000)
+    streams.ingest_into(stream, store, f"{path}/checkpoint").start().awaitTermination()
+    return store.snapshot()
+
+
+@query(INGESTED)
+def ingest_store(s, d):
+    return ingested(s, d).read("transactions").select("chain_id", "tx_hash", "block_number", text(F.col("value_wei"), "value_wei"))
+
+
 @query("SELECT chain_id, {H:concat(chain_id, '-', tx_hash, '-', CAST(log_index AS STRING))} AS record_id, amount FROM logs")
 def bulk_write(s, d):
     """Logs in two batches that overlap, the second one written twice; one row for each id is read back."""

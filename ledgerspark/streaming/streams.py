@@ -9,40 +9,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ledgerspark.operators import normalize, quality, status, tables
+from ledgerspark.operators import normalize, quality, status, tables, versions
 from ledgerspark.sources import rpc
 
 #: What a table job is called with: name, rows, batch id.
 Writer = Callable[[str, DataFrame, int], None]
 
 
-def ingest(raw: DataFrame, write: Writer, checkpoint: str, every: str | None = None) -> DataStreamWriter:
-    """Raw envelopes (chain_id, envelope) to blocks, transactions and quarantine, written by ``write`` in this order.
+def decoded(raw: DataFrame) -> dict[str, DataFrame]:
+    """Blocks, transactions and quarantine of raw envelopes (chain_id, envelope)."""
+    good, bad = rpc.decode_envelopes(raw)
+    blocks, q = normalize.evm_blocks(good)
+    txs, r = normalize.evm_transactions(normalize.block_transactions(blocks))
+    txs, s = quality.validated(txs, quality.transaction_reasons())
+    letters = bad.select("chain_id", "raw", F.array("reason").alias("reasons")).unionByName(q).unionByName(r)
+    return {"blocks": blocks.drop("transactions"), "transactions": txs, "quarantine": letters.unionByName(s.select("chain_id", F.col("tx_hash").alias("raw"), "reasons"))}
 
-    ``every`` is a processing interval; without it the job takes what is there and ends (backfill).
-    """
 
-    def batch(df: DataFrame, n: int) -> None:
+def _started(raw: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, every: str | None) -> DataStreamWriter:
+    def kept(df: DataFrame, n: int) -> None:
         df.persist()
         try:
-            tables_of(df, n)
+            batch(df, n)
         finally:
             df.unpersist()
 
-    def tables_of(df: DataFrame, n: int) -> None:
-        good, bad = rpc.decode_envelopes(df)
-        blocks, q = normalize.evm_blocks(good)
-        txs, r = normalize.evm_transactions(normalize.block_transactions(blocks))
-        txs, s = quality.validated(txs, quality.transaction_reasons())
-        write("blocks", blocks.drop("transactions"), n)
-        write("transactions", txs, n)
-        letters = bad.select("chain_id", "raw", F.array("reason").alias("reasons")).unionByName(q).unionByName(r)
-        write("quarantine", letters.unionByName(s.select("chain_id", F.col("tx_hash").alias("raw"), "reasons")), n)
-
-    w = raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    w = raw.writeStream.foreachBatch(kept).option("checkpointLocation", checkpoint)
     return w.trigger(processingTime=every) if every else w.trigger(availableNow=True)
 
 
+def ingest(raw: DataFrame, write: Writer, checkpoint: str, every: str | None = None) -> DataStreamWriter:
+    """Raw envelopes (chain_id, envelope) to blocks, transactions and quarantine, each written by ``write``, in this order.
+
+    ``every`` is a processing interval; without it the job takes what is there and ends (backfill).
+    """
+
+    def batch(df: DataFrame, n: int) -> None:
+        for name, rows in decoded(df).items():
+            write(name, rows, n)
+
+    return _started(raw, batch, checkpoint, every)
+
+
+def ingest_into(raw: DataFrame, store: versions.Store, checkpoint: str, every: str | None = None, stream: str = "ingest") -> DataStreamWriter:
+    """:func:`ingest` into the tables of ``store``: a batch's blocks, transactions and quarantine are published at once.
+
+    Rows are merged by their keys, those of a later batch win, and only partitions that a batch touches are read and
+    written. A batch that was published before changes nothing, so a restart neither loses nor repeats rows.
+    """
+
+    def batch(df: DataFrame, n: int) -> None:
+        def work(at: versions.Snapshot) -> list[versions.Change]:
+            out = decoded(df)
+            keyed = [store.merged(t, tables.newest(out[t].withColumn("version", F.lit(n).cast("long")), tables.KEYS[t], [F.col("block_hash")]), tables.KEYS[t], at=at) for t in ("blocks", "transactions")]
+            return [*keyed, store.appended("quarantine", out["quarantine"], keyed=False)]
+
+        store.once(stream, n, work)
+
+    return _started(raw, batch, checkpoint, every)
+
+
 def legal_moves(rules: tuple = status.RULES) -> dict[str, list[str]]:
     """(from: to) moves of rules without conditions; with one, see :func:`status.actions`, which evaluates it on rows."""
     out: dict[str, list[str]] = {}

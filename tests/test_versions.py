@@ -171,3 +171,33 @@ def test_lenient_logs(spark):
     good, bad = normalize.evm_logs(spark.createDataFrame(raw, "chain_id string, result string"), lenient=True)
     got = sorted((r.tx_hash, r.block_number, r.log_index, r.address, len(r.topics), r.data) for r in good.collect())
     assert got == [("", 0, 0, "", 0, ""), ("", 0, 0, "", 0, ""), ("t", 0, 2, "", 2, "")] and bad.count() == 0
+
+
+def test_ingest_is_published_once(spark, tmp_path):
+    """A batch that fails on the way shows nothing; after the restart each row is there once, and a block that comes again is
+    replaced."""
+    from ledgerspark.streaming import streams
+
+    def envelope(height, mark, *txs):
+        rows = [{"hash": f"t{height}-{k}", "from": sender, "to": None, "value": "0x5", "gasPrice": "0x1", "input": "0x"} for k, sender in enumerate(txs)]
+        return json.dumps({"jsonrpc": "2.0", "id": 1, "result": {"number": hex(height), "hash": mark, "parentHash": "p", "timestamp": "0x5", "transactions": rows}})
+
+    good, bad = "0x" + "a" * 40, "0xbad"
+    for k, rows in enumerate([[("1", envelope(5, "h5", good, bad)), ("1", "{broken")], [("1", envelope(6, "h6", good)), ("1", envelope(5, "new5", good, good))]]):
+        spark.createDataFrame(rows, "chain_id string, envelope string").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    store = versions.Store(spark, f"{tmp_path}/store", 10)
+    read = lambda: spark.readStream.schema("chain_id string, envelope string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    run = lambda: streams.ingest_into(read(), store, f"{tmp_path}/c").start().awaitTermination()
+    real, versions.Store.appended = versions.Store.appended, lambda *a, **k: 1 / 0
+    try:
+        with pytest.raises(Exception, match="division"):
+            run()
+    finally:
+        versions.Store.appended = real
+    assert store.numbers() == []
+    run()
+    at = store.snapshot()
+    assert at.content["batches"] == {"ingest": 1} and store.numbers() == [1, 2]
+    assert sorted((r.block_number, r.block_hash) for r in at.read("blocks").collect()) == [(5, "new5"), (6, "h6")]
+    assert sorted(r.tx_hash for r in at.read("transactions").collect()) == ["t5-0", "t5-1", "t6-0"]
+    assert at.read("quarantine").count() == 2 and store.snapshot(1).read("transactions").count() == 1
