@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import exprs as X
+from ledgerspark.shared import fresh_path
 
 #: {H:text} is the SHA-256 of a text in hex.
 VIEWS: dict[str, str] = {
@@ -124,8 +125,24 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **parts)
 
 
+#: Where an application has written the raw blocks of a folder of tables.
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
 def raw_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chain_id, block_number, envelope): one RPC answer for each block, every fiftieth sender damaged."""
+    """(chain_id, block_number, envelope): one RPC answer for each block, every fiftieth sender damaged.
+
+    Written once for each application, as the dumps are that a scanner would find; queries then only read and decode.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        path = fresh_path(spark, "raw-blocks")
+        _made_blocks(spark, sf_dir).write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.schema("chain_id string, block_number bigint, envelope string").parquet(_WRITTEN[key])
+
+
+def _made_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx, blocks = view(spark, sf_dir, "tx"), view(spark, sf_dir, "blocks_local")
     sender = F.when(F.col("src_key") % 50 == 7, F.substring("from_address", 1, 41)).otherwise(F.col("from_address"))
     value = F.concat(F.lit("0x"), _hex_of(F.col("value_wei")))

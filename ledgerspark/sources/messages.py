@@ -115,6 +115,24 @@ def subscribe(messages: DataFrame, topic: str, handler: Handler, letters: Handle
     return w.trigger(processingTime=every) if every else w.trigger(availableNow=True)
 
 
-def read_table(spark: SparkSession, url: str, table: str, lower: int, upper: int, partitions: int, **options: str) -> DataFrame:
-    """Relational table, read in ranges of heights at once."""
-    return spark.read.jdbc(url, table, column="block_number", lowerBound=lower, upperBound=upper, numPartitions=partitions, properties=options)
+def read_table(spark: SparkSession, url: str, table: str, partitions: int, height: str = "block_number", since: int | None = None, **options: str) -> DataFrame:
+    """Relational table, read in ``partitions`` ranges of its heights at once.
+
+    The ranges follow the least and greatest height, which the database is asked for first; with ``since`` only rows above
+    that height are read, by a condition that the database evaluates, so a later read takes what is new. Rows without a
+    height are in the first range. An empty table gives no rows.
+    """
+    # Names are quoted as the database wants it; the filter below is one that Spark hands to the database.
+    name = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(height)
+    newer = f" WHERE {name} > {int(since)}" if since is not None else ""
+    low, high = spark.read.jdbc(url, f"(SELECT MIN({name}) AS low, MAX({name}) AS high FROM {table}{newer}) b", properties=options).first()
+    if low is None:
+        rows = spark.read.jdbc(url, table, properties=options)
+    else:
+        rows = spark.read.jdbc(url, table, column=height, lowerBound=int(low), upperBound=int(high) + 1, numPartitions=partitions, properties=options)
+    return rows if since is None else rows.where(F.col(height) > since)
+
+
+def write_table(df: DataFrame, url: str, table: str, batch: int = 1000, **options: str) -> None:
+    """Appends ``df`` to a relational table, each task in transactions of its own; a new table gets the types of ``df``."""
+    df.write.option("batchsize", batch).jdbc(url, table, mode="append", properties=options)

@@ -201,3 +201,18 @@ def test_ingest_is_published_once(spark, tmp_path):
     assert sorted((r.block_number, r.block_hash) for r in at.read("blocks").collect()) == [(5, "new5"), (6, "h6")]
     assert sorted(r.tx_hash for r in at.read("transactions").collect()) == ["t5-0", "t5-1", "t6-0"]
     assert at.read("quarantine").count() == 2 and store.snapshot(1).read("transactions").count() == 1
+
+
+def test_relational_tables(spark):
+    """Rows go to an embedded database and come back in ranges of heights; a later read takes what is new."""
+    url, options = "jdbc:derby:memory:ledger;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = [("1", h, f"h{h}") for h in range(10, 500)] + [("1", None, "none")]
+    messages.write_table(spark.createDataFrame(rows, "chain_id string, block_number long, block_hash string").repartition(3), url, "blocks", **options)
+    got = messages.read_table(spark, url, "blocks", 4, **options)
+    assert got.rdd.getNumPartitions() == 4
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, rows))
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 200
+    new = messages.read_table(spark, url, "blocks", 2, since=490, **options)
+    assert sorted(r[1] for r in new.collect()) == list(range(491, 500))
+    assert messages.read_table(spark, url, "blocks", 2, since=1000, **options).count() == 0
