@@ -8,8 +8,11 @@ FIFO for each symbol, laid out by symbol. Symbols are taken in batches between w
 its own batch, so that each step is a few numpy operations; strings of names whose batches hold few entries are induced
 entry by entry.
 
-Whatever grows with the shard (string, types, runs, queues, sorted suffixes) lies in scratch files of the task beyond
-``MEMORY`` entries and is gone with it; in memory are one batch and one entry for each symbol. Positions have eight
+The string, types, runs, queues and sorted suffixes lie in scratch files of the task beyond ``MEMORY`` entries and are gone
+with it. Memory still grows with the shard: while a level is set up, types, lengths, names and common prefixes take about 42
+bytes for each symbol beside these files (measured at one and three million symbols), so shards are cut to what a task can
+hold, 8 MB by default, and are not far larger than memory. Queues are arrays with a stretch for each symbol, not sorted runs
+that are merged. Positions have eight
 bytes where four don't do. Common prefixes are capped, which is all that matching strings of a fixed length needs.
 """
 
