@@ -6,7 +6,8 @@ none is above it has this fixed point. A source's words are then taken as whole
 a fractional one: documents in a seeded order until the rest of the target is used up, the last of them in part.
 
 A null source is a source of its own (last in order); null and blank texts have size 0 and are taken 0 times; rows with
-equal ids are ordered by size; an empty table gives no rows. ``mix`` leaves other columns out; ``mixed`` keeps them.
+equal ids are ordered by size; a very long text counts whole, and can be the one that is taken in part; an empty table gives
+no rows. ``mix`` leaves other columns out; ``mixed`` keeps them.
 """
 
 from __future__ import annotations

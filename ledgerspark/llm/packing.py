@@ -6,7 +6,8 @@ in a level array, and windows of a level in a stack. Each input partition packs
 and memory holds only open windows. At the end of a partition the emptiest open windows are cut up to fill the fullest
 ones, which leaves one partial window at most per partition.
 
-Null and empty texts are documents of one end token. Rows with equal ids are packed each by itself. No rows in, none out.
+Null and empty texts are documents of one end token. A very long text is tokenised whole and cut into full windows and a rest.
+Rows with equal ids are packed each by itself. No rows in, none out.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ tiles within the radius are compared, with numpy exclusive-or and bit counts. Ti
 dense group is spread over many tasks. Each tile pair reports a spanning forest of its links, not every pair.
 
 Null and blank texts have fingerprint zero and link like any other; equal fingerprints always share a component; rows
-with equal ids share their component; an empty table gives no rows. Other columns, whatever their names, are left out.
+with equal ids share their component; very long texts are hashed whole, in blocks; an empty table gives no rows. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ on the scaled features (Wang and Manning, 2012). Document counts are summed by S
 evidence are kept, at most ``n_features``. The fit uses a bounded, documented sample of labelled rows: the first
 ``max_train`` (default 16,000) by a seeded hash. All documents are scored, whole, with numpy in map-side batches.
 
-Null and blank texts get the score of a text without features; documents without label are scored and not learned from;
+Very long texts are scored whole, in blocks. Null and blank texts get the score of a text without features; documents without label are scored and not learned from;
 a document with several labels is learned once for each, and every row of a repeated id; without labelled rows of both classes every score is the share
 of toxic labels (0 if there are none); empty tables give no rows.
 """
