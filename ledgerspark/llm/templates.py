@@ -55,6 +55,8 @@ WORDS = frozenset(
 )
 TURNS = frozenset("with has no without".split())
 HEADER_WORDS = frozenset("header banner".split())
+#: Words that make up the names of elements that hold the text.
+CONTENT = frozenset("content main article body entry story text primary".split())
 
 #: A comment, a declaration, or a tag with its name and attributes; a quoted value may hold ``>``.
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/><]*)((?>[^>"'<]+|"[^"<]*"|'[^'<]*'|["'])*)(?:>|(?=<)|\Z)""", re.S)
@@ -95,14 +97,18 @@ def _named(name: str, attributes: str) -> tuple[str, set[str], bool]:
     found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
     said = " ".join(found.get(k, "") for k in ("class", "id", "role"))
     words: set[str] = set()
-    if said.strip():
-        for one in said.split():
-            before = ""
-            for w in map(str.lower, PARTS.findall(one)):
-                if before not in TURNS:
-                    words.add(w)
-                before = w
+    content = False
+    for one in said.split():
+        parts, before = [w.lower() for w in PARTS.findall(one)], ""
+        content |= bool(parts) and CONTENT.issuperset(parts)
+        for w in parts:
+            if before not in TURNS:
+                words.add(w)
+            before = w
     main = name in ("article", "main") or found.get("role", "").lower() in ("main", "article") or found.get("itemprop", "").lower() == "articlebody"
+    if main or content:
+        # A layout's name on the element of the text itself ("sidebar-right", "tag-ads") doesn't count, its own kind does.
+        words &= {w.lower() for w in said.split()}
     return f"{name}.{' '.join(sorted(re.sub(r'[0-9]+', '', found.get('class', '')).split()))}", words, main
 
 

@@ -43,6 +43,9 @@ def test_query(spark, sf_dir):
         ("1 < 2 and <3 hearts <a", "1 < 2 and <3 hearts"),
         ("<title>no</title><TEXTAREA>no</TEXTAREA><P>yes</P><script>never closed", "yes"),
         ("<p class=\"x>a</p><p>b\"</p>", "a b\""),
+        ("<div id=content class='sidebar-right'>yes<div class=post-comments>no</div><div class='main-content ad'>no</div></div><div class=sidebar-right>no</div>", "yes"),
+        ("<article class='post-7 tag-ads category-menu'>yes<article class=comment>no</article></article>", "yes"),
+        ("<main class='page share'>yes</main><article id=replies>no</article><section class=story-body>no</section>", "yes"),
         ("", ""),
         ("just text", "just text"),
     ],
