@@ -109,7 +109,8 @@ def word_wise(path: str) -> bool:
     found = tuple([rule(x) for x in (d.get(part) or {}).get(items, [])] for part, items in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
     split = ((d.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
     model, specials = d["model"], d.get("added_tokens") or []
-    plain = all("|" in x["content"][1:] and x["content"].startswith("<|") and not (x["lstrip"] or x["rstrip"] or x["normalized"] or x["single_word"]) for x in specials)
+    # A special token with white space inside is met by the whole text only, not by its words.
+    plain = all(len(x["content"].split()) == 1 and "|" in x["content"][1:] and x["content"].startswith("<|") and not (x["lstrip"] or x["rstrip"] or x["normalized"] or x["single_word"]) for x in specials)
     return found == WORD_RULES and split.get("behavior") == "Removed" and split.get("invert") and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not model.get("unk_token") and plain
 
 
