@@ -13,15 +13,17 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.shared import fresh_path
+from ledgerspark.shared import fresh_path, note
 
 BLOCK = "_block"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table of the shared folder, read back: what is numbered once keeps its numbers."""
+    """``df`` as a table of the shared folder, read back: what is numbered once keeps its numbers. The table stays until its
+    run discards it (``shared.noted``)."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    note(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,9 +1,12 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and the tables that operators store there on their way."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -22,3 +25,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+#: Paths of the tables that are stored inside :func:`noted`; each thread and task has its own.
+_NOTED: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths of the tables that operators store inside, in the order they are written. Results read from these tables
+    when they are evaluated, so :func:`discard` them once such a result is written elsewhere."""
+    paths: list[str] = []
+    token = _NOTED.set(paths)
+    try:
+        yield paths
+    finally:
+        _NOTED.reset(token)
+
+
+def note(path: str) -> None:
+    """Says that a table was stored."""
+    if (paths := _NOTED.get()) is not None:
+        paths.append(path)
+
+
+def discard(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes stored tables."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -181,3 +181,17 @@ def test_contiguous_heights(spark, parts):
         done = {h for x, lo, hi, ok in rows if x == c and ok for h in range(lo, hi + 1)}
         assert got[c] == next(h for h in range(1, 200) if h not in done) - 1
     assert (got["long"], got["none"], got["late"], got[None]) == (10**9 + 5, 0, 0, 3)
+
+
+def test_stored_tables_are_noted(spark, tmp_path):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from ledgerspark.shared import discard, noted
+
+    df = spark.createDataFrame(probes(random.Random(9), 50), PROBES)
+    with noted() as paths:
+        metrics.node_health(df).write.parquet(f"{tmp_path}/health")
+    assert len(paths) == 1 and Path(urlparse(paths[0]).path).exists()
+    discard(spark, paths)
+    assert not Path(urlparse(paths[0]).path).exists() and spark.read.parquet(f"{tmp_path}/health").count() == 50
