@@ -4,35 +4,17 @@ from __future__ import annotations
 
 import ctypes
 import re
-from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.shared import fresh_path, shared_dir
+from ledgerspark.shared import fresh_path, note, shared_dir
 
 #: Words are runs of anything but ASCII space, tab, line feed, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Paths of the tables that ``stored`` writes inside :func:`noted`; each thread and task has its own.
-_NOTED: ContextVar[list[str] | None] = ContextVar("noted", default=None)
-
-
-@contextmanager
-def noted() -> Iterator[list[str]]:
-    """The paths of the tables that operators store inside, in the order they are written. Results read from these tables
-    when they are evaluated, so :func:`discard` them once such a result is written elsewhere."""
-    paths: list[str] = []
-    token = _NOTED.set(paths)
-    try:
-        yield paths
-    finally:
-        _NOTED.reset(token)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -85,18 +67,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(option, before)
-    if (paths := _NOTED.get()) is not None:
-        paths.append(path)
+    note(path)
     return spark.read.parquet(path)
 
 
-def discard(spark: SparkSession, paths: Iterable[str]) -> None:
-    """Deletes stored tables."""
-    for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def words_of(text: Column) -> Column:
     """Array of the words of ``text``; null and blank texts give an empty array."""
     flat = F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "))

@@ -73,7 +73,8 @@ def test_tables_of_two_runs(spark):
     """Each run discards its own tables, in whatever order threads store them."""
     from concurrent.futures import ThreadPoolExecutor
 
-    from ledgerspark.llm.common import discard, noted, stored
+    from ledgerspark.llm.common import stored
+    from ledgerspark.shared import discard, noted
 
     def run(k):
         with noted() as paths:
