@@ -160,7 +160,8 @@ def _made_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hex_of(c: F.Column) -> F.Column:
     """Hex digits of a decimal of at most 2^116, in two parts."""
-    high = F.floor(c / F.lit(2**56).cast("decimal(20,0)")).cast("decimal(38,0)")
-    low = (c - high * F.lit(2**56).cast("decimal(20,0)")).cast("bigint")
-    high = high.cast("bigint")
-    return F.when(high > 0, F.concat(F.hex(high), F.lpad(F.hex(low), 14, "0"))).otherwise(F.hex(low))
+    half = F.lit(2**56).cast("decimal(20,0)")
+    low = (c % half).cast("decimal(20,0)")
+    # Nothing is left over: other quotients are rounded to six places, which may lift them to the next whole number.
+    high = ((c - low) / half).cast("bigint")
+    return F.when(high > 0, F.concat(F.hex(high), F.lpad(F.hex(low.cast("bigint")), 14, "0"))).otherwise(F.hex(low.cast("bigint")))

@@ -32,3 +32,16 @@ def late_broadcast(spark):
 @pytest.mark.parametrize("name", ["reorg_detect", "reorg_apply_blocks", "reorg_apply_logs", "reorg_apply_tx"])
 def test_reorganisations_when_joins_turn_to_broadcasts_late(spark, late_broadcast, name):
     assert agrees(spark, name, SF)
+
+
+#: Prices in cents whose value is so little below a multiple of 2^56 that a quotient of six places is rounded up to it.
+PRICES = (1968527, 3952568, 5936609, 19824896)
+
+
+@pytest.mark.parametrize("name", ["chain_union", "raw_tx_explode", "ingest_store"])
+def test_values_just_below_a_multiple_of_the_hex_part(spark, tmp_path, name):
+    for t in ("lineitem", "events"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    price = " ".join(f"WHEN {k} THEN {p / 100}" for k, p in enumerate(PRICES))
+    duckdb.sql(f"COPY (SELECT * REPLACE (CASE o_orderkey % 7 {price} ELSE o_totalprice END AS o_totalprice) FROM '/root/testdata/sf0.001/orders.parquet') TO '{tmp_path}/orders.parquet'")
+    assert agrees(spark, name, str(tmp_path))
