@@ -45,3 +45,25 @@ def test_values_just_below_a_multiple_of_the_hex_part(spark, tmp_path, name):
     price = " ".join(f"WHEN {k} THEN {p / 100}" for k, p in enumerate(PRICES))
     duckdb.sql(f"COPY (SELECT * REPLACE (CASE o_orderkey % 7 {price} ELSE o_totalprice END AS o_totalprice) FROM '/root/testdata/sf0.001/orders.parquet') TO '{tmp_path}/orders.parquet'")
     assert agrees(spark, name, str(tmp_path))
+
+
+def test_events_of_one_range_share_its_list(spark):
+    """What is grouped is one list a range, however many events have it."""
+    from ledgerspark.operators import reorg
+
+    txs = spark.createDataFrame([("1", h, f"t{h}") for h in range(1, 9)], "chain_id string, block_number long, tx_hash string")
+    events = spark.createDataFrame([(k, "1", 2, 5) for k in range(3)] + [(7, "1", 6, 7), (8, "1", 50, 60)], "event_id long, chain_id string, fork_height long, old_tip long")
+    got = {r.event_id: r.tx_hashes for r in reorg.affected(txs, events).collect()}
+    assert got == {0: ["t3", "t4", "t5"], 1: ["t3", "t4", "t5"], 2: ["t3", "t4", "t5"], 7: ["t7"]}
+
+
+def test_stream_files_stay_small_and_in_order(spark, tmp_path, monkeypatch):
+    from ledgerspark.plans import queries
+
+    monkeypatch.setattr(queries, "ROWS", 100)
+    path = str(tmp_path / "rows")
+    queries.ordered_files(spark, spark.range(1000), queries.F.col("id"), path)
+    files = sorted((tmp_path / "rows").glob("part-*"), key=lambda f: f.stat().st_mtime)
+    rows = [[r.id for r in spark.read.parquet(str(f)).collect()] for f in files]
+    assert len(rows) == 10 and max(map(len, rows)) < 300 and sorted(sum(rows, [])) == list(range(1000))
+    assert all(max(a) < min(b) for a, b in zip(rows, rows[1:], strict=False))
