@@ -67,3 +67,14 @@ def test_stream_files_stay_small_and_in_order(spark, tmp_path, monkeypatch):
     rows = [[r.id for r in spark.read.parquet(str(f)).collect()] for f in files]
     assert len(rows) == 10 and max(map(len, rows)) < 300 and sorted(sum(rows, [])) == list(range(1000))
     assert all(max(a) < min(b) for a, b in zip(rows, rows[1:], strict=False))
+
+
+def test_only_fees_wait_for_receipts(spark):
+    """Coins are booked whether or not there is a receipt, fees only with one."""
+    from ledgerspark.operators import ledger
+
+    txs = spark.createDataFrame([("1", "t1", 1, "a", "b", 5, 2, "confirmed"), ("1", "t2", 1, "a", "b", 7, 2, "pending")], "chain_id string, tx_hash string, block_number long, from_address string, to_address string, value_wei long, gas_price long, status string")
+    logs = spark.createDataFrame([], "chain_id string, tx_hash string, block_number long, log_index long, address string, topics array<string>, data string")
+    receipts = spark.createDataFrame([("1", "t1", 3)], "chain_id string, tx_hash string, gas_used long")
+    got = sorted((r.tx_hash, r.kind, r.address, int(r.amount)) for r in ledger.entries(txs, logs, receipts).collect())
+    assert got == [("t1", "credit", "b", 5), ("t1", "debit", "a", -5), ("t1", "fee", "a", -6), ("t2", "credit", "b", 7), ("t2", "debit", "a", -7)]
