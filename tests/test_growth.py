@@ -78,3 +78,13 @@ def test_only_fees_wait_for_receipts(spark):
     receipts = spark.createDataFrame([("1", "t1", 3)], "chain_id string, tx_hash string, gas_used long")
     got = sorted((r.tx_hash, r.kind, r.address, int(r.amount)) for r in ledger.entries(txs, logs, receipts).collect())
     assert got == [("t1", "credit", "b", 5), ("t1", "debit", "a", -5), ("t1", "fee", "a", -6), ("t2", "credit", "b", 7), ("t2", "debit", "a", -7)]
+
+
+def test_a_long_chain_has_no_more_partitions(spark, tmp_path):
+    """Directories of a stored table don't grow in number with the heights."""
+    from ledgerspark.plans import queries
+
+    duckdb.sql(f"COPY (SELECT * REPLACE (o_orderkey * 1000 AS o_orderkey) FROM '/root/testdata/sf0.001/orders.parquet') TO '{tmp_path}/orders.parquet'")
+    tx = queries.view(spark, str(tmp_path), "tx")
+    at = queries.store_of(spark, str(tmp_path), {"transactions": tx}).snapshot()
+    assert 64 < len(at.parts("transactions")) <= 3 * 64 and at.read("transactions").count() == tx.count() == 1500
