@@ -27,6 +27,18 @@ def hex_to_decimal(c: Column) -> Column:
     return (part(1) * F.lit(16**15).cast("decimal(19,0)") + part(16)).cast("decimal(38,0)")
 
 
+def packed(c: Column) -> Column:
+    """Binary form of a text, half as long for ``0x`` and an even number of lower-case hex digits; see :func:`unpacked`."""
+    raw = F.unhex(F.substring(c, 3, 1 << 30))
+    return F.when(F.concat(F.lit("0x"), F.lower(F.hex(raw))) == c, F.concat(F.lit(b"\x01"), raw)).otherwise(F.concat(F.lit(b"\x00"), F.encode(c, "UTF-8")))
+
+
+def unpacked(b: Column) -> Column:
+    """The text that :func:`packed` has made binary."""
+    rest = F.substring(b, 2, 1 << 30)
+    return F.when(F.substring(b, 1, 1) == F.lit(b"\x01"), F.concat(F.lit("0x"), F.lower(F.hex(rest)))).otherwise(F.decode(rest, "UTF-8"))
+
+
 def word_to_decimal(word: Column) -> Column:
     return hex_to_decimal(word)
 
