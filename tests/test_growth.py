@@ -88,3 +88,30 @@ def test_a_long_chain_has_no_more_partitions(spark, tmp_path):
     tx = queries.view(spark, str(tmp_path), "tx")
     at = queries.store_of(spark, str(tmp_path), {"transactions": tx}).snapshot()
     assert 64 < len(at.parts("transactions")) <= 3 * 64 and at.read("transactions").count() == tx.count() == 1500
+
+
+def test_rows_of_a_key_wait_as_one_value(spark, tmp_path):
+    """A batch puts one element into the state of a key, however many rows it brings."""
+    from test_state import T0, UPDATES, kept_state, run, stream_of
+
+    from ledgerspark.streaming import state
+
+    rows = [(k % 2, T0, k, "confirmed") for k in range(40)]
+    run(spark, state.status_stream(stream_of(spark, tmp_path, [rows], UPDATES), "60 seconds"), tmp_path)
+    with state.with_rocksdb(spark):
+        held = spark.read.format("statestore").option("path", f"{tmp_path}/checkpoint").option("stateVarName", "waiting").option("flattenCollectionTypes", "true").load()
+        assert held.count() == 2
+
+
+def test_packed_texts_come_back(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerspark.functions import exprs as X
+    from ledgerspark.operators import joins
+
+    texts = ["0x" + "0a" * 32, "0xAb", "0xabc", "0x", "", "1", "0xzz", "0xß", "zzab", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = df.select("k", "t", X.unpacked(X.packed(F.col("t"))).alias("u"), F.octet_length(X.packed(F.col("t"))).alias("n")).orderBy("k").collect()
+    assert [r.u for r in got] == texts and got[0].n == 33
+    out = joins.packed_join(df, df.select("t", F.col("k").alias("other")), ["t"])
+    assert out.where("k = other").count() == len(texts) - 1 == out.count() and dict(out.dtypes)["t"] == "string"
