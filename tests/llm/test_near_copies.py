@@ -88,3 +88,12 @@ def test_tables_of_two_runs(spark):
 
 def test_calibration():
     assert near_copies.bands() == 24 and 18 <= near_copies.radius() <= 24
+
+
+def test_large_buckets_are_told_apart_by_fingerprints(spark):
+    """All nodes share both bands; groups of near fingerprints stay apart, and a chain of near ones holds together."""
+    chain = [(1 << k) - 1 for k in range(0, 60, 3)]  # each three bits from the next
+    far = [0xAAAAAAAAAAAAAAAA >> 1 ^ (1 << k) for k in range(1, 5)]
+    nodes = spark.createDataFrame([(k, f, [1, 2, 3]) for k, f in enumerate(chain + far)], "node long, fp long, keys array<long>")
+    got = {r.node: r.root for r in near_copies.connected_components(near_copies._candidates(nodes, 3, 4)).collect()}
+    assert got == {k: 0 if k < len(chain) else len(chain) for k in range(len(chain + far))}
