@@ -1,4 +1,4 @@
-"""Embedding near-duplicates by collision counting over many one-dimensional projections, inside cells.
+"""Embedding near-duplicates by collision counting over many one-dimensional projections.
 
 Every distinct vector is scaled to length one and projected on seeded Gaussian directions. For unit vectors with cosine c
 a projected difference is normal with variance 2 - 2c, which gives all odds below.
@@ -7,16 +7,17 @@ a projected difference is normal with variance 2 - 2c, which gives all odds belo
   are binomial, so the wanted recall at the threshold gives the count a pair needs. Counting gives up early: most pairs go
   after the first ``EARLY`` projections, by a count of the same calibration. Pairs that reach the count are verified in
   double precision.
-* Counting over sorted windows alone touches more pairs than there are: for unit vectors in 64 dimensions a window wide
-  enough for cosine 0.9 holds a quarter of all vectors, and narrow windows collide for near pairs only three times as often
-  as for any others. So projections are not sorted as a whole: pairs are counted only if they lie in one cell of ``k``
-  projections at once, cut at seeded offsets, in one of several tables of such cells (locality-sensitive hashing), by
-  windows centred on each vector. ``planned`` chooses cell width, ``k`` and the number of tables from the number of vectors
-  for the wanted recall, at the least expected work: about n^1.3 pairs instead of n^2; up to some 5,000 vectors that is one
-  cell, that is, all pairs are counted. A pair that shares cells of several tables is linked in the first of them only.
-
-A cell of many vectors is cut into tiles of bounded size, which are paired. A tile pair reports link counts and a
-spanning forest of its links, never all pairs.
+* Counting over sorted windows touches more pairs than there are: for unit vectors in 64 dimensions a window wide enough
+  for cosine 0.9 holds a quarter of all vectors, and narrow windows collide for near pairs only three times as often as for
+  any others. So all pairs are counted, by windows centred on each vector, whatever their number: whether two vectors are
+  linked depends on these two and the seed, never on the other rows. The work is n^2 / 2 counts.
+* A caller who would rather miss links than count all pairs passes a ``Plan``: pairs are then counted only if they lie in
+  one cell of ``k`` projections at once, cut at seeded offsets, in one of several tables of such cells (locality-sensitive
+  hashing). ``planned`` gives the plan of least expected work for a number of vectors and a recall, about n^1.3 pairs. A
+  pair that shares cells of several tables is linked in the first of them only.
+
+A cell of many vectors is cut into tiles of bounded size, which are paired; their size changes the layout, not the links. A
+tile pair reports link counts and a spanning forest of its links, never all pairs.
 
 Null, empty and zero vectors and those with null or non-finite components link with nothing; vectors of different
 length never link; equal vectors are compared once and linked with each other; rows of equal ids share their component;
@@ -41,6 +42,8 @@ from .simhash import spanning
 HALF, EARLY, WIDTH = 40, 24, 1.5
 #: Cost of a row of a table, in counted pairs, from measurements.
 ROW = 400
+#: Bounds of a tile, and chunks of a cell that keep the cores busy where tiles in between allow it.
+TILE, CHUNKS = (1024, 8192), 16
 
 
 def needed(m: int, p: float, recall: float) -> int:
@@ -90,24 +93,23 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def links(a: np.ndarray, ca: np.ndarray, b: np.ndarray, cb: np.ndarray, need: tuple[int, int], cosine: float, same: bool, earlier: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, block: int = 256) -> tuple[np.ndarray, np.ndarray, int]:
-    """Positions (i, j) of the pairs that pass both counts and then the exact test, and how many pairs were verified.
+def links(a: np.ndarray, ca: np.ndarray, b: np.ndarray, cb: np.ndarray, need: tuple[int, int], cosine: float, same: bool, earlier: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, counted: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j) of the pairs that pass both counts and then the exact test, about ``counted`` pairs at a time.
 
     ``need``: collisions among the first ``EARLY`` and among all projections. ``earlier`` tells which links, given as rows of
     a and b, share a cell in a table before this one; they are left to that table.
     """
-    left, right, tested = [], [], 0
-    window, shift = np.uint8(2 * HALF + 2), np.uint8(HALF + 1)
+    window, shift, block = np.uint8(2 * HALF + 2), np.uint8(HALF + 1), max(1, counted // max(1, len(b)))
     # Bytes wrap around: a difference of a whole turn counts as a collision, which verification settles.
     cbt = np.ascontiguousarray(cb[:, :EARLY].T)
     for at in range(0, len(a), block):
-        own = ca[at : at + block] + shift
-        hits = np.zeros((len(own), len(b)), dtype=np.uint8)
+        own, begin = ca[at : at + block] + shift, at + 1 if same else 0  # of a tile with itself, only i < j
+        hits = np.zeros((len(own), len(b) - begin), dtype=np.uint8)
         for k in range(len(cbt)):
-            hits += (own[:, k, None] - cbt[k][None, :]) <= window
+            hits += (own[:, k, None] - cbt[k][None, begin:]) <= window
         i, j = np.nonzero(hits >= need[0])
         early = hits[i, j]
-        i = i + at
+        i, j = i + at, j + begin
         if same:
             up = i < j
             i, j, early = i[up], j[up], early[up]
@@ -116,16 +118,13 @@ def links(a: np.ndarray, ca: np.ndarray, b: np.ndarray, cb: np.ndarray, need: tu
             count = early[cut : cut + 65536] + ((ca[p, EARLY:] + shift - cb[q, EARLY:]) <= window).sum(axis=1)
             ok = count >= need[1]
             p, q = p[ok], q[ok]
-            tested += len(p)
             ok = np.einsum("ij,ij->i", a[p], b[q]) >= cosine
             p, q = p[ok], q[ok]
             if earlier is not None and len(p):
                 new = ~earlier(p, q)
                 p, q = p[new], q[new]
-            left.append(p)
-            right.append(q)
-    z = [np.zeros(0, dtype=np.int64)]
-    return np.concatenate(z + left), np.concatenate(z + right), tested
+            if len(p):
+                yield p, q
 
 
 def cells(p: np.ndarray, plan: Plan, dim: int, seed: int) -> np.ndarray:
@@ -179,8 +178,10 @@ def _tile_pairs(p: DataFrame, tile: int) -> DataFrame:
     tiles = stored(tiles.where("chunks > 1 OR size(m) > 1"), "embedding-tiles")
     alone = tiles.where("chunks IS NULL").select("table", F.lit(True).alias("same"), F.col("m").alias("l"), F.col("m").alias("m"))
     split = tiles.where("chunks > 1")
-    left = split.select(*place, F.col("chunk").alias("lchunk"), F.col("m").alias("l"), F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("chunk"))
-    pairs = left.join(split.select(*place, "chunk", "m"), [*place, "chunk"])
+    # Chunks stand in a ring and each meets those up to half way round, so all have as many partners.
+    left = split.select(*place, "chunks", F.col("chunk").alias("lchunk"), F.col("m").alias("l"), F.explode(F.sequence(F.lit(0), F.expr("chunks div 2"))).alias("step"))
+    left = left.where("2 * step < chunks OR lchunk < step").withColumn("chunk", F.pmod(F.col("lchunk") + F.col("step"), F.col("chunks")))
+    pairs = left.drop("chunks").join(split.select(*place, "chunk", "m"), [*place, "chunk"])
     return alone.unionAll(pairs.select("table", (F.col("lchunk") == F.col("chunk")).alias("same"), "l", "m"))
 
 
@@ -205,17 +206,18 @@ class Tile:
         return np.stack([self._cells[r] for r in asked.tolist()])[at]
 
 
-def link_vectors(vectors: DataFrame, cosine: float = 0.9, m: int = 48, recall: float = 0.9999, met: float = 0.98, tile: int = 1024, seed: int = 9, plan: Plan | None = None) -> DataFrame:
+def link_vectors(vectors: DataFrame, cosine: float = 0.9, m: int = 48, recall: float = 0.9999, tile: int | None = None, seed: int = 9, plan: Plan | None = None) -> DataFrame:
     """Rows (node, n, root): n other rows that links of ``node`` lead to (null in rows of the spanning forest, which have
     ``root``). ``vectors``: distinct vectors ``vec`` of ``n`` rows each, with an id ``node`` that is unique and never null.
 
-    Pairs at the threshold share a cell with probability ``met`` (certainly, if one cell is enough) and then pass the
-    counts with probability ``recall``; pairs above it do so more often.
+    Pairs at the threshold pass the counts with probability ``recall``, pairs above it more often, among however many
+    vectors. With a ``plan`` of several tables they must also share a cell.
     """
     half = WIDTH * math.sqrt(2 - 2 * cosine)
     odds, each = math.erf(WIDTH / math.sqrt(2)), (1 + recall) / 2
     need = (needed(min(EARLY, m), odds, each), needed(m, odds, each))
-    plan = plan or planned(vectors.count(), cosine, met)
+    plan = plan or Plan(1.0, 0, 1)
+    tile = tile or min(max(TILE[0], -(-vectors.count() // CHUNKS)), TILE[1])
     width = 4 if "float" in vectors.schema["vec"].dataType.simpleString() else 8
     pairs = _tile_pairs(stored(_projected(vectors, m, half, plan, seed), "projections"), tile)
 
@@ -230,19 +232,20 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.9, m: int = 48, recall: f
                 def met_before(p: np.ndarray, q: np.ndarray, x: Tile = x, y: Tile = y, table: int = table) -> np.ndarray:
                     return (x.cells(p, table, plan, m, seed) == y.cells(q, table, plan, m, seed)).any(axis=1)
 
-                i, j, _ = links(x.unit, x.code, y.unit, y.code, need, cosine, same, met_before if table else None)
-                if not len(i):
-                    continue
-                for own, at, other, there in ((x, i, y, j), (y, j, x, i)):
-                    sums = np.bincount(at, weights=other.n[there], minlength=len(own.n)).astype(np.int64)
-                    hit = np.flatnonzero(sums)
-                    node.append(own.node[hit])
-                    n.append(sums[hit])
-                    root.append(np.full(len(hit), -1))
-                u, v = _forest(x.node, i, j) if same else spanning(x.node, y.node, i, j)
-                node.append(u)
-                n.append(np.full(len(u), -1))
-                root.append(v)
+                # The nodes of both sides, numbered on; ``u`` and ``v`` are the edges of a forest of the links so far.
+                nodes, rows = (x.node, x.n) if same else (np.concatenate([x.node, y.node]), np.concatenate([x.n, y.n]))
+                sums, u, v = np.zeros(len(nodes)), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+                for i, j in links(x.unit, x.code, y.unit, y.code, need, cosine, same, met_before if table else None):
+                    j = j if same else j + len(x.node)
+                    sums += np.bincount(i, weights=rows[j], minlength=len(nodes)) + np.bincount(j, weights=rows[i], minlength=len(nodes))
+                    u, v = np.append(u, i), np.append(v, j)
+                    if len(u) > 4 * len(nodes):
+                        u, v = _forest(len(nodes), u, v)
+                u, v = _forest(len(nodes), u, v)
+                hit = np.flatnonzero(sums)
+                node += nodes[hit], nodes[u]
+                n += sums[hit].astype(np.int64), np.full(len(u), -1)
+                root += np.full(len(hit), -1), nodes[v]
             z = [np.zeros(0, dtype=np.int64)]
             kind = np.concatenate(z + n) >= 0
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z + node)), pa.array(np.concatenate(z + n), mask=~kind), pa.array(np.concatenate(z + root), mask=kind)], names=["node", "n", "root"])
@@ -250,10 +253,9 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.9, m: int = 48, recall: f
     return pairs.mapInArrow(run, "node long, n long, root long")
 
 
-def _forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``spanning`` for links inside one tile."""
-    u, v = spanning(np.arange(len(ids)), np.arange(len(ids)), i, j)
-    return ids[u], ids[v]
+def _forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``spanning`` for links among ``n`` nodes, by their numbers."""
+    return spanning(np.arange(n), np.arange(n), i, j)
 
 
 def valid(vec: str) -> F.Column:

@@ -168,6 +168,18 @@ def test_embedding_query_recall(spark, tmp_path):
     assert recall >= 0.95
 
 
+def test_links_do_not_depend_on_the_number_of_rows(spark):
+    """Pairs at the threshold among 400 vectors, alone and beside 12,000 others that link with nothing: the same rows."""
+    rng, d, n, more = np.random.default_rng(21), 64, 200, 12_000
+    base = embed_dedup.unit(rng.standard_normal((n, d)))
+    side = embed_dedup.unit((s := rng.standard_normal((n, d))) - (s * base).sum(1, keepdims=True) * base)
+    c = rng.uniform(0.9001, 0.903, (n, 1))
+    vecs = [*base.tolist(), *(c * base + np.sqrt(1 - c * c) * side).tolist(), *rng.standard_normal((more, d)).tolist()]
+    df = spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<double>")
+    few, many = (sorted(embed_dedup.near_duplicates(x).where(f"vec_id < {2 * n}").collect()) for x in (df.where(f"vec_id < {2 * n}"), df))
+    assert few == many and {r.n_links for r in few} == {1}
+
+
 def test_each_pair_counts_once(spark):
     """A dense group shares cells of many tables; link counts are still those of brute force."""
     rng = np.random.default_rng(9)
