@@ -44,11 +44,16 @@ def laid(x: np.ndarray) -> np.ndarray:
     """``x``, in a file of the task beyond ``MEMORY``."""
     if len(x) <= MEMORY:
         return x
-    out = scratch(len(x), x.dtype)
+    out = np.asarray(scratch(len(x), x.dtype))  # a plain array of the map, whose slices are made faster
     out[:] = x
     return out
 
 
+def starts(x: np.ndarray) -> np.ndarray:
+    """First place of each run of equal values."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, dtype=np.int64)
+
+
 def places(n: int) -> type:
     """Type of positions in a string of ``n``."""
     return np.int32 if n < 1 << 31 else np.int64
@@ -64,11 +69,11 @@ class SymbolQueue:
         self.first = np.concatenate(([0], np.cumsum(sizes)))
         self.used = np.zeros(len(sizes), dtype=np.int64)
         total = int(self.first[-1])
-        self.pos, self.lcp = scratch(total, places(n)), scratch(total, np.uint8)
+        self.pos, self.lcp = np.asarray(scratch(total, places(n))), np.asarray(scratch(total, np.uint8))
 
     def push(self, symbols: np.ndarray, pos: np.ndarray, lcp: np.ndarray) -> None:
         """Appends entries; ``symbols`` must be in ascending order."""
-        start = np.flatnonzero(np.diff(symbols, prepend=-1))
+        start = starts(symbols)
         count = np.diff(np.append(start, len(symbols)))
         kinds = symbols[start]
         at = np.arange(len(symbols)) + np.repeat(self.first[kinds] + self.used[kinds] - start, count)
@@ -117,7 +122,10 @@ class Text:
     def _batches(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
         """Ranges of symbols of which no two different ones are neighbours in the text."""
         above = np.full(self.k, self.k, dtype=np.int64)  # least larger neighbour
-        np.minimum.at(above, np.minimum(a, b), np.maximum(a, b))
+        pairs = np.sort(np.minimum(a, b).astype(np.int64) * self.k + np.maximum(a, b))
+        low, high = np.divmod(pairs, self.k)
+        first = starts(low)
+        above[low[first]] = high[first]
         out, start, limit = [], 0, self.k
         for c, nxt in enumerate(above.tolist()):
             if c >= limit:
@@ -136,21 +144,22 @@ class Text:
         """
         t, target = self.t, self.s_type if s_pass else ~self.s_type
         if self.n < FINE * len(self.batches):
-            return self._one_by_one(seeds, target, s_pass, shares)
+            return self._one_by_one(seeds, target, s_pass) if shares else self._order_only(seeds[0], target, s_pass)
         sizes = np.bincount(t[target], minlength=self.k)
         queue = SymbolQueue(sizes, self.n)
         seed_pos, seed_lcp = seeds
         seed_sym = t[seed_pos]
         seed_key = -seed_sym if s_pass else seed_sym  # ascending in the order of the pass
-        done_pos, done_lcp, done = scratch(int(sizes.sum()), places(self.n)), scratch(int(sizes.sum()), np.uint8), 0
+        done_pos, done_lcp, done = np.asarray(scratch(int(sizes.sum()), places(self.n))), np.asarray(scratch(int(sizes.sum()), np.uint8)), 0
         if s_pass:  # the last suffix is an S suffix with nothing to its right
             queue.push(t[-1:].astype(np.int64), np.array([self.n - 1]), np.zeros(1, dtype=np.uint8))
-        for a, b in reversed(self.batches) if s_pass else self.batches:
+        batches = self.batches[::-1] if s_pass else self.batches
+        bounds = np.array([(1 - b, 1 - a) if s_pass else (a, b) for a, b in batches], dtype=seed_key.dtype)
+        for (a, b), (lo, hi) in zip(batches, np.searchsorted(seed_key, bounds).tolist(), strict=True):
             sym, pos, lcp = queue.pop(a, b)
             if len(sym):
-                lcp[np.diff(sym, prepend=-1) != 0] = 0
+                lcp[starts(sym)] = 0
                 sym, pos, lcp = self._runs(sym, pos, lcp, target)
-            lo, hi = np.searchsorted(seed_key, (1 - b, 1 - a) if s_pass else (a, b))
             e_sym, e_pos, e_lcp = seed_sym[lo:hi], seed_pos[lo:hi], seed_lcp[lo:hi].copy()
             if s_pass and len(sym):  # down the symbols, in order within each
                 order = np.argsort(-sym, kind="stable")
@@ -164,7 +173,27 @@ class Text:
             self._spread(queue, all_sym, all_pos, all_lcp, target, shares)
         return done_pos[:done], done_lcp[:done]
 
-    def _one_by_one(self, seeds: tuple[np.ndarray, np.ndarray], target: np.ndarray, s_pass: bool, shares: bool) -> tuple[np.ndarray, np.ndarray]:
+    def _order_only(self, seeds: np.ndarray, target: np.ndarray, s_pass: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The result of ``induce`` without common prefixes, entry by entry."""
+        # The symbol to queue for the place before each one, or -1.
+        to = np.append(-1, np.where(target[:-1], self.t[:-1], -1)).tolist()
+        queue: list[list[int]] = [[] for _ in range(self.k)]
+        waiting: list[list[int]] = [[] for _ in range(self.k)]
+        for c, p in zip(self.t[seeds].tolist(), seeds.tolist(), strict=True):
+            waiting[c].append(p)
+        if s_pass:
+            queue[self.t[-1]].append(self.n - 1)
+        out: list[int] = []
+        for c in range(self.k - 1, -1, -1) if s_pass else range(self.k):
+            own = queue[c]
+            for some in (own, waiting[c]):
+                for p in some:  # grows by suffixes that start earlier in the same run
+                    if (d := to[p]) >= 0:
+                        queue[d].append(p - 1)
+            out += own
+        return np.array(out, dtype=places(self.n)), np.zeros(len(out), dtype=np.uint8)
+
+    def _one_by_one(self, seeds: tuple[np.ndarray, np.ndarray], target: np.ndarray, s_pass: bool) -> tuple[np.ndarray, np.ndarray]:
         """The result of ``induce``, entry by entry. ``low`` holds the minima of common prefixes from the entries ``at`` on."""
         t, run, wanted = self.t.tolist(), self.run.tolist(), target.tolist()
         seed_pos, seed_lcp, s = seeds[0].tolist(), seeds[1].tolist(), 0
@@ -193,16 +222,15 @@ class Text:
                     s += 1
                 else:
                     break
-                if shares:
-                    now += 1
-                    while low and low[-1] >= v:
-                        low.pop()
-                        at.pop()
-                    low.append(v)
-                    at.append(now)
+                now += 1
+                while low and low[-1] >= v:
+                    low.pop()
+                    at.pop()
+                low.append(v)
+                at.append(now)
                 if p and wanted[p - 1]:
                     d = t[p - 1]
-                    shared[d].append(min(low[bisect_right(at, last[d])] + 1, 255) if shares and queue[d] else 0)
+                    shared[d].append(min(low[bisect_right(at, last[d])] + 1, 255) if queue[d] else 0)
                     queue[d].append(p - 1)
                     last[d] = now
             if own:
@@ -223,7 +251,7 @@ class Text:
             low = np.minimum.reduceat(lcp[: own[-1] + 1], np.append(0, own[:-1] + 1))
             sym, pos = sym[own], before[own]
             lcp = np.minimum(low.astype(np.int64) + 1, 255).astype(np.uint8)
-            lcp[np.diff(sym, prepend=-1) != 0] = min(turn, 255)
+            lcp[starts(sym)] = min(turn, 255)
             parts.append((sym, pos, lcp))
             turn += 1
         if len(parts) == 1:
@@ -235,11 +263,11 @@ class Text:
     def _joined(self, sym, pos, lcp, e_sym, e_pos, e_lcp, down: bool):
         """Queue entries and seeds of a batch in order: by symbol, entries first."""
         if not len(sym):
-            e_lcp[np.diff(e_sym, prepend=-1) != 0] = 0
+            e_lcp[starts(e_sym)] = 0
             return e_sym, e_pos, e_lcp
         if len(e_sym):
             # The first seed of a symbol against the last entry of it: they share the shorter run.
-            first = np.flatnonzero(np.diff(e_sym, prepend=-1))
+            first = starts(e_sym)
             key, want = (-sym, -e_sym[first]) if down else (sym, e_sym[first])
             last = np.searchsorted(key, want, side="right") - 1
             met = (last >= 0) & (sym[np.maximum(last, 0)] == e_sym[first])
@@ -284,7 +312,7 @@ class Text:
         l_sizes, s_sizes = (np.bincount(self.t[x], minlength=self.k) for x in (l_pos, s_pos))
         both = np.stack([l_sizes, s_sizes], axis=1).ravel()
         first = np.cumsum(both) - both
-        pos, lcp = scratch(self.n, places(self.n)), scratch(self.n, np.uint8)
+        pos, lcp = np.asarray(scratch(self.n, places(self.n))), np.asarray(scratch(self.n, np.uint8))
         for part, part_lcp, start, sizes in ((l_pos, l_lcp, first[::2], l_sizes), (s_pos, s_lcp, first[1::2], s_sizes)):
             at = spans(start, sizes)
             pos[at], lcp[at] = part, part_lcp

@@ -8,8 +8,9 @@ a run. The steps, all over whole texts:
    documents (dealt by a hash of id and text, sized by bytes) that asked.
 2. Each group sends its runs with such anchors, each different run once, to the anchor's shard.
 3. Each shard builds the suffix array of its runs with common prefixes by external induced sorting (``induced``) and
-   finds the smallest document of each class of equal windows. A run that equals all others of its anchor is a class by
-   itself. The smallest ids return to the groups.
+   finds the smallest document of each class of equal windows. A run that is the only one of its anchor, or that shares
+   no longer gram around it with another, is not sorted: none of its windows is in another run. The smallest ids return
+   to the groups.
 4. Each group marks the windows that a smaller document has too, and writes what is left.
 
 A passage that a third of all documents share costs a shard one entry for each group, not for each document. Runs at its
@@ -357,6 +358,47 @@ def _ask_runs(docs: DataFrame, replies: DataFrame, shards: int, length: int, mos
     return _beside(docs, replies).mapInArrow(run, schema)
 
 
+def _alike(runs: list[bytes], anchors: np.ndarray, length: int, parts: int = 3) -> np.ndarray:
+    """Which runs may share a window with another one. ``anchors``: the low 48 bits of each one's anchor.
+
+    Equal windows hold the anchor at the same place, so they reach equally far to its left, and to its right for the rest
+    of ``length``. Of ``parts`` ranges of how far they reach left, one is theirs, and both runs hold all bytes that any
+    window in it has. Runs in which the anchor isn't found, as windows dealt by their own key, may share any.
+    """
+    gram = min(GRAM, length // 2)
+    more = length - gram
+    cuts = [k * (more + 1) // parts for k in range(parts + 1)]
+    sizes = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs))
+    out = np.ones(len(runs), dtype=bool)
+    if not runs:
+        return out
+    keys: list[list[np.ndarray]] = [[] for _ in range(parts)]
+    owners: list[list[np.ndarray]] = [[] for _ in range(parts)]
+    bounds = np.flatnonzero(np.diff(np.cumsum(sizes) // (CHUNK // 4), prepend=-1)).tolist()
+    for x, y in zip(bounds, [*bounds[1:], len(runs)], strict=True):
+        raw, ends = np.frombuffer(b"".join(runs[x:y]), dtype=np.uint8), np.cumsum(sizes[x:y])
+        total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((raw + np.uint64(1)) * _POW[: len(raw)], dtype=np.uint64)))
+        h = _mixed((total[gram:] - total[:-gram]) * _INV[: len(raw) - gram + 1])
+        place = np.flatnonzero((h & _LOW48) == np.repeat(anchors[x:y], sizes[x:y])[: len(h)])
+        run = np.searchsorted(ends, place, side="right")
+        own = place + gram <= ends[run]
+        run, first = np.unique(run[own], return_index=True)
+        place = place[own][first]
+        out[x + run] = False
+        for k in range(parts):
+            begin, end = place - cuts[k], place + gram + more + 1 - cuts[k + 1]
+            held = (begin >= ends[run] - sizes[x + run]) & (end <= ends[run])
+            begin, end = begin[held], end[held]
+            keys[k].append(_mixed((total[end] - total[begin]) * _INV[begin]))
+            owners[k].append(x + run[held])
+    for k in range(parts):
+        key, owner = np.concatenate(keys[k]), np.concatenate(owners[k])
+        order = np.argsort(key)
+        equal = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+        out[owner[order[equal]]] = out[owner[order[equal + 1]]] = True
+    return out
+
+
 def _first_documents(asked: DataFrame, length: int) -> DataFrame:
     """(grp, body): for each group, records (key, first window, last window, smallest id) of windows that a smaller
     document than one of its own has."""
@@ -376,10 +418,12 @@ def _first_documents(asked: DataFrame, length: int) -> DataFrame:
         run_of[order] = np.cumsum(new) - 1
         pick = order[new]
         least = np.minimum.reduceat(low[order], np.flatnonzero(new))
-        # Runs that are the only one of their anchor equal no others; the rest are sorted as suffixes.
+        # Runs that share no window with another are left alone; the rest are sorted as suffixes.
         kinds = anchor[pick]
         start, stop = _cuts(kinds)
         alone = np.repeat(stop - start == 1, stop - start)
+        some = np.flatnonzero(~alone)
+        alone[some] = ~_alike([body[at[k] : at[k] + size[k]] for k in pick[some].tolist()], kinds[some], length)
         windows = size[pick] - length + 1
         offset = np.cumsum(windows) - windows
         first = np.repeat(least, windows)

@@ -100,6 +100,29 @@ def sorted_rows(df):
     return sorted(df.toPandas().itertuples(index=False, name=None))
 
 
+@pytest.mark.parametrize("length", [8, 50])
+def test_runs_that_share_no_window_are_not_sorted(length):
+    """Runs with one anchor: those with an equal window are always sorted, those with equal bytes round the anchor only never."""
+    rng = np.random.default_rng(4)
+    runs, anchors = [], []
+    draw = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+    for _ in range(60):
+        core, gram = draw(length), min(suffix_dedup.GRAM, length // 2)
+        for cut in rng.integers(0, length - gram, 6).tolist():
+            raw = np.frombuffer(draw(length) + core[cut : cut + int(rng.integers(gram, length + 1))] + draw(length), dtype=np.uint8)
+            r = suffix_dedup.Runs(raw, np.array([len(raw)]), length)
+            runs += [raw[a : b + length].tobytes() for a, b in zip(r.first.tolist(), r.last.tolist(), strict=True)]
+            anchors.append(r.anchor & suffix_dedup._LOW48)
+    runs, at = np.unique(np.array(runs, dtype=object), return_index=True)
+    runs, anchors = runs.tolist(), np.concatenate(anchors)[at]
+    windows = [{r[k : k + length] for k in range(len(r) - length + 1)} for r in runs]
+    shares = np.array([any(w & v for v in windows if v is not w) for w in windows])
+    alike = suffix_dedup._alike(runs, anchors, length)
+    assert alike[shares].all() and not alike.all()
+    # Windows dealt by their own key, whose anchor isn't among their bytes, are sorted.
+    assert suffix_dedup._alike(runs, np.zeros(len(runs), dtype=np.uint64), length).all()
+
+
 def test_query(spark, sf_dir):
     rows = duckdb.sql(f"select doc_id, text from '{sf_dir}/documents.parquet' order by doc_id").fetchall()
     assert sorted_rows(queries.op1_suffix_dedup(spark, sf_dir)) == brute_removed(rows)
