@@ -11,6 +11,9 @@ A phrase can't be more frequent than its words and neighbouring pairs, so a wind
 (``BITS``, 16 MB each), whatever the corpus: a collision only lets a window grow longer than it need be, and final counts
 are those of whole phrases. Tasks count inside an Arrow batch first; Spark sums the batches.
 
+Most pairs are counted once: where both words have their place of a bitmap to themselves, the count of the pair that says
+where windows end is exact, so windows of such a pair and nothing more are left out. Other pairs go through ROLLUP.
+
 Null texts are empty, null languages are ``und``. Repeated rows count again, ids are not used, other columns are left out. A
 very long text is cut into words like any other. Ties of the rank go by count, then phrase. Empty tables give no rows.
 """
@@ -22,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,9 +91,13 @@ def _has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0
 
 
+def _placed(hashes: Column) -> Column:
+    return hashes.bitwiseAND(F.lit(BITS - 1))
+
+
 def bitmap(grams: DataFrame) -> np.ndarray:
     """Bitmap of the lowest bits of the column ``hash`` of ``grams``: ``BITS`` bits, built by Spark in pieces of 4 kB."""
-    at = F.col("hash").bitwiseAND(F.lit(BITS - 1)) + 1  # the functions below count from 1
+    at = _placed(F.col("hash")) + 1  # the functions below count from 1
     pieces = grams.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     out = np.zeros(BITS // 8, np.uint8)
     for r in pieces.collect():  # BITS / 8 bytes at most
@@ -113,31 +121,61 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "lang string, w1 string, count bigint").groupBy("lang", "w1").agg(F.sum("count").alias("f"))
 
 
-def pair_counts(docs: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(hash, f) of neighbours inside a piece whose words may both be ``frequent`` (lang, w1). Pairs are told apart by 63
-    bits of hash: they only say which windows may end, so pairs that share one cost nothing but length."""
-    held = docs.sparkSession.sparkContext.broadcast(bitmap(frequent.select(F.xxhash64("lang", "w1").alias("hash"))))
+def lonely_words(words: DataFrame, min_count: int) -> DataFrame:
+    """(place, lang, w1): words of ``words`` (lang, w1, f) found ``min_count`` times or more that no other word, however rare,
+    shares a place of a bitmap with. Such a word is known by its place alone, so a pair of them is two places in one number."""
+    placed = words.withColumn("place", _placed(F.xxhash64("lang", "w1")))
+    alone = placed.groupBy("place").agg(F.count(F.lit(1)).alias("sharing")).where("sharing = 1").select("place")
+    return placed.where(F.col("f") >= min_count).join(alone, "place").select("place", "lang", "w1")
+
+
+def _held(docs: DataFrame, grams: DataFrame | None, hashes: Column) -> Broadcast[np.ndarray]:
+    """Bitmap of ``hashes`` of ``grams`` for the tasks; an empty one of a byte without ``grams``."""
+    bits = np.zeros(1, np.uint8) if grams is None else bitmap(grams.select(hashes.alias("hash")))
+    return docs.sparkSession.sparkContext.broadcast(bits)
+
+
+def pair_counts(docs: DataFrame, frequent: DataFrame, lonely: DataFrame | None = None) -> DataFrame:
+    """(hash, f) of neighbours inside a piece whose words may both be ``frequent`` (lang, w1). Pairs of two ``lonely`` words
+    have a negative number that :func:`known_pairs` reads, and an exact count. Others are told apart by 63 bits of hash:
+    they only say which windows may end, so pairs that share one cost nothing but length."""
+    held, sure = _held(docs, frequent, F.xxhash64("lang", "w1")), _held(docs, lonely, F.col("place"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, ids, words in _numbered(batch):
                 hashes = _hashes(lang, words)
-                good = _has(held.value, hashes)
+                good, known = _has(held.value, hashes), _has(sure.value, hashes)
                 good[0] = False
                 a, b = ids[:-1], ids[1:]
                 keys, counts = np.unique((a * len(words) + b)[good[a] & good[b]], return_counts=True)
                 first, second = np.divmod(keys, len(words))
                 mixed = _mixed(hashes[first], hashes[second]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(mixed), pa.array(counts, pa.int64())], ["hash", "count"])
+                size = 8 * len(sure.value)
+                places = (hashes & np.uint64(size - 1)).astype(np.int64)
+                numbers = np.where(known[first] & known[second], -1 - (places[first] * size + places[second]), mixed)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(counts, pa.int64())], ["hash", "count"])
         trim()
 
     return docs.mapInArrow(count, "hash bigint, count bigint").groupBy("hash").agg(F.sum("count").alias("f"))
 
 
-def padded_windows(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def known_pairs(pairs: DataFrame, lonely: DataFrame) -> DataFrame:
+    """(lang, words, k, a, hash): the ``pairs`` (hash, f) of two ``lonely`` words, with the hash that other pairs have."""
+    number = F.lit(-1) - F.col("hash")
+    pairs = pairs.where("hash < 0").select(F.shiftrightunsigned(number, BITS.bit_length() - 1).alias("first"), number.bitwiseAND(F.lit(BITS - 1)).alias("second"), "f")
+    first = lonely.select(F.col("place").alias("first"), "lang", "w1")
+    both = pairs.join(first, "first").join(lonely.select(F.col("place").alias("second"), F.col("w1").alias("w2")), "second")
+    a, b = F.xxhash64("lang", "w1"), F.xxhash64("lang", "w2")
+    mixed = F.shiftleft(a, 7).bitwiseXOR(F.shiftrightunsigned(a, 57)).bitwiseXOR(b).bitwiseAND(F.lit((1 << 63) - 1))
+    return both.select("lang", F.array("w1", "w2").alias("words"), F.lit(2).alias("k"), F.col("f").alias("a"), mixed.alias("hash"))
+
+
+def padded_windows(docs: DataFrame, pairs: DataFrame, lonely: DataFrame | None = None) -> DataFrame:
     """(lang, w1, ..., w5, count): windows of two words and more, each ended by null before a pair that isn't in ``pairs``
-    (hash; but for collisions), summed inside batches only."""
-    held = docs.sparkSession.sparkContext.broadcast(bitmap(pairs))
+    (hash; but for collisions), summed inside batches only. Windows of two ``lonely`` words and no more are left out, as
+    :func:`known_pairs` has the counts of such pairs."""
+    held, sure = _held(docs, pairs, F.col("hash")), _held(docs, lonely, F.col("place"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,6 +186,8 @@ def padded_windows(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 linked = np.zeros(len(ids) + LONGEST, bool)
                 linked[inside] = _has(held.value, _mixed(hashes[a[inside]], hashes[b[inside]]))
                 starts = np.flatnonzero(linked)
+                known = _has(sure.value, hashes)
+                starts = starts[linked[starts + 1] | ~(known[ids[starts]] & known[ids[starts + 1]])]
                 leads, alive, key = [ids[starts]], np.ones(len(starts), bool), ids[starts]
                 padded = np.append(ids, np.zeros(LONGEST, np.int64))
                 for k in range(1, LONGEST):
@@ -191,8 +231,13 @@ def collocations(docs: DataFrame, min_count: int = 100, top: int = 2000) -> Data
     words = stored(word_counts(docs), "phrase-words")
     total = words.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = words.where(F.col("f") >= min_count)
-    pairs = stored(pair_counts(docs, frequent).where(F.col("f") >= min_count), "phrase-pairs")
-    phrases = stored(phrase_counts(padded_windows(docs, pairs), min_count), "phrases")
+    lonely = stored(lonely_words(words, min_count), "phrase-lonely")
+    pairs = stored(pair_counts(docs, frequent, lonely).where(F.col("f") >= min_count), "phrase-pairs")
+    known = stored(known_pairs(pairs, lonely), "phrase-known")
+    links = pairs.where("hash >= 0").select("hash").unionByName(known.select("hash"))
+    longer = phrase_counts(padded_windows(docs, links, lonely), min_count)
+    # Windows hold a known pair only where it begins a longer one, so their count of it is never above its own.
+    phrases = stored(longer.unionByName(known.drop("hash")).groupBy("lang", "words", "k").agg(F.max("a").alias("a")), "phrases")
     counts = frequent.select("lang", F.array("w1").alias("words"), "f").unionByName(phrases.select("lang", "words", F.col("a").alias("f")))
     at = phrases.select("*", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
     side = lambda name, count: counts.select("lang", F.col("words").alias(name), F.col("f").alias(count))

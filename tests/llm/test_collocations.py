@@ -82,6 +82,33 @@ def test_saturated_bitmaps_change_nothing(spark, monkeypatch):
     assert sorted(tuple(r) for r in C.collocations(df, 8, 100).collect()) == want
 
 
+def test_known_pairs_make_no_windows(spark):
+    """Pairs that were counted exactly are not counted again: only windows of three words and more are left."""
+    docs = spark.createDataFrame([("en", "a b. c d! a b c; e"), ("de", "a b")] * 4, DOCS)
+    words = C.word_counts(docs)
+    lonely = C.lonely_words(words, 3)
+    pairs = C.pair_counts(docs, words, lonely)
+    known = C.known_pairs(pairs, lonely)
+    want = {("en", "a", "b"): 8, ("en", "b", "c"): 4, ("en", "c", "d"): 4, ("de", "a", "b"): 4}
+    assert {(r["lang"], *r["words"]): r["a"] for r in known.collect()} == want
+    assert {r["hash"] for r in known.collect()} == {r["hash"] for r in C.pair_counts(docs, words).collect()}
+    windows = C.padded_windows(docs, known, lonely).groupBy(*(f"w{k}" for k in range(1, 6))).agg(F.sum("count"))
+    assert [tuple(r) for r in windows.collect()] == [("a", "b", "c", None, None, 4)]
+
+
+def test_words_that_share_a_place(spark, monkeypatch):
+    """Frequent words that share a place of a bitmap with any word go through ROLLUP; others are known by their place."""
+    rng = random.Random(2)
+    rows = [(rng.choice(["en", "de"]), " ".join(rng.choice([rng.choice("abcd"), f"rare{rng.randrange(400)}"]) for _ in range(400))) for _ in range(20)]
+    monkeypatch.setattr(C, "BITS", 2048)
+    df = spark.createDataFrame(rows, DOCS)
+    words = C.word_counts(df)
+    lonely = C.lonely_words(words, 20)
+    assert 0 < lonely.count() < words.where("f >= 20").count()
+    assert C.known_pairs(C.pair_counts(df, words, lonely).where("f >= 20"), lonely).count() > 0
+    assert sorted(tuple(r) for r in C.collocations(df, 20, 100).collect()) == plain(rows, 20, 100)
+
+
 def test_query_against_duckdb(spark, sf_dir):
     got = sorted(tuple(r) for r in queries.op13_collocations(spark, sf_dir).collect())
     con = duckdb.connect()
