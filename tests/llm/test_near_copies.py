@@ -97,3 +97,48 @@ def test_large_buckets_are_told_apart_by_fingerprints(spark):
     nodes = spark.createDataFrame([(k, f, [1, 2, 3]) for k, f in enumerate(chain + far)], "node long, fp long, keys array<long>")
     got = {r.node: r.root for r in near_copies.connected_components(near_copies._candidates(nodes, 3, 4)).collect()}
     assert got == {k: 0 if k < len(chain) else len(chain) for k in range(len(chain + far))}
+
+
+def test_near_copies_without_common_band(spark):
+    """Pairs of similarity 0.8 (8 of 10 shingles), chosen because their minimum hashes agree in no band."""
+    rows = []
+    for k in (11994, 33886, 36208, 51248, 66009, 86646):
+        words = [f"k{k}x{i}" for i in range(14)]
+        sets = [near_copies.shingle_set(" ".join(w)) for w in (words, words[:12])]
+        assert not set(near_copies.band_keys(sets[0], near_copies.bands())) & set(near_copies.band_keys(sets[1], near_copies.bands()))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:12]))]
+    df = spark.createDataFrame([(*r, "en", "a", 0) for r in rows], SCHEMA).repartition(3)
+    got = near_copies.one_of_each(df)
+    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == brute_kept(rows) == [r[0] for r in rows[::2]]
+
+
+@pytest.mark.parametrize("tile,common", [(2048, 0), (2048, 400), (3, 0), (3, 400)])
+def test_missed_finds_every_near_copy(spark, tile, common):
+    """Without any candidates so far, all near copies of other groups are found, and hardly anything else."""
+    rng = np.random.default_rng(9)
+    pool, sets = rng.integers(0, 1 << 64, 4000, dtype=np.uint64), []
+    for _ in range(25):
+        base = rng.choice(pool, int(rng.integers(1, 90)), replace=False)
+        for lost in (0, 0.02, 0.05, 0.1, 0.2, 0.4):
+            some = base[rng.random(len(base)) >= lost]
+            sets.append(np.unique(np.concatenate([some, rng.choice(pool, int(rng.integers(0, 4)))])))
+    sets.append(np.unique(pool[:300]))
+    known = np.sort(rng.choice(pool, common, replace=False))
+    times = rng.integers(3, 9, common).astype(np.int32)
+    label = [k // 6 if k % 12 < 3 else 1000 + k for k in range(len(sets))]
+    rows = [(k, len(s), near_copies.prefix(s, known, times, 0.8).tobytes(), near_copies.parity(s)) for k, s in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, "node long, size long, first binary, odd binary").repartition(5)
+    groups = spark.createDataFrame(list(enumerate(label)), "node long, root long")
+    got = {(r.u, r.v) for r in near_copies._missed(nodes, groups, 0.8, tile).collect()}
+    alike = {(i, j): len(np.intersect1d(sets[i], sets[j])) / max(1, len(np.union1d(sets[i], sets[j]))) for i, j in itertools.combinations(range(len(sets)), 2) if label[i] != label[j]}
+    want = {p for p, x in alike.items() if x >= 0.8}
+    assert len(want) > 50 and want <= got <= {p for p, x in alike.items() if x >= 0.6}
+
+
+def test_parity_is_a_lower_bound():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 64, 700, 5000):
+        a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: n - n // 8], rng.integers(0, 1 << 64, n // 5, dtype=np.uint64)]))
+        apart = len(np.setxor1d(a, b))
+        assert 0.8 * apart - 2 <= near_copies.least_apart(near_copies.parity(a), near_copies.parity(b)) <= apart
