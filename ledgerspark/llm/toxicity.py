@@ -26,6 +26,8 @@ from .common import bounded_batches, named, stored, trim
 
 #: Bits of the hashed feature space and lengths of n-grams.
 BITS, LENGTHS = 22, (4, 5, 6, 8, 10)
+#: Features whose counts travel together.
+STRETCH = 1 << 14
 #: Characters hashed at once, so that very long texts take bounded memory.
 BLOCK = 1 << 18
 
@@ -125,20 +127,35 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 16_000, n_features:
         for b in batches:
             for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 with_label[y, features(t)] += 1
-        seen = np.flatnonzero(with_label[0] | with_label[1])
-        for at in range(0, len(seen), 1 << 16):
-            f = seen[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(f), *(pa.array(with_label[y, f].astype(np.int64)) for y in (1, 0))], names=["f", "p", "q"])
-        del with_label
+        # Counts travel packed, one row for each stretch of features, as rows of their own would fill the tasks' memory.
+        for at in range(0, 1 << BITS, STRETCH):
+            part = with_label[:, at : at + STRETCH]
+            f = np.flatnonzero(part[0] | part[1]).astype("<i4")
+            if len(f):
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([np.concatenate([f, part[1][f], part[0][f]]).astype("<i4").tobytes()], pa.binary())], names=["at", "c"])
+        del with_label, part
         trim()
 
-    counts = train.mapInArrow(count, "f long, p long, q long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     # A feature of few documents fits them by chance: 1 in 250 training texts at least, within the two bounds.
     least = min(min_docs[1], max(min_docs[0], n // 250))
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sums = np.zeros((2, STRETCH), dtype=np.int64)
+                for x in parts:
+                    f, *by = np.frombuffer(x, dtype="<i4").reshape(3, -1)
+                    sums[0, f] += by[0]
+                    sums[1, f] += by[1]
+                f = np.flatnonzero(sums.sum(axis=0) >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(f + at), pa.array(sums[0, f]), pa.array(sums[1, f])], names=["f", "p", "q"])
+        trim()
+
+    counts = train.mapInArrow(count, "at long, c binary").groupBy("at").agg(F.collect_list("c").alias("c")).mapInArrow(total, "f long, p long, q long")
     ratio = F.log((F.col("p") + 1) / (pos + 2)) - F.log((F.col("q") + 1) / (neg + 2))
     # Evidence: the ratio in units of its standard error.
     strength = F.abs(ratio) / F.sqrt(1 / (F.col("p") + 1) + 1 / (F.col("q") + 1))
-    best = counts.where(F.col("p") + F.col("q") >= least).select("f", ratio.alias("r"), strength.alias("s")).orderBy(F.desc("s"), "f").limit(n_features).toPandas().sort_values("f")
+    best = counts.select("f", ratio.alias("r"), strength.alias("s")).orderBy(F.desc("s"), "f").limit(n_features).toPandas().sort_values("f")
     keep, scale = best["f"].to_numpy(dtype=np.int64), best["r"].to_numpy(dtype=float)
     flags = Model(keep, scale, 0.0).flags()
 
