@@ -115,3 +115,17 @@ def test_packed_texts_come_back(spark):
     assert [r.u for r in got] == texts and got[0].n == 33
     out = joins.packed_join(df, df.select("t", F.col("k").alias("other")), ["t"])
     assert out.where("k = other").count() == len(texts) - 1 == out.count() and dict(out.dtypes)["t"] == "string"
+
+
+def test_ledger_joins_travel_packed(spark):
+    """Hashes meet as bytes, in half the room of their digits."""
+    import json
+
+    from ledgerspark.operators import ledger
+
+    txs = spark.createDataFrame([], "chain_id string, tx_hash string, block_number long, from_address string, to_address string, value_wei long, gas_price long, status string")
+    logs = spark.createDataFrame([], "chain_id string, tx_hash string, block_number long, log_index long, address string, topics array<string>, data string")
+    receipts = spark.createDataFrame([], "chain_id string, tx_hash string, gas_used long")
+    plan = json.loads(ledger.entries(txs, logs, receipts)._jdf.queryExecution().analyzed().toJSON())
+    kinds = [e["dataType"] for n in plan if n["class"].endswith(".Join") for e in n["condition"] if e["class"].endswith("AttributeReference")]
+    assert len(kinds) == 8 and set(kinds) == {"binary"}
