@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import exprs as X
-from ledgerspark.shared import fresh_path
+from ledgerspark.shared import brief_shuffles, fresh_path
 
 #: {H:text} is the SHA-256 of a text in hex.
 VIEWS: dict[str, str] = {
@@ -139,7 +139,8 @@ def raw_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _WRITTEN:
         path = fresh_path(spark, "raw-blocks")
-        _made_blocks(spark, sf_dir).write.parquet(path)
+        with brief_shuffles(spark):
+            _made_blocks(spark, sf_dir).write.option("compression", "zstd").parquet(path)
         _WRITTEN[key] = path
     return spark.read.schema("chain_id string, block_number bigint, envelope string").parquet(_WRITTEN[key])
 

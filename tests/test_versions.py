@@ -216,3 +216,31 @@ def test_relational_tables(spark):
     new = messages.read_table(spark, url, "blocks", 2, since=490, **options)
     assert sorted(r[1] for r in new.collect()) == list(range(491, 500))
     assert messages.read_table(spark, url, "blocks", 2, since=1000, **options).count() == 0
+
+
+def test_writes_leave_no_shuffle_files_and_are_compressed(spark, tmp_path):
+    """What a change has shuffled goes when it is written; hex texts travel and lie in half their bytes, and come back."""
+    from pathlib import Path
+
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*")}
+    rows = spark.range(3000).select(F.lit("1").alias("chain_id"), F.col("id").alias("block_number"), F.concat(F.lit("0x"), F.sha2(F.col("id").cast("string"), 256)).alias("h"), F.array(F.lit("0xAB"), F.lit(None), F.lit("0x")).alias("topics"), F.lit(1).alias("version"))
+    out, before = versions.Store(spark, str(tmp_path), bucket=1000), files()
+    at = out.publish([out.merged("t", rows, ["chain_id", "h"])], out.snapshot())
+    assert not files() - before
+    # The table had none of these partitions, so the rows were written once.
+    assert not (tmp_path / "data" / "t").exists() and {p.split("/")[1] for ps in at.parts("t").values() for p in ps} == {"t.new"}
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 3000 * 50
+    assert sorted(map(tuple, at.read("t").collect())) == sorted(map(tuple, rows.collect()))
+    again = out.publish([out.merged("t", rows.where("block_number < 10").withColumn("version", F.lit(2)), ["chain_id", "h"])], at)
+    assert again.read("t").where("version = 2").count() == 10 and again.read("t").count() == 3000
+
+
+def test_batches_of_ingest_wait_compressed(spark, tmp_path):
+    """The rows of a batch are not persisted, and what holds them goes after it."""
+    from ledgerspark.streaming import streams
+
+    spark.createDataFrame([("1", "{}")], "chain_id string, envelope string").write.parquet(str(tmp_path / "in"))
+    raw, seen = spark.readStream.schema("chain_id string, envelope string").parquet(str(tmp_path / "in")), []
+    streams._started(raw, lambda df, n: seen.append((df.storageLevel.useDisk, df.count(), (tmp_path / "ckpt" / f"batch-{n}").exists())), str(tmp_path / "ckpt"), None).start().awaitTermination()
+    assert seen == [(False, 1, True)] and not (tmp_path / "ckpt" / "batch-0").exists()
