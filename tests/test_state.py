@@ -194,3 +194,18 @@ def test_store_choice_comes_back(spark):
         raise RuntimeError
     assert "HDFS" in spark.conf.get(state.STORE)
     spark.conf.unset(state.STORE)
+
+
+def test_timers_of_notifications_are_set_once_a_batch(monkeypatch):
+    """However many messages a batch fills, it has one timer, and packed events give what single ones do."""
+    import pickle
+
+    calls, rows = [], [Row(place=k, event_type="reorg" if k == 50 else "log", body=str(k)) for k in range(100)]
+    monkeypatch.setattr(Fake, "registerTimer", lambda h, ms: (calls.append(ms), h.timers.add(ms)))
+    out = []
+    for p, given in ((state.Notifier(3, 5), rows), (state.PackedNotifier(3, 5), [Row(events=pickle.dumps([(r.place, r.event_type == "reorg", r.body) for r in part])) for part in (rows[60:], rows[:60])])):
+        h = Fake()
+        p.init(h)
+        out.append([tuple(r) for r in p.handleInputRows(("s",), iter(given), Now(1000))])
+        assert h.timers == {6000}
+    assert calls == [6000, 6000] and out[0] == out[1] and len(out[0]) == 34
